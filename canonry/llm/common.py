@@ -61,10 +61,11 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str, n
     """Apply ``fn(*columns as Python lists) -> columns`` to each Arrow batch of ``df``.
 
     ``names`` are the output columns in the order ``fn`` returns them; ``schema`` is
-    the same as DDL. Memory per task is one batch.
+    the same as DDL. Memory per task is one batch, which ``small_batches`` keeps small.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(_ddl(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +79,13 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str, n
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
+    """Lets Python workers get whole texts in batches of few rows and some 8 MB, unless the session asks for fewer still."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not 0 < int(spark.conf.get(key).rstrip("b") or 0) <= most:
+            spark.conf.set(key, str(most))
+
+
 def _ddl(schema: str):
     from pyspark.sql.types import _parse_datatype_string
 
