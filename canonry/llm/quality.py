@@ -146,4 +146,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     described = Scratch(docs.sparkSession, "quality").keep(describe(docs))
     training = one_label(labels, "quality").where(crc_mod("doc_id", 3) != 1)
     scored = predict(described, fit(described, training))
-    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
