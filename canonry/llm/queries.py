@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ogg, quality, toxicity
+from . import bpe, langid, ogg, packing, quality, sharding, toxicity
 from .common import load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(load(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(load(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digest(load(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
