@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 import regex
@@ -35,7 +35,8 @@ BYTE_LEVEL = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: The pattern of the vocabulary with word ends, as its file has it, and the same with the frequent alternative first.
 WORD_LEVEL = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+"}
 #: Entries a memo may hold before it starts anew.
-MEMO_ENTRIES = 120_000
+MEMO_ENTRIES = 250_000
+_PACK = [Struct(f"<{n}I").pack for n in range(64)]
 
 
 def byte_letters() -> list[str]:
@@ -65,13 +66,14 @@ class ForcedSplitBPE:
 
     Ids are handled as packed little-endian unsigned 32-bit integers throughout.
     ``unsure`` is a character class: texts with such characters, whose Unicode class
-    the library's pattern engine sees otherwise, go to the library itself.
+    the library's pattern engine sees otherwise, go to the library itself. Without
+    ``forced``, words are encoded whole.
     """
 
-    def __init__(self, path: str, unsure: str = "") -> None:
-        self.path, self.library = path, None
+    def __init__(self, path: str, unsure: str = "", forced: bool = True) -> None:
+        self.path, self.library, self.forced = path, None, forced
         self.unsure = regex.compile(unsure).search if unsure else None
-        self.unsure_ascii = [chr(c) for c in range(128) if unsure and self.unsure(chr(c))]
+        self.unsure_latin = [chr(c) for c in range(256) if unsure and self.unsure(chr(c))]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
@@ -104,7 +106,7 @@ class ForcedSplitBPE:
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merged)}
         self.piece = self._ranked(vocab, byte_of)
         self.memo = _Memo(self._word)
-        self.chunks = _Memo(lambda chunk: b"".join(map(self.memo.__getitem__, self.words(chunk))))
+        self.chunks = _Memo(self._chunk)
         #: Where a space is not the start of a word, the spaces around it must be seen together.
         self.gap = regex.compile(r"\s (?:\s|\Z)").search
 
@@ -128,12 +130,23 @@ class ForcedSplitBPE:
     def _word(self, word: str) -> bytes:
         """Cut the word at forced boundaries, encode the fragments, concatenate."""
         raw, inside, start, out = word.encode(), self.inside, 0, []
+        if not self.forced:
+            out = self._fragment(raw, bool(self.suffix))
+            return _PACK[len(out)](*out) if len(out) < 64 else pack(f"<{len(out)}I", *out)
         for i in range(1, len(raw)):
             if not inside[raw[i - 1] << 8 | raw[i]]:
                 out += self._fragment(raw[start:i], False)
                 start = i
         out += self._fragment(raw[start:], bool(self.suffix))
-        return pack(f"<{len(out)}I", *out)
+        return _PACK[len(out)](*out) if len(out) < 64 else pack(f"<{len(out)}I", *out)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.suffix:
+            if chunk.isalpha():
+                return self._word(chunk)
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return self._word(chunk[:-1]) + self.memo[chunk[-1]]
+        return b"".join(map(self.memo.__getitem__, self.words(chunk)))
 
     def _fragment(self, raw: bytes, ends: bool) -> list[int]:
         if self.piece:
@@ -148,11 +161,11 @@ class ForcedSplitBPE:
         ids = [i for i in ids if i is not None]
         return _merge_short(ids, self.rank) if len(ids) <= 48 else _merge_long(ids, self.rank)
 
-    def _ordinary(self, text: str) -> bytes:
-        if self.nfc and not unicodedata.is_normalized("NFC", text):
+    def _ordinary(self, text: str, latin: bool) -> bytes:
+        if self.nfc and not latin and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if self.lower:
-            text = text.replace("Σ", "σ").lower()
+            text = (text if latin else text.replace("Σ", "σ")).lower()
         if self.suffix:  # white space is dropped, so no word reaches over it
             return b"".join(map(self.chunks.__getitem__, text.split()))
         if self.gap(text):
@@ -162,13 +175,18 @@ class ForcedSplitBPE:
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
-        if self.unsure and (any(c in text for c in self.unsure_ascii) if text.isascii() else self.unsure(text)):
+        try:
+            text.isascii() or text.encode("latin-1")
+            latin = True
+        except UnicodeEncodeError:
+            latin = False
+        if self.unsure and (any(c in text for c in self.unsure_latin) if latin else self.unsure(text)):
             self.library = self.library or Tokenizer.from_file(self.path)
             ids = self.library.encode(text, add_special_tokens=False).ids
             return pack(f"<{len(ids)}I", *ids)
         if self.special and any(s in text for s in self.special):
-            return b"".join(self.special[x] if x in self.special else self._ordinary(x) for x in self.special_split(text))
-        return self._ordinary(text)
+            return b"".join(self.special[x] if x in self.special else self._ordinary(x, latin) for x in self.special_split(text))
+        return self._ordinary(text, latin)
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; bytes that are no UTF-8 become U+FFFD."""
@@ -250,14 +268,14 @@ def unsure_characters(path: str) -> str:
     return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans) + "]" if spans else ""
 
 
-_LOADED: dict[tuple[str, str], ForcedSplitBPE] = {}
+_LOADED: dict[tuple, ForcedSplitBPE] = {}
 
 
-def vocabulary(path: str, unsure: str) -> ForcedSplitBPE:
-    """The vocabulary at ``path``, loaded once in each Python worker."""
-    if (path, unsure) not in _LOADED:
-        _LOADED[path, unsure] = ForcedSplitBPE(path, unsure)
-    return _LOADED[path, unsure]
+def vocabulary(*args) -> ForcedSplitBPE:
+    """``ForcedSplitBPE`` of these arguments, loaded once in each Python worker."""
+    if args not in _LOADED:
+        _LOADED[args] = ForcedSplitBPE(*args)
+    return _LOADED[args]
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -276,7 +294,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """The text of each row of packed ids: ``doc_id``, ``ids``, ``text``."""
 
     def run(doc_ids, ids):
-        decode = vocabulary(path, "").decode
+        decode = vocabulary(path).decode
         return doc_ids, ids, [decode(x or b"") for x in ids]
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, text string", ["doc_id", "ids", "text"])

@@ -79,11 +79,10 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str, n
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Lets Python workers get whole texts in batches of few rows and some 8 MB, unless the session asks for fewer still."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        if not 0 < int(spark.conf.get(key).rstrip("b") or 0) <= most:
-            spark.conf.set(key, str(most))
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets Python workers get whole texts in batches of some 8 MB, unless the session asks for less still."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") or 0) <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def _ddl(schema: str):

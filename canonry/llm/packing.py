@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     unsure, end = unsure_characters(path), end_id.to_bytes(4, "little")
 
     def run(ids, texts):
-        encode = vocabulary(path, unsure).encode
+        encode = vocabulary(path, unsure, False).encode
         rows = [(i, *p) for i, t in zip(ids, texts, strict=True) for p in cut(encode(t or "") + end, capacity)]
         return list(zip(*rows, strict=True))
 
