@@ -64,8 +64,9 @@ class Shingler:
         try:
             hashes = np.array([memo[w] for w in words], dtype=np.uint64)
         except KeyError:
-            for w in set(words) - memo.keys():
-                memo[w] = xxhash.xxh3_64_intdigest(w)
+            for w in words:
+                if w not in memo:
+                    memo[w] = xxhash.xxh3_64_intdigest(w)
             hashes = np.array([memo[w] for w in words], dtype=np.uint64)
         n = len(hashes) - self.width + 1
         if n < 1:
