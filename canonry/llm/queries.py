@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, ogg, packing, quality, sharding, toxicity
+from . import bpe, langid, neighbours, ngram_join, ogg, packing, quality, sharding, toxicity
 from .common import load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(load(spark, sf_dir, "documents"))
 
