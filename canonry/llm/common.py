@@ -79,6 +79,18 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str, n
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, keep: Callable[[object], bool]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose ``column`` passes ``keep``."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([keep(x) for x in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Lets Python workers get whole texts in batches of some 8 MB, unless the session asks for less still."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") or 0) <= most:

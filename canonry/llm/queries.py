@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neighbours, ngram_join, ogg, packing, quality, sharding, toxicity
+from . import bpe, langid, neighbours, ngram_join, ogg, packing, quality, secrets, sharding, toxicity
 from .common import load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document; the secret itself only as its digest."""
+    return secrets.scan(load(spark, sf_dir, "documents")).withColumn("secret_sha256", F.sha2(F.col("secret").cast("binary"), 256)).drop("secret")
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -51,8 +56,14 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(load(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
