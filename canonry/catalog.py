@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .plans import rule_queries
+
+_ALL = rule_queries.QUERIES
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(5)
+    return rule_queries.q01_order_scores(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: q for k, (q, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
