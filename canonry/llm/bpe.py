@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from functools import lru_cache
 from struct import Struct, pack
 
 import numpy as np
@@ -237,35 +238,38 @@ def _merge_long(ids: list[int], rank: dict) -> list[int]:
     return [i for i in ids if i is not None]
 
 
+@lru_cache(maxsize=8)
 def unsure_characters(path: str) -> str:
     """A character class of the code points that the vocabulary's own normalizer or pattern treats otherwise than this module; "" if none."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    split, steps = _steps(spec["pre_tokenizer"]).get("Split"), _steps(spec.get("normalizer"))
+    spans: list[list[int]] = []
+    for at in range(0, 0x110000, 1 << 14):
+        for p in sorted(map(ord, _odd_among([chr(c) for c in range(at, at + (1 << 14)) if not 0xD800 <= c < 0xE000], bool(split), steps))):
+            if spans and spans[-1][1] == p - 1:
+                spans[-1][1] = p
+            else:
+                spans.append([p, p])
+    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans) + "]" if spans else ""
+
+
+def _odd_among(chars: list[str], split: bool, steps: dict) -> set[str]:
+    """Those of ``chars`` that the library and this module see otherwise."""
     odd: set[str] = set()
-    split = _steps(spec["pre_tokenizer"]).get("Split")
+    text = "".join(chars)
     if split:
-        theirs = pre_tokenizers.Split(Regex(r"\s+"), "removed", invert=True).pre_tokenize_str(every)
-        odd |= set("".join(x for x, _ in theirs)) ^ {c for c in every if c.isspace()}
         for kind in (r"\p{L}", r"\p{N}", r"\s"):
-            theirs = pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(every)
-            odd |= set("".join(x for x, _ in theirs)) ^ set("".join(regex.findall(kind + "+", every)))
-    steps = _steps(spec.get("normalizer"))
-    if "NFC" in steps:
-        theirs = normalizers.NFC().normalize_str("\n".join(every)).split("\n")
-        mine = unicodedata.normalize("NFC", "\n".join(every)).split("\n")
-        odd |= {c for c, a, b in zip([c for c in every if c != "\n"], [x for x in theirs if x], [x for x in mine if x], strict=True) if a != b}
-    if "Lowercase" in steps:
-        theirs = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
-        mine = "\n".join(every).replace("Σ", "σ").lower().split("\n")
-        odd |= {c for c, a, b in zip([c for c in every if c != "\n"], [x for x in theirs if x], [x for x in mine if x], strict=True) if a != b}
-    points, spans = sorted(map(ord, odd)), []
-    for p in points:
-        if spans and spans[-1][1] == p - 1:
-            spans[-1][1] = p
-        else:
-            spans.append([p, p])
-    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans) + "]" if spans else ""
+            theirs = {c for x, _ in pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(text) for c in x}
+            odd |= theirs ^ set("".join(regex.findall(kind + "+", text)))
+            if kind == r"\s":
+                odd |= theirs ^ {c for c in chars if c.isspace()}
+    for step, make, mine in (("NFC", normalizers.NFC, lambda x: unicodedata.normalize("NFC", x)), ("Lowercase", normalizers.Lowercase, lambda x: x.replace("Σ", "σ").lower())):
+        if step in steps:
+            between = [c for c in chars if c != "\n"]
+            theirs, own = make().normalize_str("\n".join(between)).split("\n"), mine("\n".join(between)).split("\n")
+            odd |= {c for c, a, b in zip(between, theirs, own, strict=True) if a != b}
+    return odd
 
 
 _LOADED: dict[tuple, ForcedSplitBPE] = {}
