@@ -88,7 +88,7 @@ def lacking(n: int, percent: int) -> int:
 def _list_column(rows: list[np.ndarray | None]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in rows])]).astype(np.int32)
     values = np.concatenate([r for r in rows if r is not None and len(r)] or [np.zeros(0, dtype=np.uint64)]).astype(np.uint64).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([r is None for r in rows]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
 def _lists(column) -> Iterator[np.ndarray]:
