@@ -3,9 +3,9 @@
 Pieces of at most ``capacity`` tokens are dealt to parts of bounded size, and each
 part is packed by best-fit decreasing. A part's bin count is certified by lower
 bounds from dual-feasible functions: a part whose count equals its bound cannot be
-packed better. Parts with a gap keep their full bins, hand the pieces of their other
-bins over, and those pieces are dealt out anew, to fewer parts, and packed again,
-until no gap is left or one part holds all that remains open.
+packed better. Parts with a gap hand over the pieces of their emptiest bins,
+``RELEASED`` bins for each bin of the gap; those pieces are dealt out anew, to fewer
+parts, and packed again, until no gap is left or one part holds all that is open.
 
 Defined results: null text counts as empty and has the end token alone; a document
 longer than ``capacity`` is cut into pieces of ``capacity``, the last may be
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .bpe import unsure_characters, vocabulary
 from .common import Scratch, documents_of, map_batches
 
+RELEASED = 8  #: bins that a part opens for each bin above its bound
 PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
@@ -100,9 +101,11 @@ def _pack_part(capacity: int, number: int):
         part = part.sort_values(["length", "row"], ascending=[False, True], kind="stable", ignore_index=True)
         lengths = part["length"].to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        gap = len(fill) > lower_bound(lengths, capacity)
+        gap = len(fill) - lower_bound(lengths, capacity)
+        given = np.zeros(len(fill), dtype=bool)
+        given[np.argsort(fill, kind="stable")[: RELEASED * gap]] = True
         first = (number << 56) + (int(part["part"].iloc[0]) << 28)
-        return pd.DataFrame({"row": part["row"], "length": lengths, "sequence_id": first + bins, "offset": offsets, "open": gap & (fill[bins] < capacity)})
+        return pd.DataFrame({"row": part["row"], "length": lengths, "sequence_id": first + bins, "offset": offsets, "open": given[bins]})
 
     return run
 
@@ -122,8 +125,8 @@ def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 100_000, scrat
         dealt = waiting.withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)))
         packed = scratch.keep(dealt.groupBy("part").applyInPandas(_pack_part(capacity, number), schema))
         still = packed.where("open").count() if parts > 1 else 0
-        # A single part cannot exchange with another; nor does a round help that leaves everything open.
-        if not still or (number and still > 0.9 * rows):
+        # A single part cannot exchange with another; nor does a round help that leaves nearly everything open.
+        if not still or still > 0.9 * rows:
             settled.append(packed.select("row", "sequence_id", "offset"))
             break
         settled.append(packed.where("not open").select("row", "sequence_id", "offset"))
