@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import rule_queries, table_queries, text_queries
+from .plans import label_queries, rule_queries, table_queries, text_queries
 
-_ALL = rule_queries.QUERIES | table_queries.QUERIES | text_queries.QUERIES
+_ALL = rule_queries.QUERIES | table_queries.QUERIES | text_queries.QUERIES | label_queries.QUERIES
 
 
 def flagship(spark, sf_dir):
