@@ -20,12 +20,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where none is configured (tests)."""
+    """The folder every executor can reach; a temporary one only where the session names none (tests, one machine)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="canonry-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="canonry-")
     return path.rstrip("/")
 
 
