@@ -44,7 +44,7 @@ BLOCK = 256  #: sets of one block
 FRAGMENT = 4096  #: n-grams of one fragment within a block
 HEAVY_HERE, HEAVY_MOST = 32, 100_000  #: times in one task that make an n-gram a candidate for the heavy ones; how many of those are held
 SKETCH_BITS = 22  #: log2 of the most cells of the sketch of frequencies
-BITMAP_BITS = 24  #: log2 of the most bits of the filter of documents
+BITMAP_BITS = 26  #: log2 of the most bits of the filter of documents: 8 MB
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
@@ -218,25 +218,34 @@ def survivors(described: DataFrame, scratch: Scratch, percent: int, extra: float
 
 
 def full_sets(docs: DataFrame, described: DataFrame, alive: DataFrame, count: int, scratch: Scratch, width: int) -> DataFrame:
-    """``sig``, ``grams``: the whole sets of the survivors. Other texts are skipped by a bitmap of hashed ids of fixed size."""
-    bits = min(BITMAP_BITS, max(16, math.ceil(math.log2(8 * count + 1))))
+    """``sig``, ``grams``: the whole sets of the survivors, each from the document of its smallest id.
+
+    Other texts are skipped by a bitmap of hashed ids, of at most ``BITMAP_BITS`` bits.
+    While it is sparse, the few that pass it by chance stay, as sets that link with
+    nothing; a bitmap too small to be sparse is followed by a join with the survivors.
+    """
+    bits = min(BITMAP_BITS, max(16, math.ceil(math.log2(32 * count + 1))))
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).cast("int")
-    ids = described.where("first is not null").join(alive, "sig").select(cell.alias("cell"))
+    ids = described.where("first is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(alive, "sig").select(cell.alias("cell"))
     words = ids.groupBy(F.shiftright("cell", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cell & 31)")).alias("bits")).toArrow()
     bitmap = np.zeros(1 << bits >> 5, dtype=np.uint32)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+        shingle, seen = Shingler(width), set()
         for b in batches:
             at = b.column(0).to_numpy()
             rows = np.flatnonzero(bitmap[at >> 5] >> (at & 31).astype(np.uint32) & 1)
-            sets = [s for t in b.column(1).take(pa.array(rows)).to_pylist() if len(s := shingle(t))]
-            sigs = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([_signed(sigs), _list_column(sets)], names=["sig", "grams"])
+            sets = {xxhash.xxh3_64_intdigest(s.tobytes()): s for t in b.column(1).take(pa.array(rows)).to_pylist() if len(s := shingle(t))}
+            sets = {k: s for k, s in sets.items() if k not in seen}
+            if len(seen) < 1_000_000:
+                seen |= sets.keys()
+            yield pa.RecordBatch.from_arrays([_signed(np.array(list(sets), dtype=np.uint64)), _list_column(list(sets.values()))], names=["sig", "grams"])
 
     sets = documents_of(docs).select(cell.alias("cell"), "text").mapInArrow(run, "sig long, grams array<long>")
-    return scratch.keep(sets.join(alive, "sig", "left_semi").groupBy("sig").agg(F.any_value("grams").alias("grams")))
+    if 32 * count > 1 << bits:
+        sets = sets.join(alive, "sig", "left_semi").groupBy("sig").agg(F.any_value("grams").alias("grams"))
+    return scratch.keep(sets)
 
 
 def _frequency_classes(sets: DataFrame, grams: int) -> np.ndarray:
