@@ -36,7 +36,7 @@ BYTE_LEVEL = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: The pattern of the vocabulary with word ends, as its file has it, and the same with the frequent alternative first.
 WORD_LEVEL = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+"}
 #: Entries a memo may hold before it starts anew.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 _PACK = [Struct(f"<{n}I").pack for n in range(64)]
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents_of, small_batches
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 BLOCK = 256  #: sets of one block
 FRAGMENT = 4096  #: n-grams of one fragment within a block
 HEAVY_HERE, HEAVY_MOST = 32, 100_000  #: times in one task that make an n-gram a candidate for the heavy ones; how many of those are held
