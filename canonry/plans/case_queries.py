@@ -45,7 +45,7 @@ def q60_medians(spark, sf_dir):
     return e.groupBy("user_id").agg(F.median("value").alias("median"), F.round(F.avg(F.when(F.col("c") != 0, F.col("c"))), 3).alias("mean_known"), F.count_distinct("event_type").alias("types"), F.bool_and(F.col("value") < 150).alias("within"))
 
 
-Q60 = "SELECT user_id, median(value) median, round(avg(CASE WHEN event_id % 10 > 0 AND value <> 0 THEN value END), 3) mean_known, count(DISTINCT event_type) types, bool_and(value < 150) AS "within" FROM events GROUP BY 1"
+Q60 = '''SELECT user_id, median(value) median, round(avg(CASE WHEN event_id % 10 > 0 AND value <> 0 THEN value END), 3) mean_known, count(DISTINCT event_type) types, bool_and(value < 150) AS "within" FROM events GROUP BY 1'''
 
 
 def q61_best_line(spark, sf_dir):
