@@ -42,10 +42,10 @@ Q59 = "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalpri
 
 def q60_medians(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("c", F.when(F.col("event_id") % 10 > 0, F.col("value")).otherwise(0.0))
-    return e.groupBy("user_id").agg(F.median("value").alias("median"), F.round(F.avg(F.when(F.col("c") != 0, F.col("c"))), 3).alias("mean_known"), F.count_distinct("event_type").alias("types"), F.bool_and(F.col("value") < 150).alias("within"))
+    return e.groupBy("user_id").agg(F.median("value").alias("median"), (F.sum(F.when(F.col("c") != 0, F.col("c").cast("decimal(18,4)"))).cast("double") / F.count_if(F.col("c") != 0)).alias("mean_known"), F.count_distinct("event_type").alias("types"), F.bool_and(F.col("value") < 150).alias("within"))
 
 
-Q60 = '''SELECT user_id, median(value) median, round(avg(CASE WHEN event_id % 10 > 0 AND value <> 0 THEN value END), 3) mean_known, count(DISTINCT event_type) types, bool_and(value < 150) AS "within" FROM events GROUP BY 1'''
+Q60 = '''SELECT user_id, median(value) median, (sum(value::DECIMAL(18,4)) FILTER (WHERE event_id % 10 > 0 AND value <> 0))::DOUBLE / count(*) FILTER (WHERE event_id % 10 > 0 AND value <> 0) mean_known, count(DISTINCT event_type) types, bool_and(value < 150) AS "within" FROM events GROUP BY 1'''
 
 
 def q61_best_line(spark, sf_dir):
