@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 A token's score is its log-odds between toxic and other labelled documents under an
-informative Dirichlet prior (the token's share of the whole corpus), less some
-standard errors; a word too rare to be judged goes by the log-odds of its first letters, and
+informative Dirichlet prior (the token's share of the whole corpus), less half a
+standard error, where a likelihood-ratio test finds evidence; a word too rare to be judged goes by the log-odds of its first letters, and
 tokens without evidence cost a little. One linear scan finds all
 maximal scoring segments of a text. The Karlin-Altschul law of such maxima turns a
 segment's score and the text's length into an expected number of equal segments by
@@ -180,10 +180,14 @@ def _rate(scores: np.ndarray, shares: np.ndarray, cost: float) -> float:
     return low
 
 
-def token_scores(words: list, size: tuple, tokens: int, everywhere: dict[str, int], prior: float, errors: float, cost: float, most: float) -> tuple[dict[str, float], list[float]]:
+def token_scores(words: list, size: tuple, tokens: int, everywhere: dict[str, int], prior: float, errors: float, cost: float, most: float, least_ratio: float) -> tuple[dict[str, float], list[float]]:
     """Lowered log-odds of the words (``word``, ``toxic``, ``other``) with evidence, and their shares of text that isn't toxic."""
     table, shares = {}, []
     for r in words:
+        expected = [(r.toxic + r.other) * n / (size[0] + size[1]) for n in size[:2]]
+        ratio = 2 * sum(n * math.log(n / e) for n, e in ((r.toxic, expected[1]), (r.other, expected[0])) if n)
+        if ratio < least_ratio:
+            continue
         a = max(0.5, prior * everywhere[r.word] / max(1, tokens))
         y1, y0 = r.toxic + a, r.other + a
         odds = math.log(y1 / max(1.0, size[1] + prior - y1)) - math.log(y0 / max(1.0, size[0] + prior - y0))
@@ -194,12 +198,13 @@ def token_scores(words: list, size: tuple, tokens: int, everywhere: dict[str, in
     return table, shares
 
 
-def fit(docs: DataFrame, training: DataFrame, sample_rows: int = 12_000, prior: float = 2_000.0, errors: float = 2.5, cost: float = 0.25, most: float = 6.0, least_docs: int = 3, expected: float = 0.05) -> Model:
+def fit(docs: DataFrame, training: DataFrame, sample_rows: int = 12_000, prior: float = 2_000.0, errors: float = 0.5, cost: float = 0.25, most: float = 6.0, least_ratio: float = 30.0, least_docs: int = 3, expected: float = 0.05) -> Model:
     """Fits on ``docs`` and the labels (``doc_id``, ``label``) of the training part.
 
     ``prior``: tokens that the prior counts as; ``errors``: standard errors a score
     is lowered by; ``cost``: of a token without evidence; ``most``: of a token's
-    score; ``least_docs``: toxic documents that must hold a word with evidence.
+    score; ``least_ratio``: the likelihood-ratio statistic from which a word has
+    evidence; ``least_docs``: toxic documents that must hold it.
     """
     small_batches(docs.sparkSession)
     counts = {r.label: r.n for r in training.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -217,7 +222,7 @@ def fit(docs: DataFrame, training: DataFrame, sample_rows: int = 12_000, prior:
         return nothing
     words = sorted((r for r in rows if r.word is not None), key=lambda r: r.word)
     tokens, everywhere = corpus_counts(docs, [r.word for r in words])
-    table, shares = token_scores(words, size, tokens, everywhere, prior, errors, cost, most)
+    table, shares = token_scores(words, size, tokens, everywhere, prior, errors, cost, most, least_ratio)
     if not table:
         return nothing
     rate = _rate(np.array(list(table.values())), np.array(shares), cost)

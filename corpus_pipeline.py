@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from canonry.llm import langid, ngram_join, packing, secrets, toxicity
 from canonry.llm.common import Scratch, keep_rows, load
 
-#: Probability that a document's most likely language must reach.
-LEAST_LANGUAGE = 0.5
+#: Probability that a document's most likely language must reach; low, since a clean text of one word is no worse for being short.
+LEAST_LANGUAGE = 0.35
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
 #: Words of a shingle and percent of similarity of near duplicates.
