@@ -2,13 +2,13 @@
 
 A token's score is its log-odds between toxic and other labelled documents under an
 informative Dirichlet prior (the token's share of the whole corpus), less half a
-standard error, where a likelihood-ratio test finds evidence; a word too rare to be judged goes by the log-odds of its first letters, and
-tokens without evidence cost a little. One linear scan finds all
-maximal scoring segments of a text. The Karlin-Altschul law of such maxima turns a
-segment's score and the text's length into an expected number of equal segments by
-chance; segments below ``expected`` are significant. A document's evidence is the log expectation of its
-best segments together, and its score a logistic function of that, fitted on
-labelled documents.
+standard error, where a likelihood-ratio test finds evidence; a word too rare to be
+judged goes by the log-odds of its first letters, and tokens without evidence cost a
+little. One linear scan finds all maximal scoring segments of a text. The
+Karlin-Altschul law of such maxima turns a segment's score and the text's length into
+an expected number of equal segments by chance; segments below ``expected`` are
+significant. A document's evidence is the log expectation of its best segments
+together, and its score a logistic function of that, fitted on labelled documents.
 
 The scores are fitted on a bounded sample of labelled rows (``sample_rows`` in
 expectation, chosen by a hash of the id). The prior counts every token of every
