@@ -43,7 +43,7 @@ MEMO_WORDS = 200_000
 BLOCK = 256  #: sets of one block
 FRAGMENT = 4096  #: n-grams of one fragment within a block
 HEAVY_HERE, HEAVY_MOST = 32, 100_000  #: times in one task that make an n-gram a candidate for the heavy ones; how many of those are held
-SKETCH_BITS = 22  #: log2 of the most cells of the sketch of frequencies
+SKETCH_BITS = 25  #: log2 of the most cells of the sketch of frequencies: 32 MB
 BITMAP_BITS = 26  #: log2 of the most bits of the filter of documents: 8 MB
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -250,22 +250,24 @@ def full_sets(docs: DataFrame, described: DataFrame, alive: DataFrame, count: in
 
 def _frequency_classes(sets: DataFrame, grams: int) -> np.ndarray:
     """A class of frequency (logarithm, at least the true one) for each cell of hashed n-grams; 0: in one set alone."""
-    bits = min(SKETCH_BITS, max(12, math.ceil(math.log2(2 * grams + 1))))
-    cells, block = 1 << bits, 1 << 12
+    bits = min(SKETCH_BITS, max(12, math.ceil(math.log2(grams + 2))))
+    cells, block = 1 << bits, max(1 << 12, 1 << bits >> 10)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, dtype=np.uint32)
+        counts = np.zeros(cells, dtype=np.uint8)  # to 255 in a task; any order would do
         for b in batches:
-            found, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits), return_counts=True)
-            counts[found.astype(np.int64)] += n.astype(np.uint32)
+            found, n = np.unique((b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            counts[found] = np.minimum(255, counts[found] + n)
         rows = counts.reshape(-1, block)
         used = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["block", "counts"])
+        for at in range(0, len(used), 128):
+            own = used[at : at + 128]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([rows[i].tobytes() for i in own], pa.binary())], names=["block", "counts"])
 
     def total(key, table):
         sums = np.zeros(block, dtype=np.int64)
         for x in table.column("counts"):
-            sums += np.frombuffer(x.as_buffer(), dtype=np.uint32)
+            sums += np.frombuffer(x.as_buffer(), dtype=np.uint8)
         classes = np.minimum(255, np.ceil(8 * np.log2(np.maximum(1, sums)))).astype(np.uint8)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
 
