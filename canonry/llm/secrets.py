@@ -1,13 +1,18 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
 Candidates are strings that patterns of credentials or of assignments point at, and
-long strings with digits and letters. The forest judges each by its length, its
-character transitions, how much of it words cover, the path (or source) it comes
-from and the words beside it. It is trained on labelled findings: ``labelled``
-makes a set of them from stated formats, and ``fit`` takes any other.
+long strings with digits and letters, however long they are. A quoted value goes up to
+its closing quote (over line ends only where no line of it has a blank inside); an
+unquoted one ends at a blank, quote, bracket, comma, semicolon, bar or ``&name=``. Values
+have 8 characters at least, long strings 20. All patterns take time linear in the text.
+The forest judges each by its length, its character transitions, how much of it words
+cover, the path (or source) it comes from and the words beside it. It is trained on
+labelled findings: ``labelled`` makes a set of them from stated formats, and ``fit``
+takes any other.
 
 Defined results: null and empty texts have no findings; a null path counts as ""; a
-candidate that occurs twice in a text is found twice; findings don't overlap;
+candidate that occurs twice in a text is found twice; findings don't overlap: secrets
+that do are one, and what overlaps a secret, or an earlier candidate, is left out;
 repeated rows are scanned each; other columns are ignored; an empty table gives an
 empty one.
 """
@@ -29,7 +34,7 @@ from .common import map_batches, small_batches
 
 #: The shapes of credentials whose issuers publish them.
 KNOWN = {
-    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]{0,8000}?-----END (?:[A-Z]+ )*PRIVATE KEY-----",
+    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----",
     "cloud_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "code_host_token": r"\bgh[pousr]_[0-9A-Za-z]{36,}",
     "chat_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
@@ -41,25 +46,54 @@ NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "a
 PUBLIC = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "etag", "uuid", "guid", "revision", "isbn", "order", "invoice", "version", "id")
 #: What people write where a secret would stand.
 HOLDERS = ("example", "changeme", "your", "xxxx", "placeholder", "dummy", "sample", "redacted", "password", "secret", "none", "null", "test", "123456", "abcdef")
-_NAMED = r"(?i:\b[\w.-]{0,40}(?:" + "|".join(map(re.escape, NAMES)) + r")[\w.-]{0,40}\b)[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?(?P<named>[^\s\"'`,;<>(){}\[\]|*#$%&!]{8,512})"
-_LONG = r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[0-9+/_=-]{0,64}[A-Za-z])(?P<long>[0-9A-Za-z+/_=-]{20,512})(?![0-9A-Za-z+/_=-])"
-_FIND = re.compile("|".join([*(f"(?P<{k}>{p})" for k, p in KNOWN.items()), _NAMED, _LONG]))
+_ANY_NAME = "(?i:" + "|".join(map(re.escape, NAMES)) + ")"
+#: A name and its sign, up to where the value starts. Runs start once and are taken whole, so that the scan stays linear.
+_NAMED = re.compile(r"(?<![\w.-])(?=[\w.-]*?" + _ANY_NAME + r")[\w.-]++[\"']?\s*+(?::=|=>|=|:)\s*+")
+_QUOTED = re.compile(r"(?P<quote>\"\"\"|\'\'\'|[\"'`])(?P<value>(?:\\[\s\S]|(?!(?P=quote))[^\\])*+)(?P=quote)")
+_BARE = re.compile(r"[\"'`]*+(?P<value>(?:[^\s\"'`,;<>(){}\[\]|&]|&(?![\w.-]*+=))*+)")
+_BLANK_INSIDE = re.compile(r"[^\s][^\S\n]++[^\s]")
+_LONG = re.compile(r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[0-9A-Za-z+/_=-]{20,}+")
+_KNOWN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KNOWN.items()))
 #: What each candidate must be near, so that texts without any of it need no scan.
-_HINT = re.compile(r"[0-9]|PRIVATE KEY|(?i:" + "|".join(map(re.escape, NAMES)) + r")\S{0,40}\s{0,3}[\"']?\s{0,3}[:=]")
+_HINT = re.compile(r"[0-9]|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|" + _ANY_NAME)
 _WORDS = re.compile(r"[A-Za-zÀ-ÿ]+")
 FEATURES = 24
 REDACTED = "[SECRET]"
 
 
+def _values(text: str) -> tuple[list[tuple[int, int]], set[int]]:
+    """Spans of the values of assignments, up to the closing quote and as bare runs, and where the names start."""
+    spans, names, end, inner = [], set(), 0, None
+    for m in _NAMED.finditer(text):
+        at, found = m.end(), []
+        quoted = _QUOTED.match(text, at)
+        if quoted and ("\n" not in quoted["value"] or not _BLANK_INSIDE.search(quoted["value"])):
+            found.append(quoted.span("value"))
+        if at < end:  # an assignment within a bare value: of several, the last is a candidate of its own
+            inner = (at, end)
+        else:
+            spans += [inner] if inner else []
+            bare, inner = _BARE.match(text, at).span("value"), None
+            end = bare[1]
+            found.append(bare)
+        found = [(a, b) for a, b in found if b - a >= 8]
+        spans += found
+        if found:
+            names.add(m.start())
+    spans += [inner] if inner else []
+    return [(a, b) for a, b in spans if b - a >= 8], names
+
+
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every candidate of a whole text, in order."""
+    """(start, end, kind) of every candidate of a whole text, in order, the longer first. They may overlap."""
     if not text or not _HINT.search(text):
         return []
-    out = []
-    for m in _FIND.finditer(text):
-        kind = m.lastgroup
-        out.append((*m.span(kind), kind))
-    return out
+    values, names = _values(text)
+    # A run that an assignment's name begins is no candidate beside the value.
+    kinds = {m.span(): "long" for m in _LONG.finditer(text) if m.start() not in names}
+    kinds |= {m.span(): m.lastgroup for m in _KNOWN.finditer(text)}
+    kinds |= dict.fromkeys(values, "named")
+    return sorted(((a, b, kind) for (a, b), kind in kinds.items()), key=lambda c: (c[0], -c[1]))
 
 
 def _kind(c: str) -> int:
@@ -69,7 +103,7 @@ def _kind(c: str) -> int:
 def features(candidate: str, path: str, before: str, after: str) -> list[float]:
     """What the forest sees of a finding."""
     n = len(candidate)
-    lower, kinds = candidate.lower(), [_kind(c) for c in candidate[:512]]
+    lower, kinds = candidate.lower(), [_kind(c) for c in candidate]
     steps = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1)
     share = [kinds.count(k) / len(kinds) for k in range(4)] if kinds else [0.0] * 4
     counts = np.unique(list(candidate), return_counts=True)[1] / max(1, n)
@@ -202,9 +236,25 @@ def fit(findings: list[Finding]) -> Forest:
     return Forest(x, np.array([f.label for f in findings], dtype=float))
 
 
-def findings_of(text: str | None, path: str | None, forest: Forest) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, score) of every candidate of a text."""
-    return [(a, b, kind, forest.score(features(text[a:b], path or "", text[max(0, a - 80) : a], text[b : b + 40]))) for a, b, kind in candidates(text)]
+def findings_of(text: str | None, path: str | None, forest: Forest, threshold: float = 0.5) -> list[tuple[int, int, str, float]]:
+    """(start, end, kind, score) of every finding of a text. Secrets that overlap are one; no other candidate overlaps anything."""
+    scored = [(a, b, kind, forest.score(features(text[a:b], path or "", text[max(0, a - 80) : a], text[b : b + 40]))) for a, b, kind in candidates(text)]
+    found: list[tuple[int, int, str, float]] = []
+    for a, b, kind, score in scored:
+        if score >= threshold:
+            if found and a < found[-1][1]:
+                start, end, first, best = found[-1]
+                found[-1] = (start, max(end, b), first, max(best, score))
+            else:
+                found.append((a, b, kind, score))
+    spans, others, end, i = found, [], 0, 0
+    for c in scored:
+        while i < len(spans) and spans[i][1] <= c[0]:
+            i += 1
+        if c[3] < threshold and c[0] >= end and not (i < len(spans) and spans[i][0] < c[1]):
+            others.append(c)
+            end = c[1]
+    return sorted(spans + others)
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
@@ -212,7 +262,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
     forest = forest or fit(labelled())
 
     def run(ids, texts, paths):
-        rows = [(i, a, b, k, t[a:b], s, s >= threshold) for i, t, p in zip(ids, texts, paths, strict=True) for a, b, k, s in findings_of(t, p, forest)]
+        rows = [(i, a, b, k, t[a:b], s, s >= threshold) for i, t, p in zip(ids, texts, paths, strict=True) for a, b, k, s in findings_of(t, p, forest, threshold)]
         return list(zip(*rows, strict=True)) if rows else [[]] * 7
 
     names = ["doc_id", "start", "end", "kind", "secret", "score", "is_secret"]
@@ -226,7 +276,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
     small_batches(docs.sparkSession)
 
     def clean(text: str | None, path: str | None) -> str | None:
-        found = [x for x in findings_of(text, path, forest) if x[3] >= threshold]
+        found = [x for x in findings_of(text, path, forest, threshold) if x[3] >= threshold]
         if not found:
             return text
         parts, at = [], 0
