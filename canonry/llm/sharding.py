@@ -3,9 +3,10 @@
 Rows are ordered by (hash of the text, doc_id), so equal texts lie next to each
 other and yet a text that a third of all rows share can be cut between shards. Each
 round counts the exact bytes below a few probe keys between the bounds known so far,
-over all partitions, and narrows the bounds; it ends when every splitter is within
-``tolerance`` of its target or has no key between its bounds. Then all rows, with
-all their columns, are exchanged once.
+over all partitions, and narrows the bounds to the least and greatest key between two
+probes, so that a repeated text leads straight to its ids; it ends when every splitter
+is within ``tolerance`` of its target or has one row or key between its bounds. Then
+all rows, with all their columns, are exchanged once.
 
 A shard is cut into pieces by further splitters, so that no task sorts a whole
 shard, and a row's ``slot`` is the rows of the pieces before its own plus its place.
@@ -57,33 +58,49 @@ def _probe_bytes(keys: list[int]) -> np.ndarray:
     return np.array([k.to_bytes(16, "big") for k in keys], dtype="S16")
 
 
-def counts_below(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
-    """Exact bytes and rows below each probe: sums by interval in every partition, then over partitions."""
+def _intervals(keys: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, int, int]]:
+    """Exact bytes and rows of each interval between probes that has any, and bounds of its keys (the upper one is past them)."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _probe_bytes(probes)
-        size, rows = np.zeros(len(probes) + 1, dtype=np.int64), np.zeros(len(probes) + 1, dtype=np.int64)
+        edges, n = _probe_bytes(probes), len(probes) + 1
+        size, rows = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        least, most = np.full((2, n), _TOP - 1, dtype=np.int64), np.full((2, n), -_TOP, dtype=np.int64)
         for b in batches:
             if b.num_rows:
-                at = np.searchsorted(edges, _as_bytes(b.column(0).to_numpy(), b.column(1).to_numpy()), side="right")
-                size += np.bincount(at, weights=b.column(2).to_numpy(), minlength=len(size)).astype(np.int64)
-                rows += np.bincount(at, minlength=len(rows))
+                both = b.column(0).to_numpy(), b.column(1).to_numpy()
+                at = np.searchsorted(edges, _as_bytes(*both), side="right")
+                size += np.bincount(at, weights=b.column(2).to_numpy(), minlength=n).astype(np.int64)
+                rows += np.bincount(at, minlength=n)
+                for i, values in enumerate(both):
+                    np.minimum.at(least[i], at, values)
+                    np.maximum.at(most[i], at, values)
         found = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(size[found]), pa.array(rows[found])], names=["at", "size", "rows"])
+        columns = [found.astype(np.int32), *(x[found] for x in (size, rows, *least, *most))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["at", "size", "rows", "h0", "i0", "h1", "i1"])
+
+    parts = keys.select(_HASH, _ID, "size").mapInArrow(partial, "at int, size long, rows long, h0 long, i0 long, h1 long, i1 long")
+    out = {}
+    for r in parts.groupBy("at").agg(*(F.sum(c).alias(c) for c in ("size", "rows")), *(F.min(c).alias(c) for c in ("h0", "i0")), *(F.max(c).alias(c) for c in ("h1", "i1"))).collect():
+        # Ids bound the keys only where all of an interval's rows have one hash.
+        one = r["h0"] == r["h1"]
+        low, high = ((r["h0"] + _TOP) * _SPAN + (r["i0"] + _TOP) * one, (r["h1"] + _TOP) * _SPAN + (r["i1"] + _TOP if one else _SPAN - 1) + 1)
+        out[r["at"]] = (r["size"], r["rows"], low, high)
+    return out
 
-    found = keys.select(_HASH, _ID, "size").mapInArrow(partial, "at int, size long, rows long").groupBy("at").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).collect()
-    size, rows = [0] * (len(probes) + 1), [0] * (len(probes) + 1)
-    for r in found:
-        size[r["at"]], rows[r["at"]] = r["size"], r["rows"]
-    return list(np.cumsum(size)), list(np.cumsum(rows))
+
+def counts_below(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
+    """Exact bytes and rows below each probe, and of all rows."""
+    found = _intervals(keys, probes)
+    return tuple(list(np.cumsum([found.get(at, (0, 0))[i] for at in range(len(probes) + 1)])) for i in (0, 1))
 
 
-def find_splitters(keys: DataFrame, total: int, parts: int, tolerance: float, fan: int = 4, rounds: int = 40) -> tuple[list[int], list[int]]:
+def find_splitters(keys: DataFrame, total: int, parts: int, tolerance: float, fan: int = 4) -> tuple[list[int], list[int]]:
     """Keys that cut ``total`` bytes into ``parts`` of like size, and the rows below each.
 
     A splitter is settled when the bytes below it are within ``tolerance`` parts of
     the target, or when its bounds have a single row between: then it lies on the
-    nearer side of that row.
+    nearer side of that row. Bounds come at least twice as near each round, so that
+    rounds are 128 at most.
     """
     targets = [total * i // parts for i in range(1, parts)]
     known: dict[int, tuple[int, int]] = {0: (0, 0)}
@@ -92,10 +109,15 @@ def find_splitters(keys: DataFrame, total: int, parts: int, tolerance: float, fa
     # Hashes are spread evenly but for repeated texts, so the first probes are at the targets themselves.
     asked = sorted({min(end, max(1, end * t // max(1, total))) for t in targets} | {end})
     allowed = tolerance * total / parts
-    for _ in range(rounds):
+    while True:
         if asked:
-            size, rows = counts_below(keys, asked)
-            known.update({k: (int(s), int(r)) for k, s, r in zip(asked, size, rows, strict=False)})
+            found, below_size, below_rows = _intervals(keys, asked), 0, 0
+            for at, k in enumerate([*asked, end]):
+                size, rows, low, high = found.get(at, (0, 0, k, k))
+                known.setdefault(low, (below_size, below_rows))
+                below_size, below_rows = below_size + size, below_rows + rows
+                known.setdefault(min(end, high), (below_size, below_rows))
+                known.setdefault(k, (below_size, below_rows))
             order = sorted(known)
         below = [known[k][0] for k in order]
         asked_now: set[int] = set()

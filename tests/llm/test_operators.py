@@ -155,6 +155,18 @@ def test_shards_of_equal_size_with_a_hot_text(spark):
     assert max(sizes.values()) - min(sizes.values()) < 2 * max(len(t) + 16 for t in texts)
 
 
+@pytest.mark.parametrize(("hot", "copies"), [(56, 320), (56, 600), (53, 900), (59, 900)])
+def test_shards_of_equal_size_where_one_text_has_one_to_three_percent(spark, hot, copies):
+    texts = [word_soup(i, 20 + i % 9) for i in range(8000)] + [f"copy {hot} " * 4] * copies
+    keyed = sharding._keyed(frame(spark, texts)).select("__hash", "__id", "size").cache()
+    total = sum(len(t) + 16 for t in texts)
+    assert 0.01 < copies * (len(texts[-1]) + 16) / total < 0.03
+    _, below = sharding.find_splitters(keyed, total, 40, 0.02)
+    sizes = [size for _, size in sorted(((h, i), n) for h, i, n in keyed.collect())]
+    cuts = [0, *(sum(sizes[:n]) for n in below), total]
+    assert max(abs(b - a - total / 40) for a, b in zip(cuts, cuts[1:], strict=False)) <= 0.04 * total / 40 + max(sizes)
+
+
 def test_shards_of_odd_texts(spark):
     check_shards(rows(sharding.digest(frame(spark, ODD_TEXTS), 3)), ODD_TEXTS, 3)
     assert sharding.digest(empty(spark), 3).count() == 0
