@@ -102,6 +102,15 @@ def q04_overlaps(spark, sf_dir):
 Q04 = """WITH e AS (SELECT user_id, event_id, ts AS s, ts + to_microseconds(round(value * 60 * 1000000)::BIGINT) AS t FROM events)
 SELECT user_id, count(*) overlapping, min(event_id) first_later FROM (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) far FROM e) WHERE far > s GROUP BY 1"""
 
+
+def q04b_overlap_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("start"), (F.col("ts") + F.expr("make_dt_interval(0, 0, 0, value * 60)")).alias("stop"))
+    return temporal.overlap_pairs(e, ["user_id"], "event_id", "start", "stop").groupBy("user_id").agg(F.count("*").alias("pairs"), F.min("later_id").alias("first_later"), F.sum(F.abs(F.col("later_id") - F.col("earlier_id"))).alias("apart"))
+
+
+Q04B = """WITH e AS (SELECT user_id, event_id, ts AS s, ts + to_microseconds(round(value * 60 * 1000000)::BIGINT) AS t FROM events)
+SELECT x.user_id, count(*) pairs, min(y.event_id) first_later, sum(abs(y.event_id - x.event_id))::BIGINT apart FROM e x JOIN e y ON x.user_id = y.user_id AND (x.s < y.s OR (x.s = y.s AND x.event_id < y.event_id)) AND y.s < x.t AND x.s < y.t GROUP BY 1"""
+
 _TREE = {"any": [{"all": [{"field": "o_orderstatus", "eq": "F"}, {"field": "c_acctbal", "gt": 5000}]}, {"all": [{"field": "c_mktsegment", "in": ["BUILDING", "FURNITURE"]}, {"field": "o_totalprice", "lt": 100000}]}]}
 
 
@@ -218,6 +227,7 @@ QUERIES = {
     "q02_versions_as_of": (q02_versions_as_of, Q02),
     "q03_latest_version": (q03_latest_version, Q03),
     "q04_overlaps": (q04_overlaps, Q04),
+    "q04b_overlap_pairs": (q04b_overlap_pairs, Q04B),
     "q05_condition": (q05_condition, Q05),
     "q06_applicability": (q06_applicability, Q06),
     **FAMILIES,
