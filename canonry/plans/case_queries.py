@@ -69,6 +69,17 @@ Q62 = """WITH c AS (SELECT user_id, event_type field, arg_max(value, (ts, event_
 SELECT user_id, field, coalesce(v::VARCHAR, s) AS value, v IS NOT NULL corrected FROM b FULL JOIN c USING (user_id, field)"""
 
 
+def q62b_all_corrections(spark, sf_dir):
+    """Every customer's view, with the newest correction of at least 50 as the verified one."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("field"), F.col("value").cast("string").alias("corrected_value"), F.col("ts").alias("created_at"), (F.col("value") >= 50).alias("verified"))
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("view").alias("field"), F.col("c_mktsegment").alias("value"))
+    return feedback.verified_overlay(base, e, ["user_id"]).select("user_id", "field", F.coalesce(F.expr("cast(try_cast(value as double) as string)"), "value").alias("value"), "corrected")
+
+
+Q62B = """WITH c AS (SELECT user_id, event_type field, arg_max(value, (ts, event_id)) v FROM events WHERE value >= 50 GROUP BY 1, 2), b AS (SELECT c_custkey user_id, 'view' field, c_mktsegment s FROM customer)
+SELECT user_id, field, coalesce(v::VARCHAR, s) AS value, v IS NOT NULL corrected FROM b FULL JOIN c USING (user_id, field)"""
+
+
 def q63_current_requirements(spark, sf_dir):
     """Views over the tables: the requirements in force on a day, with their sources."""
     table(spark, sf_dir, "nation").createOrReplaceTempView("canonry_rules")
@@ -108,5 +119,5 @@ def q66_officer_actions(spark, sf_dir):
 Q66 = """WITH a AS (SELECT l_orderkey k, arg_max(n, d) n FROM (SELECT l_orderkey, l_shipdate d, max(l_linenumber) n FROM lineitem GROUP BY 1, 2) GROUP BY 1)
 SELECT CASE n % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'REQUIRES_REVIEW' ELSE 'PENDING' END inspector_status, count(*) n, count(a.n) decided FROM orders LEFT JOIN a ON k = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1"""
 
-_NAMES = "q57_dont_care_join q58_pathways q59_above_mean q60_medians q61_best_line q62_corrections q63_current_requirements q64_patterns q65_notifications q66_officer_actions"
+_NAMES = "q57_dont_care_join q58_pathways q59_above_mean q60_medians q61_best_line q62_corrections q62b_all_corrections q63_current_requirements q64_patterns q65_notifications q66_officer_actions"
 QUERIES = {n: (globals()[n], globals()[n.split("_")[0].upper()]) for n in _NAMES.split()}

@@ -125,6 +125,19 @@ Q05 = """SELECT o_orderkey, coalesce(CASE WHEN (o_orderstatus = 'F' AND c_acctba
  WHEN NOT ((o_orderstatus = 'F' AND c_acctbal > 5000) OR (c_mktsegment IN ('BUILDING', 'FURNITURE') AND o_totalprice < 100000)) THEN 'false' END, 'unknown') verdict
 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 1) ON c_custkey = o_custkey"""
 
+
+def q05b_condition_of_all(spark, sf_dir):
+    """All customers; what is known of one in debt is taken as unknown."""
+    known = lambda c: F.when(F.col("c_acctbal") >= 0, F.col(c)).alias(c)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), known("c_acctbal"), known("c_mktsegment"))
+    df = table(spark, sf_dir, "orders").join(c, "o_custkey", "left")
+    return df.select("o_orderkey", F.coalesce(compile_condition(_TREE, Facts(df)).cast("string"), F.lit("unknown")).alias("verdict"))
+
+
+Q05B = """SELECT o_orderkey, coalesce(CASE WHEN (o_orderstatus = 'F' AND b > 5000) OR (m IN ('BUILDING', 'FURNITURE') AND o_totalprice < 100000) THEN 'true'
+ WHEN NOT ((o_orderstatus = 'F' AND b > 5000) OR (m IN ('BUILDING', 'FURNITURE') AND o_totalprice < 100000)) THEN 'false' END, 'unknown') verdict
+FROM orders LEFT JOIN (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END b, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END m FROM customer) ON c_custkey = o_custkey"""
+
 _ROWS = [{"result": "NOT_APPLICABLE", "condition": {"field": "p_type", "eq": "ECONOMY"}, "reason": "economy"}, {"result": "NOT_REQUIRED", "condition": {"all": [{"field": "p_size", "lt": 5}, {"field": "sold", "gt": 20}]}, "reason": "small"}, {"result": "CONDITIONAL", "condition": {"field": "sold", "gte": 30}, "reason": "often sold"}, {"result": "REQUIRED", "condition": {}, "reason": "never reached"}]
 
 
@@ -229,6 +242,7 @@ QUERIES = {
     "q04_overlaps": (q04_overlaps, Q04),
     "q04b_overlap_pairs": (q04b_overlap_pairs, Q04B),
     "q05_condition": (q05_condition, Q05),
+    "q05b_condition_of_all": (q05b_condition_of_all, Q05B),
     "q06_applicability": (q06_applicability, Q06),
     **FAMILIES,
     "q17_downgrade": (q17_downgrade, Q17),

@@ -204,6 +204,16 @@ def q42_verdicts(spark, sf_dir):
 
 
 Q42 = "SELECT doc_id, CASE WHEN o = v THEN 'AI_VERIFIED' WHEN o IS NOT NULL AND v IS NOT NULL THEN 'CONFLICT' WHEN v IS NOT NULL THEN 'AI_EXTRACTED' WHEN o IS NOT NULL THEN 'OCR_ONLY' ELSE 'NOT_DETECTED' END verdict FROM (SELECT doc_id, CASE WHEN contains(text, '$$$') THEN 0 ELSE 1 END o FROM documents WHERE doc_id % 3 > 0) FULL JOIN (SELECT doc_id, quality v FROM labels) USING (doc_id)"
+
+
+def q42b_verdicts_of_all(spark, sf_dir):
+    """All documents; one of fewer than 200 characters gives no reading."""
+    ocr = F.when(F.col("n_chars") < 200, None).when(F.col("text").contains("$$$"), 0).otherwise(1)
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("vision"))
+    return table(spark, sf_dir, "documents").select("doc_id", ocr.alias("ocr")).join(lab, "doc_id", "full").select("doc_id", reconcile.verdict(F.col("ocr"), F.col("vision")).alias("verdict"))
+
+
+Q42B = "SELECT doc_id, CASE WHEN o = v THEN 'AI_VERIFIED' WHEN o IS NOT NULL AND v IS NOT NULL THEN 'CONFLICT' WHEN v IS NOT NULL THEN 'AI_EXTRACTED' WHEN o IS NOT NULL THEN 'OCR_ONLY' ELSE 'NOT_DETECTED' END verdict FROM (SELECT doc_id, CASE WHEN n_chars < 200 THEN NULL WHEN contains(text, '$$$') THEN 0 ELSE 1 END o FROM documents) FULL JOIN (SELECT doc_id, quality v FROM labels) USING (doc_id)"
 _STEPS = {"view": ["click", "error", "view"], "click": ["purchase", "signup", "view"], "signup": ["view", "click"], "purchase": ["view"], "error": []}
 _PAIRS = ", ".join(f"('{a}', '{b}')" for a, bs in _STEPS.items() for b in bs)
 
@@ -287,5 +297,5 @@ UNION ALL SELECT rule_id, valid_from, 'unknown check type' FROM m WHERE check_ty
 UNION ALL SELECT rule_id, valid_from, 'negative weight' FROM m WHERE weight < 0
 UNION ALL SELECT rule_id, valid_from, 'overlap' FROM (SELECT *, max(coalesce(valid_to, '9999')) OVER (PARTITION BY rule_id, check_id ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) far FROM m) WHERE far > valid_from"""
 
-_NAMES = "q20b_queue q21_dashboard q22_latest_by_name q24_histogram q25_patterns q26_requirements q27_top_orders q27b_top_per_customer q27c_priority_queue q28_search q29_fuzzy q30_anti_semi q31_diff q32_sets q32b_overlay q32c_wide_to_long q32d_supersede q32e_upsert q41_agreement q42_verdicts q43_transitions q44_timeline q45_near_images q46_neighbours q47_checksum q49_windows q49b_sessions q50_manifest"
+_NAMES = "q20b_queue q21_dashboard q22_latest_by_name q24_histogram q25_patterns q26_requirements q27_top_orders q27b_top_per_customer q27c_priority_queue q28_search q29_fuzzy q30_anti_semi q31_diff q32_sets q32b_overlay q32c_wide_to_long q32d_supersede q32e_upsert q41_agreement q42_verdicts q42b_verdicts_of_all q43_transitions q44_timeline q45_near_images q46_neighbours q47_checksum q49_windows q49b_sessions q50_manifest"
 QUERIES = {n: (globals()[n], globals()[n.split("_")[0].upper()]) for n in _NAMES.split()}

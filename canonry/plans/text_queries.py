@@ -90,6 +90,18 @@ Q40 = r"""WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[#$%&*]{3}(
 SELECT count(*) expected, count(p) covered, count(*) FILTER (WHERE p = quality) AS exact, count(p) / count(*)::DOUBLE coverage, count(*) FILTER (WHERE p = quality) / count(p)::DOUBLE agreement FROM labels LEFT JOIN d USING (doc_id)"""
 
 
+def q40b_evaluation_of_all(spark, sf_dir):
+    """All documents; tables and legal text are kinds that say nothing of quality, so nothing is found of them."""
+    truth = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("expected"))
+    kind = sections.junk_kind(F.col("text"))
+    got = _documents(spark, sf_dir).select("doc_id", F.when(kind.isin("symbols", "shouting"), "0").when(kind == "none", "1").alias("found"))
+    return summary(truth, got, "doc_id")
+
+
+Q40B = r"""WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[#$%&*]{3}( |$)') OR contains(text, '!! ') THEN 0 WHEN contains(text, ' | ') OR regexp_matches(text, '(?i)license|copyright') THEN NULL ELSE 1 END p FROM documents)
+SELECT count(*) expected, count(p) covered, count(*) FILTER (WHERE p = quality) AS exact, count(p) / count(*)::DOUBLE coverage, count(*) FILTER (WHERE p = quality) / count(p)::DOUBLE agreement FROM labels LEFT JOIN d USING (doc_id)"""
+
+
 def q48_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"))
@@ -97,5 +109,5 @@ def q48_links(spark, sf_dir):
 
 Q48 = """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) host, regexp_extract(html, '<title>([^<]*)</title>', 1) title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) links FROM pages"""
 
-_NAMES = "q33_adjacent_lines q34_blocks q35_first_copies q36_emails q36b_digit_runs q37_dates q38_coherence q39_contamination q40_evaluation q48_links"
+_NAMES = "q33_adjacent_lines q34_blocks q35_first_copies q36_emails q36b_digit_runs q37_dates q38_coherence q39_contamination q40_evaluation q40b_evaluation_of_all q48_links"
 QUERIES = {n: (globals()[n], globals()[n.split("_")[0].upper()]) for n in _NAMES.split()}
