@@ -48,6 +48,20 @@ def near_by_bits(hashes: DataFrame, most: int, bands: int, bits: int = 32) -> Da
     return pairs.join(a, "hash").join(b, "other").where((F.col("hash") != F.col("other")) | (F.col("__i") < F.col("__j"))).select(F.least("__i", "__j").alias("a"), F.greatest("__i", "__j").alias("b"), F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))).cast("int").alias("distance"))
 
 
+def with_nearest_earlier(pairs: DataFrame, ink: DataFrame, least: float) -> DataFrame:
+    """Pairs of ``near_by_bits`` with ``gate`` and ``nearest``.
+
+    The gate is open where hashes are equal or both images have at least ``least`` of ``ink`` (``id``,
+    ``ink``; null is none). Of a ``b``'s open pairs the one of least distance is ``nearest``, ties
+    to the smallest ``a``: the earlier image that it copies.
+    """
+    some = ink.select("id", (F.coalesce("ink", F.lit(0.0)) >= least).alias("__some"))
+    inked = pairs.join(some.select(F.col("id").alias("a"), F.col("__some").alias("__x")), "a", "left").join(some.select(F.col("id").alias("b"), F.col("__some").alias("__y")), "b", "left")
+    gated = inked.withColumn("gate", (F.col("distance") == 0) | (F.coalesce("__x", F.lit(False)) & F.coalesce("__y", F.lit(False))))
+    best = F.min(F.when(F.col("gate"), F.struct("distance", "a"))).over(Window.partitionBy("b"))
+    return gated.withColumn("__best", best).select("a", "b", "distance", "gate", F.coalesce(F.col("__best.a") == F.col("a"), F.lit(False)).alias("nearest"))
+
+
 def nearest_in_grid(points: DataFrame, by: list[str], reach: float, k: int) -> DataFrame:
     """The k nearest others of each point by L1 distance, at most ``reach`` away: an equi-join on grid cells of that size."""
     cell = {"__cx": F.floor(F.col("x") / reach), "__cy": F.floor(F.col("y") / reach)}

@@ -251,6 +251,17 @@ Q45 = """WITH h AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda
 SELECT x.vec_id a, y.vec_id b, bit_count(xor(x.h, y.h))::INT distance FROM h x, h y WHERE x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= 4"""
 
 
+def q45b_copied_images(spark, sf_dir):
+    """Pairs of up to 5 bits, as the reference has it, with the gate and the nearest earlier image; a component stands for the ink."""
+    ink = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("ink"))
+    return fuzzy.with_nearest_earlier(fuzzy.near_by_bits(_bits(spark, sf_dir), 5, 6), ink, 0.02)
+
+
+Q45B = """WITH h AS (SELECT vec_id, abs(embedding[1]::DOUBLE) ink, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT h FROM embeddings),
+p AS (SELECT x.vec_id a, y.vec_id b, bit_count(xor(x.h, y.h))::INT distance, x.h = y.h OR (coalesce(x.ink, 0) >= 0.02 AND coalesce(y.ink, 0) >= 0.02) gate FROM h x, h y WHERE x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= 5)
+SELECT a, b, distance, gate, gate AND row_number() OVER (PARTITION BY b, gate ORDER BY distance, a) = 1 AS nearest FROM p"""
+
+
 def q46_neighbours(spark, sf_dir):
     p = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
     return fuzzy.nearest_in_grid(p, ["label"], 0.05, 6).select("label", "id", "rank", "other")
@@ -297,5 +308,5 @@ UNION ALL SELECT rule_id, valid_from, 'unknown check type' FROM m WHERE check_ty
 UNION ALL SELECT rule_id, valid_from, 'negative weight' FROM m WHERE weight < 0
 UNION ALL SELECT rule_id, valid_from, 'overlap' FROM (SELECT *, max(coalesce(valid_to, '9999')) OVER (PARTITION BY rule_id, check_id ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) far FROM m) WHERE far > valid_from"""
 
-_NAMES = "q20b_queue q21_dashboard q22_latest_by_name q24_histogram q25_patterns q26_requirements q27_top_orders q27b_top_per_customer q27c_priority_queue q28_search q29_fuzzy q30_anti_semi q31_diff q32_sets q32b_overlay q32c_wide_to_long q32d_supersede q32e_upsert q41_agreement q42_verdicts q42b_verdicts_of_all q43_transitions q44_timeline q45_near_images q46_neighbours q47_checksum q49_windows q49b_sessions q50_manifest"
+_NAMES = "q20b_queue q21_dashboard q22_latest_by_name q24_histogram q25_patterns q26_requirements q27_top_orders q27b_top_per_customer q27c_priority_queue q28_search q29_fuzzy q30_anti_semi q31_diff q32_sets q32b_overlay q32c_wide_to_long q32d_supersede q32e_upsert q41_agreement q42_verdicts q42b_verdicts_of_all q43_transitions q44_timeline q45_near_images q45b_copied_images q46_neighbours q47_checksum q49_windows q49b_sessions q50_manifest"
 QUERIES = {n: (globals()[n], globals()[n.split("_")[0].upper()]) for n in _NAMES.split()}

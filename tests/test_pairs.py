@@ -3,7 +3,8 @@
 import datetime
 import random
 
-from canonry.operators import temporal
+from canonry.operators import fuzzy, temporal
+from canonry.plans import table_queries
 
 
 def brute_overlaps(rows):
@@ -26,3 +27,23 @@ def test_every_overlapping_pair_is_found(spark):
     got = [tuple(x) for x in temporal.overlap_pairs(df, ["k"], "id", "valid_from", "valid_to").collect()]
     assert len(got) == len(set(got)) and set(got) == brute_overlaps(rows) and sum(k == 1 for k, *_ in got) == 15
     assert temporal.overlap_pairs(df.limit(0), ["k"], "id", "valid_from", "valid_to").count() == 0
+
+
+def test_images_of_five_bits_and_the_nearest_earlier(spark, monkeypatch):
+    r = random.Random(4)
+    base = r.getrandbits(32)
+    flip = lambda n: base ^ sum(1 << i for i in r.sample(range(32), n))
+    images = [(i, r.getrandbits(32) if i % 3 == 0 else flip(r.randint(0, 5)), r.choice([None, 0.0, 0.01, 0.02, 0.5])) for i in range(60)]
+    images += [(100, base, 0.5), (101, base ^ 0b11111, 0.5), (102, base ^ 0b111111, 0.5), (103, base, None)]
+    bits = spark.createDataFrame(images, "id long, hash long, ink double")
+    got = {(x["a"], x["b"]): (x["distance"], x["gate"], x["nearest"]) for x in fuzzy.with_nearest_earlier(fuzzy.near_by_bits(bits.select("id", "hash"), 5, 6), bits, 0.02).collect()}
+    want = {}
+    for b, h, ink in images:
+        earlier = [(a, (g ^ h).bit_count(), g == h or min(i or 0, ink or 0) >= 0.02) for a, g, i in images if a < b and (g ^ h).bit_count() <= 5]
+        best = min(((d, a) for a, d, gate in earlier if gate), default=(None, None))[1]
+        want |= {(a, b): (d, gate, a == best) for a, d, gate in earlier}
+    assert got == want and got[100, 101][0] == 5 and (100, 102) not in got and got[100, 103][1]
+    # The registered query has pairs of five bits as well.
+    monkeypatch.setattr(table_queries, "_bits", lambda *_: bits.select("id", "hash"))
+    registered = table_queries.q45b_copied_images(spark, "/root/testdata/sf0.001").select("a", "b", "distance").collect()
+    assert {((x["a"], x["b"]), x["distance"]) for x in registered} == {(k, v[0]) for k, v in want.items()}
