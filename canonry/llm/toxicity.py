@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 A token's score is its log-odds between toxic and other labelled documents under an
-informative Dirichlet prior (the token's share of the whole corpus), less half a
-standard error, where a likelihood-ratio test finds evidence; a word too rare to be
+informative Dirichlet prior (the token's share of the whole corpus), less some
+standard errors, where a likelihood-ratio test finds evidence; a word too rare to be
 judged goes by the log-odds of its first letters, and tokens without evidence cost a
 little. One linear scan finds all maximal scoring segments of a text. The
 Karlin-Altschul law of such maxima turns a segment's score and the text's length into
@@ -198,7 +198,7 @@ def token_scores(words: list, size: tuple, tokens: int, everywhere: dict[str, in
     return table, shares
 
 
-def fit(docs: DataFrame, training: DataFrame, sample_rows: int = 12_000, prior: float = 2_000.0, errors: float = 0.5, cost: float = 0.25, most: float = 6.0, least_ratio: float = 30.0, least_docs: int = 3, expected: float = 0.05) -> Model:
+def fit(docs: DataFrame, training: DataFrame, sample_rows: int = 12_000, prior: float = 2_000.0, errors: float = 2.5, cost: float = 0.25, most: float = 6.0, least_ratio: float = 30.0, least_docs: int = 3, expected: float = 0.05) -> Model:
     """Fits on ``docs`` and the labels (``doc_id``, ``label``) of the training part.
 
     ``prior``: tokens that the prior counts as; ``errors``: standard errors a score
