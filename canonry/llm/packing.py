@@ -5,7 +5,9 @@ part is packed by best-fit decreasing. A part's bin count is certified by lower
 bounds from dual-feasible functions: a part whose count equals its bound cannot be
 packed better. Parts with a gap hand over the pieces of their emptiest bins,
 ``RELEASED`` bins for each bin of the gap; those pieces are dealt out anew, to fewer
-parts, and packed again, until no gap is left or one part holds all that is open.
+parts, and packed again. The rounds end when no part has a gap, when the bound of all
+pieces together certifies the total, when one part holds all that is open, or when a
+round saved no bin.
 
 Defined results: null text counts as empty and has the end token alone; a document
 longer than ``capacity`` is cut into pieces of ``capacity``, the last may be
@@ -18,7 +20,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +77,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound of two families of dual-feasible functions on the number of bins."""
-    if not len(lengths):
+def lower_bound(lengths: np.ndarray | None, capacity: int, count: np.ndarray | None = None) -> int:
+    """The best bound of two families of dual-feasible functions on the number of bins, of the lengths or their ``count``."""
+    if count is None:
+        count = np.bincount(lengths, minlength=capacity + 1)
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     # Items over capacity - e count as a whole bin, items under e as nothing, for each e up to half.
@@ -97,19 +100,25 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def _pack_part(capacity: int, number: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "row"], ascending=[False, True], kind="stable", ignore_index=True)
-        lengths = part["length"].to_numpy()
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by([("length", "descending"), ("row", "ascending")])
+        lengths = part.column("length").to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
         gap = len(fill) - lower_bound(lengths, capacity)
         given = np.zeros(len(fill), dtype=bool)
         given[np.argsort(fill, kind="stable")[: RELEASED * gap]] = True
-        first = (number << 56) + (int(part["part"].iloc[0]) << 28)
-        return pd.DataFrame({"row": part["row"], "length": lengths, "sequence_id": first + bins, "offset": offsets, "open": given[bins]})
+        first = (number << 56) + (key[0].as_py() << 28)
+        return pa.table({"row": part.column("row"), "length": lengths, "sequence_id": first + bins, "offset": offsets, "open": given[bins]})
 
     return run
 
 
+def bound_of(items: DataFrame, capacity: int) -> int:
+    """The lower bound of all items together, from how often each length occurs."""
+    found = items.groupBy("length").agg(F.count("*").alias("n")).toArrow()
+    return lower_bound(None, capacity, np.bincount(found.column("length").to_numpy(), weights=found.column("n").to_numpy(), minlength=capacity + 1).astype(np.int64))
+
+
 def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
     """Packs ``row`` (unique long), ``length`` (1 to ``capacity``): ``row``, ``sequence_id``, ``offset``.
 
@@ -119,18 +128,22 @@ def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 100_000, scrat
     scratch = scratch or Scratch(items.sparkSession, "packing")
     schema = "row long, length long, sequence_id long, offset long, open boolean"
     settled, waiting, number = [], items.select("row", F.col("length").cast("long").alias("length")), 0
-    rows = waiting.count()
+    rows, least = waiting.count(), bound_of(waiting, capacity)
+    closed, before, came = 0, None, None  # bins settled for good; bins that the waiting pieces came from, and their places there
     while True:
         parts = max(1, -(-rows // part_rows))
         dealt = waiting.withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)))
-        packed = scratch.keep(dealt.groupBy("part").applyInPandas(_pack_part(capacity, number), schema))
-        still = packed.where("open").count() if parts > 1 else 0
-        # A single part cannot exchange with another; nor does a round help that leaves nearly everything open.
-        if not still or still > 0.9 * rows:
-            settled.append(packed.select("row", "sequence_id", "offset"))
+        packed = scratch.keep(dealt.groupBy("part").applyInArrow(_pack_part(capacity, number), schema))
+        #: Offset 0 stands once in each bin.
+        bins = {r.open: r for r in packed.groupBy("open").agg(F.sum((F.col("offset") == 0).cast("long")).alias("bins"), F.count("*").alias("rows")).collect()}
+        still, shut = bins.get(True), bins[False].bins if False in bins else 0
+        made = shut + (still.bins if still else 0)
+        if parts == 1 or not still or closed + made <= least or (before is not None and made >= before):
+            settled.append(came if before is not None and made > before else packed.select("row", "sequence_id", "offset"))
             break
         settled.append(packed.where("not open").select("row", "sequence_id", "offset"))
-        waiting, rows, number = packed.where("open").select("row", "length"), still, number + 1
+        waiting, came = packed.where("open").select("row", "length"), packed.where("open").select("row", "sequence_id", "offset")
+        rows, number, closed, before = still.rows, number + 1, closed + shut, still.bins
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)

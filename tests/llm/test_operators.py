@@ -337,6 +337,17 @@ def test_parts_with_gaps_exchange(spark):
     assert len(fill) <= 1.03 * together
 
 
+def test_exchange_goes_on_where_all_is_open_and_ends_when_no_bin_is_saved(spark):
+    lengths = [34] * 500 + [33] * 500 + [1] * 40
+    items = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+    got = rows(packing.pack(items, 100, part_rows=60))
+    fill = defaultdict(int)
+    for x in got:
+        fill[x["sequence_id"]] += lengths[x["row"]]
+    assert len(got) == len(lengths) and max(fill.values()) <= 100
+    assert packing.bound_of(items, 100) <= len(fill) <= packing.bound_of(items, 100) * 1.02 + 1
+
+
 def test_bounds_hold_and_certify():
     r = random.Random(4)
     assert packing.lower_bound(np.array([51] * 10), 100) == 10 and packing.lower_bound(np.array([34] * 9), 100) == 5
