@@ -32,6 +32,7 @@ from .common import crc_mod, map_batches
 UNDETERMINED = "und"
 BITS = 15  #: log2 of the number of n-gram cells
 CELLS = 1 << BITS
+SHORT = 4096  #: code points below which sorting a text's n-grams is cheaper than counting into all cells
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _letter = regex.compile(r"\p{L}").search
 
@@ -39,15 +40,17 @@ _letter = regex.compile(r"\p{L}").search
 def cells(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram cells of a text and how often each occurs."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
-    counts = np.zeros(CELLS, dtype=np.int64)
-    gram = np.zeros(len(codes), dtype=np.uint32)
-    for n in range(3):
-        if len(codes) <= n:
-            break
+    grams, gram = [], np.zeros(len(codes), dtype=np.uint32)
+    for n in range(min(3, len(codes))):
         gram = gram[: len(codes) - n] * _MIX[1] + codes[n:] + np.uint32(n)
         hashed = gram * _MIX[0]
         hashed ^= hashed >> np.uint32(15)
-        counts += np.bincount((hashed * _MIX[2]) >> np.uint32(32 - BITS), minlength=CELLS)
+        grams.append((hashed * _MIX[2]) >> np.uint32(32 - BITS))
+    if len(codes) < SHORT:
+        return np.unique(np.concatenate(grams), return_counts=True)
+    counts = np.zeros(CELLS, dtype=np.int64)
+    for g in grams:
+        counts += np.bincount(g, minlength=CELLS)
     found = np.flatnonzero(counts)
     return found, counts[found]
 
@@ -70,9 +73,9 @@ def frequencies(training: DataFrame) -> tuple[int, np.ndarray]:
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[found])], names=["cell", "n"])
 
-    rows = training.select("text").mapInArrow(partial, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = training.select("text").mapInArrow(partial, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS + 1, dtype=np.int64)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return int(out[CELLS]), out[:CELLS]
 
 
@@ -140,8 +143,28 @@ class Model:
         return self.softmax.predict(text, self.idf)
 
 
+def _learn(data: pa.Table, idf: np.ndarray, epochs: int, set_aside: float) -> SparseSoftmax:
+    """The fitted and calibrated regression of ``lang``, ``cells``, ``counts``, in the order of ``data``."""
+    langs = sorted(set(data.column("lang").to_pylist()))
+    softmax = SparseSoftmax(langs)
+    rows = [(np.asarray(c.values), weights(np.asarray(c.values), np.asarray(n.values), idf), langs.index(k.as_py())) for k, c, n in zip(data.column("lang"), data.column("cells"), data.column("counts"), strict=True)]
+    order = np.random.default_rng(7).permutation(len(rows))
+    held = order[: int(set_aside * len(rows))]
+    for _ in range(epochs):
+        for i in order[len(held) :]:
+            softmax.learn(*rows[i])
+    softmax.finish()
+    if len(held):
+        softmax.calibrate(np.array([rows[i][1] @ softmax.w[rows[i][0]] for i in held]), np.array([rows[i][2] for i in held]))
+    return softmax
+
+
 def fit(training: DataFrame, sample_rows: int = 6000, epochs: int = 3, set_aside: float = 0.2) -> Model:
-    """Fits on ``doc_id``, ``text``, ``lang`` of the training part."""
+    """Fits on ``doc_id``, ``text``, ``lang`` of the training part.
+
+    The sample, some ``sample_rows`` rows whatever the table's size, comes together in
+    one task, which learns from it; the driver gets the weights that are not zero.
+    """
     rows, seen = frequencies(training)
     idf = np.log((1.0 + rows) / (1.0 + seen)) + 1.0
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("langid")), F.lit(1_000_000))
@@ -151,20 +174,22 @@ def fit(training: DataFrame, sample_rows: int = 6000, epochs: int = 3, set_aside
         "doc_id long, lang string, cells array<int>, counts array<int>",
         ["doc_id", "lang", "cells", "counts"],
     )
-    data = sample.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")]).to_batches()
-    langs = sorted({x for b in data for x in b.column("lang").to_pylist()})
-    softmax = SparseSoftmax(langs)
-    if langs:
-        rows = [(np.asarray(c.values), weights(np.asarray(c.values), np.asarray(n.values), idf), langs.index(k.as_py())) for b in data for k, c, n in zip(b.column("lang"), b.column("cells"), b.column("counts"), strict=True)]
-        order = np.random.default_rng(7).permutation(len(rows))
-        held = order[: int(set_aside * len(rows))]
-        for _ in range(epochs):
-            for i in order[len(held) :]:
-                softmax.learn(*rows[i])
-        softmax.finish()
-        if len(held):
-            softmax.calibrate(np.array([rows[i][1] @ softmax.w[rows[i][0]] for i in held]), np.array([rows[i][2] for i in held]))
-        softmax.z = softmax.n = None
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            softmax = _learn(pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("lang", "ascending")]), idf, epochs, set_aside)
+            for k, lang in enumerate(softmax.langs):
+                used = np.flatnonzero(softmax.w[:, k])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([softmax.temperature]), pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([softmax.w[used, k]], pa.list_(pa.float32()))], names=["lang", "temperature", "cells", "weights"])
+
+    learned = sample.repartition(1).mapInArrow(learn, "lang string, temperature double, cells array<int>, weights array<float>").toArrow().sort_by("lang")
+    learned = list(zip(*(learned.column(n) for n in ("lang", "temperature", "cells", "weights")), strict=True))
+    softmax = SparseSoftmax([lang.as_py() for lang, *_ in learned])
+    softmax.finish()
+    for k, (_, temperature, found, w) in enumerate(learned):
+        softmax.temperature = temperature.as_py()
+        softmax.w[np.asarray(found.values), k] = np.asarray(w.values)
+    softmax.z = softmax.n = None
     return Model(idf, softmax)
 
 
