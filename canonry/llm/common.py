@@ -24,10 +24,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where the session names none (tests, one machine)."""
+    """The folder every executor can reach. Where a session of one machine alone names none (tests), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="canonry-")
     return path.rstrip("/")
 
