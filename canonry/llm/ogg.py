@@ -30,6 +30,7 @@ CAPTURE, HEADER, CONTINUED, FIRST, LAST, SEGMENTS, FULL = b"OggS", Struct("<4sBB
 RATE = 8000  #: samples a second
 PACKET = 4000  #: samples in a packet: half a second
 INDEXED = 64_000  #: samples in a run that one index packet describes: eight seconds
+SOUND_NAME, INDEX_NAME = b"PCM8\0\0\0\0", b"INDEX\0\0\0"
 SOUND = Struct("<8sBBI")  #: head of the sample stream: name, channels, bits, rate
 INDEX = Struct("<qII")  #: an index packet: first sample, samples, their crc32
 MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
@@ -79,7 +80,7 @@ def mux(payload: bytes, n_bytes: int) -> bytes:
     """An Ogg file of the payload as 8-bit samples, with its index as a second logical stream."""
     serial = zlib.crc32(payload)
     sound, index = _Stream(serial), _Stream(serial ^ 0xFFFFFFFF)
-    out = sound.pages([SOUND.pack(b"PCM8\0\0\0\0", 1, 8, RATE)], [0], FIRST) + index.pages([b"INDEX\0\0\0" + n_bytes.to_bytes(8, "little")], [0], FIRST)
+    out = sound.pages([SOUND.pack(SOUND_NAME, 1, 8, RATE)], [0], FIRST) + index.pages([INDEX_NAME + n_bytes.to_bytes(8, "little")], [0], FIRST)
     for at in range(0, len(payload), INDEXED):
         run = payload[at : at + INDEXED]
         final = at + INDEXED >= len(payload)
@@ -145,29 +146,47 @@ def demux(media: bytes) -> dict[int, dict]:
 
 
 def unpack(media: bytes) -> dict:
-    """Payload and measures of a file as ``mux`` writes it; timestamps come from the granule positions."""
+    """Payload and measures of a file as ``mux`` writes it; timestamps come from the granule positions.
+
+    Raises ValueError where ``demux`` does, and where a head or index packet is
+    missing or of another size, or says what the samples don't bear out.
+    """
     streams = demux(media)
-    by_name = {s["packets"][0][:5]: s for s in streams.values()}
-    sound, index = by_name.get(b"PCM8\0"), by_name.get(b"INDEX")
+    if len(streams) != 2 or not all(s["packets"] for s in streams.values()):
+        raise ValueError("not two streams with packets")
+    by_name = {s["packets"][0][:8]: s for s in streams.values()}
+    sound, index = by_name.get(SOUND_NAME), by_name.get(INDEX_NAME)
     if sound is None or index is None:
         raise ValueError("a stream is missing")
-    _, _, bits, rate = SOUND.unpack(sound["packets"][0])
-    payload = b"".join(sound["packets"][1:])
+    if len(sound["packets"][0]) != SOUND.size or len(index["packets"][0]) != 16:
+        raise ValueError("size of a head packet")
+    _, channels, bits, rate = SOUND.unpack(sound["packets"][0])
+    if channels != 1 or bits != 8 or not rate:
+        raise ValueError("kind of samples")
+    payload, n_bytes = b"".join(sound["packets"][1:]), int.from_bytes(index["packets"][0][8:], "little")
+    if n_bytes > len(payload) or len(payload) - n_bytes > 64:
+        raise ValueError("size before padding")
+    described = 0
     for packet, g in zip(index["packets"][1:], index["granules"][1:], strict=True):
+        if len(packet) != INDEX.size:
+            raise ValueError("size of an index packet")
         at, size, crc = INDEX.unpack(packet)
-        if g != at + size or zlib.crc32(payload[at : at + size]) != crc:
+        if at != described or g != at + size or zlib.crc32(payload[at : at + size]) != crc:
             raise ValueError("index")
+        described += size
+    if described != len(payload):
+        raise ValueError("index")
     ends, position = [], 0
     known = sound["granules"][1:]
     for p, g in zip(sound["packets"][1:], known, strict=True):
-        position += len(p) * 8 // bits
+        position += len(p)
         if g is not None and g != position:
             raise ValueError("granule position")
         ends.append(position)
     if not ends or ends[-1] != len(payload):
         raise ValueError("length")
     starts_ms = [e * 1000 // rate for e in [0, *ends[:-1]]]
-    return {"payload": payload, "n_bytes": int.from_bytes(index["packets"][0][8:16], "little"), "streams": len(streams), "pages": sum(s["pages"] for s in streams.values()), "packets": len(ends), "duration_ms": ends[-1] * 1000 // rate, "last_start_ms": starts_ms[-1], "rate": rate, "bits": bits}
+    return {"payload": payload, "n_bytes": n_bytes, "streams": len(streams), "pages": sum(s["pages"] for s in streams.values()), "packets": len(ends), "duration_ms": ends[-1] * 1000 // rate, "last_start_ms": starts_ms[-1], "rate": rate, "bits": bits}
 
 
 def feature(found: dict) -> str:
@@ -192,7 +211,7 @@ def read(stored: DataFrame) -> DataFrame:
         for i, media in zip(ids, files, strict=True):
             try:
                 found = unpack(media or b"")
-            except (ValueError, KeyError, IndexError) as e:
+            except ValueError as e:
                 rows.append((i, None, None, None, len(media or b""), hashlib.sha256(media or b"").hexdigest(), None, str(e)))
                 continue
             p = found["payload"]

@@ -242,6 +242,38 @@ def test_ogg_packets_over_many_pages():
     assert found["packets"][1:] == packets and found["closed"]
 
 
+def test_ogg_malformed_files_give_errors(spark):
+    def two(sound_head, index_head, packets, granules, index, index_granules):
+        sound, own = ogg._Stream(1), ogg._Stream(2)
+        return b"".join([*sound.pages([sound_head], [0], ogg.FIRST), *own.pages([index_head], [0], ogg.FIRST), *sound.pages(packets, granules, last=True), *own.pages(index, index_granules, last=True)])
+
+    head, index_head, data = ogg.SOUND.pack(ogg.SOUND_NAME, 1, 8, 8000), ogg.INDEX_NAME + (3).to_bytes(8, "little"), bytes(64)
+    entry = ogg.INDEX.pack(0, 64, zlib.crc32(data))
+    good = two(head, index_head, [data], [64], [entry], [64])
+    bad = [
+        two(head + b"x", index_head, [data], [64], [entry], [64]), two(head[:5], index_head, [data], [64], [entry], [64]), two(head, index_head[:9], [data], [64], [entry], [64]),
+        two(ogg.SOUND.pack(ogg.SOUND_NAME, 1, 8, 0), index_head, [data], [64], [entry], [64]), two(ogg.SOUND.pack(ogg.SOUND_NAME, 1, 0, 8000), index_head, [data], [64], [entry], [64]), two(ogg.SOUND.pack(ogg.SOUND_NAME, 2, 8, 8000), index_head, [data], [64], [entry], [64]),
+        two(head, index_head, [data], [64], [entry[:7]], [64]), two(head, index_head, [data], [64], [], []), two(head, index_head, [data], [63], [entry], [64]), two(head, index_head, [data], [64], [entry], [65]),
+        two(head, index_head, [data], [64], [entry, entry], [64, 64]), two(head, ogg.INDEX_NAME + (2**40).to_bytes(8, "little"), [data], [64], [entry], [64]), two(head, b"OTHER\0\0\0" + bytes(8), [data], [64], [entry], [64]),
+        b"".join(ogg._Stream(1).pages([head], [0], ogg.FIRST, last=True)), b"".join(ogg._Stream(1).pages([], [], ogg.FIRST, last=True)), good + good, b"OggS", b"",
+    ]
+    r = random.Random(5)
+    for _ in range(400):  # damage with the checksums put right
+        own = bytearray(good)
+        for _ in range(r.randint(1, 4)):
+            own[r.randrange(len(own))] = r.randrange(256)
+        at = 0
+        while at + 27 <= len(own):
+            end = min(len(own), at + 27 + own[at + 26] + sum(own[at + 27 : at + 27 + own[at + 26]]))
+            own[at + 22 : at + 26] = ogg.page_crc(bytes(own[at : at + 22] + bytes(4) + own[at + 26 : end])).to_bytes(4, "little")
+            at = end
+        bad.append(bytes(own[: len(good)]))
+    got = {r["doc_id"]: r for r in rows(ogg.read(spark.createDataFrame([(-1, good), *enumerate(bad)], "doc_id long, media binary")))}
+    assert got[-1]["error"] is None and got[-1]["payload"] == data and got[-1]["n_bytes"] == 3 and len(got) == 1 + len(bad)
+    assert all(got[i]["error"] and got[i]["payload"] is None for i in range(18))
+    assert all((r["error"] is None) == (r["payload"] is not None) for r in got.values())
+
+
 # 6
 
 
