@@ -119,16 +119,48 @@ def test_neighbours_exact_on_small_and_odd_vectors(spark):
     assert rows(neighbours.search(vectors(spark, x[:3]), F.col("vec_id") % 100 == 0).select("vec_id")) and neighbours.search(vectors(spark, x).limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_neighbours_recall_over_learned_parts(spark):
+@pytest.mark.parametrize("most_parts", [128, 8])
+def test_neighbours_recall_over_learned_parts(spark, most_parts):
     rng = np.random.default_rng(1)
     x = (rng.standard_normal((12, 16))[rng.integers(0, 12, 6000)] * 3 + rng.standard_normal((6000, 16))).astype(np.float32)
     got = defaultdict(set)
-    for r in rows(neighbours.search(vectors(spark, x), F.col("vec_id") % 100 == 0, sample_rows=2000, part_rows=400)):
+    for r in rows(neighbours.search(vectors(spark, x), F.col("vec_id") % 100 == 0, sample_rows=2000, part_rows=200, most_parts=most_parts)):
         got[r["query_id"]].add(r["vec_id"])
     want = brute_neighbours(np.arange(6000), x.astype(float), 10)
     assert np.mean([len(got[q] & {v for v, _ in w}) / 10 for q, w in want.items()]) >= 0.9
 
 
+def test_two_levels_hold_more_parts_than_one(spark):
+    x = np.random.default_rng(4).standard_normal((4000, 6)).astype(np.float32)
+    compared = vectors(spark, x).select("vec_id", F.col("embedding").alias("v"))
+    index = neighbours.build(compared, 4000, "array<float>", 1500, 0.95, 100, 8)
+    assert index.top.parts == 8 and index.parts > 16 and 1 <= index.probes < index.parts
+    at = index.assign(x.astype(float))
+    assert set(at) <= set(range(index.parts)) and (index.order(x[:200].astype(float))[:, : index.probes] == at[:200, None]).any(axis=1).mean() > 0.9
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e5, 1e7])
+def test_nearest_far_from_the_origin(shift):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 8)) + shift
+    x[5] = x[7] = x[11]
+    q, c, d = neighbours.nearest(x[:30], np.arange(30), x, np.arange(3000), 10)
+    for i in range(30):
+        own = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        best = [j for j in np.lexsort((np.arange(3000), own)) if j != i][:10]
+        assert c[q == i].tolist() == best and d[q == i].tolist() == own[best].tolist()
+
+
+def test_a_vector_that_a_third_of_the_rows_share(spark):
+    x = np.random.default_rng(3).standard_normal((900, 8)).astype(np.float32)
+    x[300:600] = x[300]
+    got = defaultdict(list)
+    repeated = [(3, [float(c) for c in x[300]], 0, 1.0)] * 15
+    for r in sorted(rows(neighbours.search(vectors(spark, x, repeated), F.col("vec_id") % 100 == 0, recall=1.0)), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["vec_id"])
+    assert got[400] == [3, *range(300, 309)] and got[300] == [3, *range(301, 310)] and len(got) == 9
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(2).standard_normal((512, 6))
     assert set(np.bincount(neighbours.balanced_parts(neighbours.neighbour_graph(x, 8), 3))) == {64}
