@@ -6,10 +6,11 @@ its closing quote (over line ends only where no line of it has a blank inside);
 unquoted one ends at a blank, quote, bracket, comma, semicolon, bar or ``&name=``. Values
 have 8 characters at least, long strings 20. The patterns of assignments and long strings
 take time linear in the text (that of web tokens does not on a run of many ``eyJ-``).
-The forest judges each by its length, its character transitions, how much of it words
-cover, the path (or source) it comes from and the words beside it. It is trained on
-labelled findings: ``labelled`` makes a set of them from stated formats, and ``fit``
-takes any other.
+The forest judges each by its length, its character transitions, how much of it the
+words of a dictionary cover, the path (or source) it comes from and the words beside
+it. The dictionary holds the ``DICTIONARY`` most frequent words of all documents. The
+forest is trained on labelled findings: ``labelled`` makes a set of them from stated
+formats, with words of the dictionary, and ``fit`` takes any other.
 
 Defined results: null and empty texts have no findings; a null path counts as ""; a
 candidate that occurs twice in a text is found twice; findings don't overlap: secrets
@@ -24,6 +25,8 @@ import math
 import random
 import re
 import string
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,7 +61,10 @@ _KNOWN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KNOWN.items()))
 #: What each candidate must be near, so that texts without any of it need no scan.
 _HINT = re.compile(r"[0-9]|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|" + _ANY_NAME)
 _WORDS = re.compile(r"[A-Za-zÀ-ÿ]+")
-FEATURES = 24
+_PARTS, _JOINTS = re.compile(r"[^\w.-]"), re.compile(r"[_.-]")
+FEATURES = 25
+DICTIONARY = 20_000  #: words of the dictionary at most
+WORD_LETTERS = range(4, 17)  #: letters of its words
 REDACTED = "[SECRET]"
 
 
@@ -101,7 +107,41 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(candidate: str, path: str, before: str, after: str) -> list[float]:
+def dictionary(docs: DataFrame, most: int = DICTIONARY, least: int = 3) -> frozenset[str]:
+    """The words of letters alone that occur most often in all documents, ``least`` times at least; ties in their order."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def found():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                counts.update(w for w in (t or "").lower().split() if len(w) in WORD_LETTERS and w.isalpha())
+            if len(counts) > 500_000:
+                yield found()
+                counts.clear()
+        if counts:
+            yield found()
+
+    small_batches(docs.sparkSession)
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r.word for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def coverage(candidate: str, words: frozenset[str]) -> float:
+    """The largest share of the characters that words of the dictionary cover without overlap."""
+    total = 0
+    for run in _WORDS.findall(candidate.lower()):
+        best = [0] * (len(run) + 1)
+        for i in range(1, len(run) + 1):
+            best[i] = max([best[i - 1], *(best[i - k] + k for k in WORD_LETTERS if k <= i and run[i - k : i] in words)])
+        total += best[-1]
+    return total / max(1, len(candidate))
+
+
+def features(candidate: str, path: str, before: str, after: str, words: frozenset[str] = frozenset()) -> list[float]:
     """What the forest sees of a finding."""
     n = len(candidate)
     lower, kinds = candidate.lower(), [_kind(c) for c in candidate]
@@ -111,15 +151,15 @@ def features(candidate: str, path: str, before: str, after: str) -> list[float]:
     entropy = float(-(counts * np.log2(counts)).sum())
     pairs = sum(a in "aeiouyAEIOUY" and b.isalpha() and b not in "aeiouyAEIOUY" or b in "aeiouyAEIOUY" and a.isalpha() and a not in "aeiouyAEIOUY" for a, b in zip(candidate, candidate[1:], strict=False)) / max(1, n - 1)
     runs = [len(w) for w in _WORDS.findall(candidate)]
-    words = sum(r for r in runs if r >= 4) / max(1, n)
     near = _WORDS.findall(before.lower())[-6:] + _WORDS.findall(after.lower())[:3]
     left = before.rstrip().rstrip("\"'`").rstrip()
+    name = (_PARTS.split(left.rstrip("=:> \t\"'`")) or [""])[-1].lower()
     hexes = sum(c in string.hexdigits for c in candidate) / max(1, n)
     alternating = sum((a.isdigit()) != (b.isdigit()) for a, b in zip(candidate, candidate[1:], strict=False)) / max(1, n - 1)
     return [
         min(n, 256), math.log1p(n), float(n in (32, 40, 64, 128)), steps, alternating, *share, entropy, entropy / max(1.0, math.log2(n or 1)), hexes, pairs,
-        words, max(runs, default=0) / max(1, n), float(any(w in lower for w in HOLDERS)), len(set(lower)) / max(1, min(n, 36)),
-        float(any(x in w for w in near for x in NAMES)), float(any(w in PUBLIC for w in near)), float(left.endswith(("=", ":", "=>"))), float(before[-1:] in "\"'`" and before != ""),
+        coverage(candidate, words), max(runs, default=0) / max(1, n), float(any(w in lower for w in HOLDERS)), len(set(lower)) / max(1, min(n, 36)),
+        float(any(x in w for w in near for x in NAMES)), float(any(x in name for x in NAMES)), float(any(w in PUBLIC for w in _JOINTS.split(name))), float(left.endswith(("=", ":", "=>"))), float(before[-1:] in "\"'`" and before != ""),
         float(any(x in path.lower() for x in ("test", "example", "doc", "spec", "mock", "lock"))), float(any(x in path.lower() for x in (".env", "config", "secret", "cred", ".pem", ".key"))),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", candidate))),
     ]
@@ -134,54 +174,60 @@ class Finding:
     label: int
 
 
-def labelled(size: int = 4000, seed: int = 11) -> list[Finding]:
-    """Labelled findings: credentials and look-alikes in contexts of prose, settings and code."""
+def labelled(size: int = 4000, seed: int = 11, words: frozenset[str] = frozenset()) -> list[Finding]:
+    """Labelled findings: credentials and look-alikes in contexts of prose, settings and code, with ``words`` if there are any."""
     r = random.Random(seed)
+    known = sorted(words)
     syllables = ["th", "er", "on", "an", "ing", "tion", "es", "ent", "ar", "el", "que", "der", "ich", "ung", "ado", "mente", "la", "co", "ri", "st"]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    word = lambda: r.choice(known) if known and r.random() < 0.9 else "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     prose = lambda n: " ".join(word() for _ in range(n))
     of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     hexes, both = "0123456789abcdef", string.ascii_letters + string.digits
-    names, public = list(NAMES), list(PUBLIC)
-    paths_good, paths_bad = ["src/app.py", "config/.env", "settings.yaml", "src3", "src12", "notes.txt", "deploy/config.json", ""], ["src/app.py", "tests/test_app.py", "docs/example.md", "package.lock", "src3", "src12", "notes.txt", ""]
+    paths = ["src/app.py", "src3", "src12", "notes.txt", "", "data.csv"]
+    real, unreal = [*paths, "config/.env", "settings.yaml", "deploy/config.json"], [*paths, "tests/test_app.py", "docs/example.md", "package.lock"]
+
+    def credential() -> tuple[str, str]:
+        kind = r.randrange(10)
+        value = [lambda: of(hexes, r.choice([*range(16, 41, 2), 40, 40, 48, 64])), lambda: of(hexes, r.choice([32, 40])).upper(), lambda: of(both, r.randint(12, 48)), lambda: of(both + "+/", r.choice([40, 44, 64, 88])), lambda: "AKIA" + of(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + of(both, 36), lambda: of(both + "-_", r.randint(16, 40)), lambda: of(both + "@%^!#", r.randint(9, 18)), lambda: of(both, r.randint(40, 400)), lambda: of("0123456789" * 3 + hexes, r.randint(14, 32))][kind]()
+        if kind in (4, 5) and r.random() < 0.5:
+            return value, prose(r.randint(0, 6)) + " "
+        name = r.choice(["", "", "", "db_", "my_", "app.", "PROD_", "client-"]) + r.choice(NAMES)
+        name = name.upper() if r.random() < 0.3 else name
+        return value, prose(r.randint(0, 6)) + " " + name + r.choice([" = ", "=", "=", ": ", " => "]) + r.choice(['"', '"', "'", ""])
+
+    def lookalike() -> tuple[str, str]:
+        kind, joint = r.randrange(9), r.choice([" ", ": ", "=", " = "])
+        if kind == 0:  # digests with a public name
+            return of(hexes, r.choice([32, 40, 64])), prose(r.randint(0, 4)) + " " + r.choice(PUBLIC) + joint
+        if kind == 1:
+            return "-".join(of(hexes, n) for n in (8, 4, 4, 4, 12)), prose(r.randint(0, 4)) + " " + r.choice([*PUBLIC, word()]) + joint
+        if kind == 2:  # placeholders
+            return r.choice(["your_api_key_here", "changeme123", "example-token-value", "xxxxxxxxxxxxxxxxxxxx", "password123456", "test_secret_value", "<placeholder>", "dummy_token_0000", "REDACTED_REDACTED", "${SECRET_TOKEN}"]), prose(r.randint(0, 4)) + " " + r.choice(NAMES) + r.choice([" = ", ": ", "="]) + r.choice(['"', ""])
+        if kind == 3:  # identifiers of code, also as the value of a name
+            return "_".join(word() for _ in range(r.randint(2, 5))) + r.choice(["", "_2", "_v1", "_10"]), prose(2) + " " + r.choice(["", *NAMES]) + r.choice([" = ", "=", "("])
+        if kind == 4:  # long words and numbered words
+            return word() + word() + word() + of("0123456789", r.randint(1, 4)), prose(r.randint(1, 6)) + " "
+        if kind == 5:
+            return "/".join(word() for _ in range(r.randint(3, 6))) + "/" + of("0123456789", 3), prose(2) + " "
+        if kind == 6:  # words that follow a secret's name in prose
+            return "".join(word() for _ in range(r.randint(1, 4))), prose(r.randint(0, 4)) + " " + r.choice(NAMES) + r.choice([": ", " = ", "="]) + r.choice(['"', ""])
+        if kind == 7:  # names that stand for a value
+            return r.choice(["config", "settings", "self", "os.environ", "env", "process.env"]) + "." + r.choice(NAMES) + r.choice(["", "_" + word()]), prose(2) + " " + r.choice(NAMES) + r.choice([" = ", "="])
+        return of("0123456789", r.randint(10, 24)) + r.choice(["", "a", "px"]), prose(r.randint(0, 4)) + " "
+
     out = []
     for i in range(size):
-        if i % 2:
-            value = r.choice([lambda: of(hexes, r.choice([32, 40, 40, 40, 64])), lambda: of(hexes, 40).upper(), lambda: of(both, r.randint(20, 48)), lambda: of(both + "+/", r.choice([40, 44, 64, 88])), lambda: "AKIA" + of(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + of(both, 36), lambda: of(both + "-_", r.randint(16, 40)), lambda: of(both + "@%^", r.randint(10, 18))])()
-            name = r.choice(names)
-            if r.random() < 0.4:
-                name = r.choice(["db_", "my_", "app.", "PROD_", ""]) + name
-            if r.random() < 0.3:
-                name = name.upper()
-            sign, quote = r.choice([" = ", "=", ": ", " => "]), r.choice(['"', '"', "'", ""])
-            known = value.startswith(("AKIA", "ghp_")) and r.random() < 0.5
-            before = prose(r.randint(0, 6)) + " " + ("" if known else name + sign + quote)
-            out.append(Finding(value, r.choice(paths_good), before[-80:], quote + " " + prose(r.randint(0, 4)), 1))
-            continue
-        kind = r.randrange(8)
-        if kind == 0:  # digests with a public name
-            value, before = of(hexes, r.choice([32, 40, 64])), prose(r.randint(0, 4)) + " " + r.choice(public) + r.choice([" ", ": ", "=", " = "])
-        elif kind == 1:
-            value, before = "-".join(of(hexes, n) for n in (8, 4, 4, 4, 12)), prose(r.randint(0, 4)) + " " + r.choice([*public, word()]) + r.choice([" ", ": ", "="])
-        elif kind == 2:  # placeholders
-            value, before = r.choice(["your_api_key_here", "changeme123", "example-token-value", "xxxxxxxxxxxxxxxxxxxx", "password123456", "test_secret_value", "<placeholder>", "dummy_token_0000", "REDACTED_REDACTED", "${SECRET_TOKEN}"]), r.choice(names) + r.choice([" = ", ": ", "="]) + r.choice(['"', ""])
-        elif kind == 3:  # identifiers of code
-            value, before = "_".join(word() for _ in range(r.randint(2, 5))) + r.choice(["", "_2", "_v1", "_10"]), prose(2) + r.choice([" ", " = ", "("])
-        elif kind == 4:  # long words and numbered words
-            value, before = word() + word() + word() + of("0123456789", r.randint(1, 4)), prose(r.randint(1, 6)) + " "
-        elif kind == 5:
-            value, before = "/".join(word() for _ in range(r.randint(3, 6))) + "/" + of("0123456789", 3), prose(2) + " "
-        elif kind == 6:  # words that follow a secret's name in prose
-            value, before = "".join(word() for _ in range(r.randint(3, 5))), prose(r.randint(0, 4)) + " " + r.choice(names) + r.choice([": ", " = ", ": "])
-        else:
-            value, before = of("0123456789", r.randint(10, 24)) + r.choice(["", "a", "px"]), prose(r.randint(0, 4)) + " "
-        out.append(Finding(value, r.choice(paths_bad), before[-80:], " " + prose(r.randint(0, 4)), 0))
+        value, before = credential() if i % 2 else lookalike()
+        quote = before[-1:] if before[-1:] in ("\"", "'") else ""
+        out.append(Finding(value, r.choice(real if i % 2 else unreal), before[-80:], quote + " " + prose(r.randint(0, 4)), i % 2))
     return out
 
 
 class Forest:
     """A random forest of binary trees over quantile bins."""
 
+    words: frozenset[str] = frozenset()
+
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 8, least: int = 4, bins: int = 24, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
@@ -232,14 +278,23 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def fit(findings: list[Finding]) -> Forest:
-    x = np.array([features(f.candidate, f.path, f.before, f.after) for f in findings]).reshape(-1, FEATURES)
-    return Forest(x, np.array([f.label for f in findings], dtype=float))
+def fit(findings: list[Finding], words: frozenset[str] = frozenset()) -> Forest:
+    """A forest of labelled findings; it keeps the dictionary ``words`` that its features go by."""
+    x = np.array([features(f.candidate, f.path, f.before, f.after, words) for f in findings]).reshape(-1, FEATURES)
+    forest = Forest(x, np.array([f.label for f in findings], dtype=float))
+    forest.words = words
+    return forest
+
+
+def learned(docs: DataFrame) -> Forest:
+    """The forest for a corpus: its dictionary, and findings labelled with that."""
+    words = dictionary(docs)
+    return fit(labelled(words=words), words)
 
 
 def findings_of(text: str | None, path: str | None, forest: Forest, threshold: float = 0.5) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of every finding of a text. Secrets that overlap are one; no other candidate overlaps anything."""
-    scored = [(a, b, kind, forest.score(features(text[a:b], path or "", text[max(0, a - 80) : a], text[b : b + 40]))) for a, b, kind in candidates(text)]
+    scored = [(a, b, kind, forest.score(features(text[a:b], path or "", text[max(0, a - 80) : a], text[b : b + 40], forest.words))) for a, b, kind in candidates(text)]
     found: list[tuple[int, int, str, float]] = []
     for a, b, kind, score in scored:
         if score >= threshold:
@@ -260,7 +315,7 @@ def findings_of(text: str | None, path: str | None, forest: Forest, threshold: f
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """One row a candidate: ``doc_id``, ``start``, ``end`` (characters), ``kind``, ``secret``, ``score``, ``is_secret``."""
-    forest = forest or fit(labelled())
+    forest = forest or learned(docs)
 
     def run(ids, texts, paths):
         rows = [(i, a, b, k, t[a:b], s, s >= threshold) for i, t, p in zip(ids, texts, paths, strict=True) for a, b, k, s in findings_of(t, p, forest, threshold)]
@@ -273,7 +328,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; texts without any are as before."""
-    forest = forest or fit(labelled())
+    forest = forest or learned(docs)
     small_batches(docs.sparkSession)
 
     def clean(text: str | None, path: str | None) -> str | None:

@@ -82,6 +82,76 @@ def test_secrets_overlap_nowhere_and_are_found_in_linear_time():
         assert len(secrets.candidates(text)) < 10
 
 
+def planted_findings():
+    """Texts with one secret or one look-alike each, made otherwise than the forest's own findings: (text, secret or None)."""
+    r = random.Random(21)
+    vocabulary = ["river", "garden", "winter", "letter", "market", "window", "orange", "silver", "thunder", "meadow"]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    hexes, letters = "0123456789abcdef", "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    out = []
+    for i in range(240):
+        name = ["password", "API_KEY", "session_token", "client.secret", "auth", "pwd"][i % 6]
+        value = [of(hexes, 18), of(hexes, 40), of(letters, 24), of(letters, 32) + "==", of(letters, 11) + "!" + of(letters, 3), "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)][i // 6 % 6]
+        sign, quote = ["=", " = ", ": "][i % 3], ["", '"', "'"][i // 3 % 3]
+        out.append((f"{say(8)} {name}{sign}{quote}{value}{quote} {say(6)}", value))
+    for i in range(240):
+        fake = [
+            f"sha256: {of(hexes, 64)}", f"commit {of(hexes, 40)}", f"checksum={of(hexes, 40)}", f"uuid = {of(hexes, 8)}-{of(hexes, 4)}-{of(hexes, 4)}-{of(hexes, 4)}-{of(hexes, 12)}", "password: changeme123", 'token = "your_token_here"',
+            f"secret: {r.choice(vocabulary)}{r.choice(vocabulary)}", f"password = {r.choice(vocabulary)}_{r.choice(vocabulary)}_{r.choice(vocabulary)}", "auth = settings.auth_token", f"order {of('0123456789', 22)}a", f"{'/'.join(r.choice(vocabulary) for _ in range(4))}/2024", f"etag: {of(hexes, 32)}",
+        ][i % 12]
+        out.append((f"{say(7)} {fake} {say(5)}", None))
+    return out, [" ".join(vocabulary)] * 5
+
+
+def test_secrets_precision_and_recall_on_planted_findings(spark):
+    planted, filling = planted_findings()
+    docs = frame(spark, [t for t, _ in planted] + filling)
+    forest = secrets.learned(docs)
+    assert {"river", "thunder", "meadow"} <= forest.words
+    got, rejected = defaultdict(list), 0
+    for x in rows(secrets.scan(docs, forest)):
+        if x["is_secret"]:
+            got[x["doc_id"]].append(x["secret"])
+        else:
+            rejected += planted[x["doc_id"]][1] is None
+    right = sum(s in got[i] for i, (_, s) in enumerate(planted) if s)
+    wrong = sum(len(f) for i, f in got.items() if planted[i][1] is None)
+    print(right, wrong, rejected, [planted[i] for i, f in got.items() if planted[i][1] is None][:5], [p for i, p in enumerate(planted) if p[1] and p[1] not in got[i]][:5])
+    assert right >= 0.97 * 240 and wrong <= 0.03 * 240 and rejected >= 150
+
+
+def test_long_runs_match_brute_force():
+    r = random.Random(8)
+    allowed = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    for _ in range(300):
+        text = "".join(r.choice("abcXYZ019+/_=-" * 4 + " .,é\n") for _ in range(r.randint(0, 400)))
+        want, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in allowed:
+                end += 1
+            run = text[at:end]
+            if len(run) >= 20 and any(c.isdigit() for c in run) and any(c.isascii() and c.isalpha() for c in run):
+                want.append((at, end, "long"))
+            at = max(end, at + 1)
+        assert [c for c in secrets.candidates(text) if c[2] == "long"] == want
+
+
+def test_coverage_by_the_dictionary_matches_brute_force(spark):
+    words = frozenset(["abcd", "bcde", "cdef", "efgh", "abcdefg"])
+
+    def most(run):
+        return max([0, *(most(run[1:]) for _ in run[:1]), *(k + most(run[k:]) for k in range(1, len(run) + 1) if run[:k] in words)])
+
+    r = random.Random(9)
+    for _ in range(200):
+        text = "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 12)))
+        assert secrets.coverage(text, words) == most(text) / len(text)
+    docs = frame(spark, ["Silver silver, silver moon", "silver noon", None, ""])
+    assert secrets.dictionary(docs) == {"silver"} and secrets.dictionary(docs, least=1) == {"silver", "moon", "noon"} and secrets.dictionary(docs, 1) == {"silver"} and secrets.dictionary(empty(spark)) == frozenset()
+
+
 def test_forest_generalises():
     all_ = secrets.labelled(1500, seed=5)
     forest = secrets.fit(all_[:1000])
