@@ -2,23 +2,26 @@
 
 A document's set holds its distinct word n-grams; two link when the Jaccard
 similarity of their sets reaches a threshold, tested on whole numbers. One global
-order of n-grams (by hash) is cut into fragments, and overlaps are counted fragment
-by fragment:
+order of n-grams (by hash) is cut into fragments:
 
 1. The first fragment of a set is as long as the n-grams that a linked partner may
    lack, and ``extra`` more. So at least about ``extra`` of it are shared with that
    partner; sets with fewer shared n-grams in it link with nothing and are done.
 2. Among the rest, n-grams are counted and ordered anew, rarest first. Linked sets
-   share one of the first n-grams by that order; sets that share one, directly or
-   over others, form a cluster.
-3. Within a cluster, blocks of at most ``BLOCK`` sets meet each other once. Their
-   common n-grams are cut into fragments again; each gives partial overlaps of all
-   pairs of the block at once, which are summed per pair and tested. Only a spanning
-   forest of the links leaves a task, never the pairs.
-
-Equal sets count once throughout, so copies cost nothing, whatever their number.
-Every step is exact: sketches and hashes only choose an order or skip work that
-cannot yield a link. (N-grams and sets are told apart by 64-bit hashes.)
+   share one of the first n-grams by that order. Of the sets that share one, the
+   first is the hub and the others are its spokes.
+3. Hubs and spokes are cut into fragments of the global order, and dealt out by hub
+   and fragment: each gives the partial overlaps of its spokes with the hub, which are
+   summed per pair and tested. A hub with more spokes gets more fragments.
+4. Spokes of one hub that these links leave in different components meet each other,
+   in blocks of some ``BLOCK`` sets of like size; blocks of one component don't meet.
+   They are dealt out by pair of blocks and fragment, and partial overlaps summed per
+   pair again. Only a spanning forest of the links leaves a task, never the pairs.
+
+Equal sets count once throughout, and near copies of one text mostly link with its
+hub, so that they need not meet each other. Every step is exact: sketches and hashes
+only choose an order or skip work that cannot yield a link. (N-grams and sets are told
+apart by 64-bit hashes.)
 
 Defined results: a document with fewer words than ``width`` has one n-gram, all its
 words; without words, or with a null text, it has none and links with nothing; a
@@ -41,7 +44,7 @@ from .common import Scratch, documents_of, small_batches
 
 MEMO_WORDS = 200_000
 BLOCK = 256  #: sets of one block
-FRAGMENT = 4096  #: n-grams of one fragment within a block
+FRAGMENT = 1_000_000  #: about how many n-grams come together in one fragment of a hub or of a pair of blocks
 HEAVY_HERE, HEAVY_MOST = 32, 100_000  #: times in one task that make an n-gram a candidate for the heavy ones; how many of those are held
 SKETCH_BITS = 22  #: log2 of the most cells of the sketch of frequencies
 BITMAP_BITS = 24  #: log2 of the most bits of the filter of documents
@@ -176,19 +179,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (gram, place, sig) sorted: each set of a list with the list's first."""
-    last = None
+    """From (gram, place, sig) sorted: each set of a list with the list's first, and whether the list has more than these two."""
+    last = None  # gram, the list's first and second
     for b in batches:
         gram, sig = b.column(0).to_numpy(), b.column(2).to_numpy()
         if not len(gram):
             continue
         if last is not None and gram[0] == last[0]:
-            gram, sig = np.r_[last[0], gram], np.r_[last[1], sig]
+            gram, sig = np.r_[[last[0]] * len(last[1]), gram], np.r_[last[1], sig]
         start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        pivot = np.repeat(sig[start], np.diff(np.r_[start, len(gram)]))
-        last = (gram[-1], pivot[-1])
-        pairs = np.unique(np.stack([pivot, sig], axis=1)[pivot != sig], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+        length = np.diff(np.r_[start, len(gram)])
+        last = (gram[-1], sig[start[-1] : start[-1] + 2])
+        spoke = np.ones(len(gram), dtype=bool)
+        spoke[start] = False
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig[start], length)[spoke]), pa.array(sig[spoke]), pa.array(np.repeat(length > 2, length)[spoke])], names=["a", "b", "more"])
 
 
 def survivors(described: DataFrame, scratch: Scratch, percent: int, extra: float) -> DataFrame:
@@ -217,11 +221,11 @@ def survivors(described: DataFrame, scratch: Scratch, percent: int, extra: float
     return scratch.keep(counted.where("hits + heavy >= need").select("sig"))
 
 
-def full_sets(docs: DataFrame, described: DataFrame, alive: DataFrame, count: int, scratch: Scratch, width: int) -> DataFrame:
+def full_sets(docs: DataFrame, slim: DataFrame, alive: DataFrame, count: int, scratch: Scratch, width: int) -> DataFrame:
     """``sig``, ``grams``: the whole sets of the survivors. Other texts are skipped by a bitmap of hashed ids of fixed size."""
     bits = min(BITMAP_BITS, max(16, math.ceil(math.log2(8 * count + 1))))
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).cast("int")
-    ids = described.where("first is not null").join(alive, "sig").select(cell.alias("cell"))
+    ids = slim.where("new").join(alive, "sig").select(cell.alias("cell"))
     words = ids.groupBy(F.shiftright("cell", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cell & 31)")).alias("bits")).toArrow()
     bitmap = np.zeros(1 << bits >> 5, dtype=np.uint32)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
@@ -268,7 +272,7 @@ def _frequency_classes(sets: DataFrame, grams: int) -> np.ndarray:
 
 
 def candidate_stars(sets: DataFrame, grams: int, percent: int) -> DataFrame:
-    """``a``, ``b``: sets that share one of their rarest n-grams, as stars: all of a list with one of it."""
+    """``a``, ``b``, ``more``: sets that share one of their rarest n-grams, as stars: all of a list with one of it; ``more`` if a list has further ones."""
     classes = _frequency_classes(sets, grams)
     shift = np.uint64(64 - int(math.log2(len(classes))))
 
@@ -286,7 +290,7 @@ def candidate_stars(sets: DataFrame, grams: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(sigs))], names=["gram", "place", "sig"])
 
     lists = sets.select("sig", "grams").mapInArrow(run, "gram long, place int, sig long")
-    return lists.repartition("gram").sortWithinPartitions("gram", "place", "sig").mapInArrow(_stars, "a long, b long").distinct()
+    return lists.repartition("gram").sortWithinPartitions("gram", "place", "sig").mapInArrow(_stars, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -308,72 +312,156 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = state
 
 
-def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``left``, or between ``left`` and ``right``: positions in ``sets``.
+def cut(sets: DataFrame, group: str) -> DataFrame:
+    """``group``, ``fragment``, ``sig``, ``side``, ``n`` and the grams of that fragment, from whole sets with the ``bits`` of their fragments."""
 
-    The n-grams that several of the sets have are cut into fragments; each adds its
-    partial overlaps of all pairs.
-    """
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    grams, where = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), n)
-    common = np.bincount(where)[where] > 1
-    where, owner = where[common], owner[common]
-    kept, where = np.unique(where, return_inverse=True)
-    order = np.argsort(where, kind="stable")
-    where, owner = where[order], owner[order]
-    other = left if right is None else right
-    overlap = np.zeros((len(left), len(other)), dtype=np.int64)
-    row = np.full(len(sets), -1)
-    row[left] = np.arange(len(left))
-    column = np.full(len(sets), -1)
-    column[other] = np.arange(len(other))
-    for at in range(0, len(kept), FRAGMENT):
-        a, b = np.searchsorted(where, [at, at + FRAGMENT])
-        x = np.zeros((len(left), FRAGMENT), dtype=np.float32)
-        own = row[owner[a:b]] >= 0
-        x[row[owner[a:b]][own], where[a:b][own] - at] = 1
-        if right is None:
-            y = x
-        else:
-            y = np.zeros((len(other), FRAGMENT), dtype=np.float32)
-            own = column[owner[a:b]] >= 0
-            y[column[owner[a:b]][own], where[a:b][own] - at] = 1
-        overlap += (x @ y.T).astype(np.int64)
-    union = n[left][:, None] + n[other][None, :] - overlap
-    linked = 100 * overlap >= percent * union
-    if right is None:
-        linked = np.triu(linked, 1)
-    parent = {}
-
-    def find(i):
-        while parent.setdefault(i, i) != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = find(int(left[i])), find(int(other[j]))
-        if a != b:
-            parent[a] = b
-            out.append((int(left[i]), int(other[j])))
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams, n = b.column("grams").flatten().to_numpy(zero_copy_only=False), b.column("n").to_numpy()
+            if not len(grams):
+                continue
+            row = np.repeat(np.arange(len(n)), n)
+            fragment = (grams.view(np.uint64) >> (64 - b.column("bits").to_numpy().astype(np.uint64))[row]).astype(np.int32)
+            start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (fragment[1:] != fragment[:-1])])
+            rows = pa.array(row[start])
+            parts = pa.ListArray.from_arrays(pa.array(np.r_[start, len(grams)].astype(np.int32)), pa.array(grams))
+            yield pa.RecordBatch.from_arrays([b.column(group).take(rows), pa.array(fragment[start]), b.column("sig").take(rows), b.column("side").take(rows), b.column("n").take(rows), parts], names=[group, "fragment", "sig", "side", "n", "grams"])
+
+    return sets.select(group, "sig", "side", F.size("grams").cast("long").alias("n"), "bits", "grams").mapInArrow(run, f"{group} long, fragment int, sig long, side long, n long, grams array<long>")
 
 
-def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``: a spanning forest of the links within each pair of blocks of each cluster."""
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "root").select(F.col("node").alias("sig"), "root", "blocks", F.pmod(F.xxhash64("node", F.lit(6)), F.col("blocks")).cast("int").alias("block"))
-    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+def _bits(grams) -> F.Column:
+    """How many bits of a hash tell the fragments apart, for so many n-grams; at least one."""
+    return F.least(F.lit(20), F.greatest(F.lit(1), F.ceil(F.log2(grams / FRAGMENT)))).cast("long")
 
-    def verify(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        sig, block = table.column("sig").to_numpy(), table.column("block").to_numpy()
-        found = block_links(list(_lists(table.column("grams").combine_chunks())), np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j), percent)
-        at = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": sig[at[:, 0]], "b": sig[at[:, 1]]})
 
-    return sets.join(met, "sig").select("root", "i", "j", "block", "sig", "grams").groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
+def _spokes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (a, fragment, sig, side, n, grams) sorted by hub and fragment, hub first: partial overlaps with the hub. Keeps one hub's part between batches."""
+    held = None  # hub, fragment, its part, its n
+    for b in batches:
+        if not b.num_rows:
+            continue
+        hub, fragment, sig, n = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
+        parts = list(_lists(b.column(5)))
+        start = np.r_[np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (fragment[1:] != fragment[:-1])]), len(hub)]
+        rows, overlaps, own = [], [], []
+        for i, j in zip(start[:-1], start[1:], strict=True):
+            if sig[i] == hub[i]:
+                held, i = (hub[i], fragment[i], parts[i], n[i]), i + 1
+            elif held is None or (held[0], held[1]) != (hub[i], fragment[i]):
+                continue  # the hub has nothing in this fragment
+            if i < j:
+                common = _member(np.concatenate(parts[i:j]), held[2])
+                found = np.add.reduceat(common.astype(np.int64), np.r_[0, np.cumsum([len(x) for x in parts[i : j - 1]])].astype(np.int64))
+                some = np.flatnonzero(found)
+                rows.append(some + i)
+                overlaps.append(found[some])
+                own.append(np.full(len(some), held[3]))
+        if rows:
+            at = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(hub[at]), pa.array(sig[at]), pa.array(np.concatenate(overlaps)), pa.array(np.concatenate(own)), pa.array(n[at])], names=["a", "b", "overlap", "n_a", "n_b"])
+
+
+def hub_links(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: the links of hubs with their spokes; partial overlaps are counted by fragment and summed per pair."""
+    members = stars.select("a", F.col("b").alias("sig")).unionByName(stars.select("a", F.col("a").alias("sig")).distinct())
+    size = sets.select("sig", F.size("grams").alias("n"))
+    grams = members.join(size, "sig").groupBy("a").agg(F.sum("n").alias("all"))
+    placed = members.join(grams, "a").select("a", "sig", F.lit(0).cast("long").alias("side"), _bits(F.col("all")).alias("bits"))
+    parts = cut(sets.join(placed, "sig"), "a").repartition("a", "fragment").sortWithinPartitions("a", "fragment", F.col("sig") != F.col("a"))
+    counted = parts.mapInArrow(_spokes, "a long, b long, overlap long, n_a long, n_b long")
+    summed = counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    return summed.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
+
+
+def _overlaps(key: tuple, table: pa.Table) -> pa.Table:
+    """The sets of one pair of blocks in one fragment, and the partial overlaps that aren't 0 of those that meet."""
+    side, comp = table.column("side").to_numpy() & 3, table.column("side").to_numpy() >> 2
+    parts = list(_lists(table.column("grams").combine_chunks()))
+    grams, where = np.unique(np.concatenate(parts), return_inverse=True)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    common = (np.bincount(where) > 1)[where]
+    where, owner = np.unique(where[common], return_inverse=True)[1], owner[common]
+    overlap = np.zeros((len(parts), len(parts)), dtype=np.float32)
+    order = np.argsort(where, kind="stable")
+    where, owner = where[order], owner[order]
+    for at in range(0, int(where[-1]) + 1 if len(where) else 0, 4096):  # of products of matrices that fit in a cache
+        a, b = np.searchsorted(where, [at, at + 4096])
+        x = np.zeros((len(parts), 4096), dtype=np.float32)
+        x[owner[a:b], where[a:b] - at] = 1
+        overlap += x @ x.T
+    meets = (comp[:, None] != comp[None, :]) & ((side[:, None] == 2) | (side[:, None] != side[None, :]))
+    i, j = np.nonzero(np.triu(overlap, 1) * meets)
+    used, at = np.unique(np.r_[i, j], return_inverse=True)
+    as_list = lambda x, kind: pa.array([x], pa.list_(kind))
+    return pa.table({"met": pa.array([key[0].as_py()]), "sig": as_list(table.column("sig").to_numpy()[used], pa.int64()), "n": as_list(table.column("n").to_numpy()[used], pa.int64()), "i": as_list(at[: len(i)].astype(np.int32), pa.int32()), "j": as_list(at[len(i) :].astype(np.int32), pa.int32()), "overlap": as_list(overlap[i, j].astype(np.int32), pa.int32())})
+
+
+def _summed(percent: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Sums the partial overlaps of one pair of blocks over its fragments, per pair of sets; a spanning forest of the links."""
+        flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sig, first, where = np.unique(flat("sig"), return_index=True, return_inverse=True)
+        n = flat("n")[first]
+        begin = np.repeat(np.r_[0, np.cumsum(table.column("sig").combine_chunks().value_lengths().to_numpy())[:-1]], table.column("i").combine_chunks().value_lengths().to_numpy())
+        a, b = where[begin + flat("i")], where[begin + flat("j")]
+        pair, at = np.unique(np.minimum(a, b) * len(sig) + np.maximum(a, b), return_inverse=True)
+        overlap = np.bincount(at, weights=flat("overlap"), minlength=len(pair)).astype(np.int64)
+        a, b = pair // max(1, len(sig)), pair % max(1, len(sig))
+        linked = 100 * overlap >= percent * (n[a] + n[b] - overlap)
+        parent = list(range(len(sig)))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+            u, v = find(x), find(y)
+            if u != v:
+                parent[u] = v
+                out.append((x, y))
+        found = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": sig[found[:, 0]], "b": sig[found[:, 1]]})
+
+    return run
+
+
+def rim_links(sets: DataFrame, stars: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """``a``, ``b``: links among spokes of one hub that are in different components (``node``, ``root``) so far; a spanning forest for each pair of blocks."""
+    of = lambda column: roots.select(F.col("node").alias(column), F.col("root").alias(f"of_{column}"))
+    rims = stars.where("more").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", F.col("b").alias("sig"), F.coalesce("of_a", "a").alias("hub_comp"), F.coalesce("of_b", "b").alias("comp"))
+    #: A hub whose spokes are all of its component has nothing left to link.
+    open_hubs = rims.groupBy("a").agg(F.max(F.col("comp") != F.col("hub_comp")).alias("open")).where("open").select("a")
+    #: Linked sets are of the same class of size or of neighbouring ones: a class is a hair wider than they can differ.
+    kind = F.floor(F.log(F.size("grams").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("long") if percent < 100 else F.size("grams").cast("long")
+    members = scratch.keep(rims.join(open_hubs, "a").join(sets.select("sig", kind.alias("kind")), "sig").select("a", "sig", "comp", "kind"))
+    if members.isEmpty():
+        return None
+    large = members.groupBy("a", "kind", "comp").agg(F.count("*").alias("rows")).where(F.col("rows") >= BLOCK).select("a", "kind", "comp", F.col("comp").alias("of"))
+    members = members.join(large, ["a", "kind", "comp"], "left").withColumn("of", F.coalesce("of", F.lit(0)))
+    counted = members.groupBy("a", "kind", "of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    families = scratch.keep(counted.withColumn("family", F.xxhash64("kind", "of")))
+    left, right = (families.select("a", *(F.col(c).alias(f"{c}_{k}") for c in ("kind", "of", "blocks", "family"))) for k in (1, 2))
+    met = (
+        left.join(right, "a")
+        .where("kind_2 - kind_1 between 0 and 1 and (kind_1 < kind_2 or family_1 <= family_2) and (of_1 <> of_2 or of_1 = 0)")
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks_1") - 1)))
+        .withColumn("j", F.explode(F.sequence(F.when(F.col("family_1") == F.col("family_2"), F.col("i")).otherwise(0), F.col("blocks_2") - 1)))
+        .withColumn("met", F.xxhash64("a", "family_1", "i", "family_2", "j"))
+        #: A block's sets have at most so many n-grams, by their class of size.
+        .withColumn("bits", _bits(F.lit(2.0 * BLOCK) * (F.pow(F.lit(100 / percent), F.col("kind_2") + 1) if percent < 100 else F.col("kind_2"))))
+    )
+    same = (F.col("family_1") == F.col("family_2")) & (F.col("i") == F.col("j"))
+    sides = met.select("a", F.col("family_1").alias("family"), F.col("i").alias("block"), "met", "bits", F.when(same, 2).otherwise(0).alias("role")).unionByName(
+        met.where(~same).select("a", F.col("family_2").alias("family"), F.col("j").alias("block"), "met", "bits", F.lit(1).alias("role"))
+    )
+    placed = members.join(counted, ["a", "kind", "of"]).select("a", "sig", "comp", F.xxhash64("kind", "of").alias("family"), F.pmod(F.xxhash64("sig", F.lit(6)), F.col("blocks")).cast("int").alias("block"))
+    #: The role and the component travel as one number; 62 bits of the component's hash tell components apart within a pair of blocks.
+    dealt = placed.join(sides, ["a", "family", "block"]).select("met", "sig", "bits", (F.shiftleft(F.xxhash64("comp"), 2) + F.col("role")).alias("side"))
+    partial = cut(sets.join(dealt, "sig"), "met").groupBy("met", "fragment").applyInArrow(_overlaps, "met long, sig array<long>, n array<long>, i array<int>, j array<int>, overlap array<int>")
+    return partial.groupBy("met").applyInArrow(_summed(percent), "a long, b long")
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85, extra: float = 0.1) -> DataFrame:
@@ -383,13 +471,20 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, extra: float = 0.1)
     scratch = Scratch(spark, "ngram-join")
     described = scratch.keep(describe(docs, width, percent, extra))
     alive = survivors(described, scratch, percent, extra)
-    sets = full_sets(docs, described, alive, alive.count(), scratch, width)
+    slim = scratch.keep(described.select("doc_id", "n", "sig", F.col("first").isNotNull().alias("new")))
+    scratch.drop(described)
+    sets = full_sets(docs, slim, alive, alive.count(), scratch, width)
     grams = sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
-    clusters = components(candidate_stars(sets, grams, percent), scratch)
-    linked = components(links(sets, clusters, percent), scratch)
+    stars = scratch.keep(candidate_stars(sets, grams, percent))
+    linked = scratch.keep(components(hub_links(sets, stars, percent), scratch))
+    further = rim_links(sets, stars, linked, percent, scratch)
+    if further is not None:
+        further = scratch.keep(further)
+        if not further.isEmpty():
+            linked = scratch.keep(components(further.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch))
     #: Copies by their set, sets by their root; a set of which there is no link is its own root.
-    copies = described.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    copies = slim.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     rooted = copies.join(linked.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("sig", "component_id")
-    return described.select("doc_id", "n", "sig").join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return slim.select("doc_id", "n", "sig").join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
