@@ -52,3 +52,10 @@ def supersede(versions: DataFrame, key: str, start: str, end: str, status: str)
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``changes`` take the place of rows with their key; both have the same columns."""
     return table.join(changes, key, "left_anti").unionByName(changes)
+
+
+def scoped(df: DataFrame, principal: dict, visible: list[str]) -> DataFrame:
+    """The rows that belong to a principal, and of their columns those on the allow-list."""
+    for column, value in principal.items():
+        df = df.where(F.col(column).eqNullSafe(F.lit(value)))
+    return df.select(*(c for c in visible if c in df.columns))

@@ -22,6 +22,7 @@ DATE_FORMATS = {
     "MMM yyyy": r"[A-Za-z]{3} \d{4}", "MMMM yyyy": r"[A-Za-z]{4,9} \d{4}", "d-M-yyyy": r"\d{1,2}-\d{1,2}-\d{4}", "d MMM yyyy": r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMMM yyyy": r"\d{1,2} [A-Za-z]{4,9} \d{4}",
     "d-MMM-yyyy": r"\d{1,2}-[A-Za-z]{3}-\d{4}", "d-MMMM-yyyy": r"\d{1,2}-[A-Za-z]{4,9}-\d{4}", "yyyy-M": r"\d{4}-\d{1,2}", "M.yyyy": r"\d{1,2}\.\d{4}", "d.M.yyyy": r"\d{1,2}\.\d{1,2}\.\d{4}",
     "MMM-yyyy": r"[A-Za-z]{3}-\d{4}", "MMMM-yyyy": r"[A-Za-z]{4,9}-\d{4}",
+    "d MMM yy": r"\d{1,2} [A-Za-z]{3} \d{2}", "d MMMM yy": r"\d{1,2} [A-Za-z]{4,9} \d{2}",
 }
 #: Fields that show that an online listing was looked at, and contexts that say so.
 LISTING_FIELDS = ("source_listing_url", "online_listing_url", "listing_url", "online_listing_evidence", "ecommerce_evidence", "listing_screenshot", "online_evidence", "ecommerce_declarations")
@@ -54,8 +55,11 @@ def _tested(ok: Column, facts: Facts, field: str, good: str, bad: str) -> Column
 
 def parse_date(text: Column) -> Column:
     """The first accepted format that reads the text; each is tried only on texts of its shape, so none raises."""
-    t = F.initcap(F.trim(text))
-    return F.coalesce(*(F.when(t.rlike(f"^(?:{shape})$"), F.try_to_timestamp(t, F.lit(f))).cast("date") for f, shape in DATE_FORMATS.items()))
+    t = F.trim(text)
+    read = lambda f: F.try_to_timestamp(t, F.lit(f)).cast("date")
+    #: Two digits of a year mean 1969 to 2068.
+    of_century = lambda d: F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d)
+    return F.coalesce(*(F.when(t.rlike(f"^(?:{shape})$"), of_century(read(f)) if " yy" in f and "yyyy" not in f else read(f)) for f, shape in DATE_FORMATS.items()))
 
 
 @kind("FIELD_PRESENT")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scoring import downgrade
 from ..sources import seed
 from .applicability import decide
-from .checks import check
+from .checks import REVIEW, _as, check
 from .conditions import Facts
 
 #: Columns of a product that are facts under another name.
@@ -17,6 +17,16 @@ RENAMED = {"product_name": "common_generic_name", "quantity": "net_quantity", "m
 MASS, VOLUME = {"kg": 1.0, "g": 0.001, "gm": 0.001, "gram": 0.001, "grams": 0.001}, {"l": 1.0, "litre": 1.0, "liter": 1.0, "ml": 0.001}
 
 
+#: Sources whose versions may decide.
+VERIFIED = ("VERIFIED_PRIMARY", "VERIFIED_SECONDARY")
+
+
+def origin_of(engine: Column) -> Column:
+    """Where a reading comes from, by the engine that made it: a person, an assumption or a recogniser."""
+    name = F.lower(F.coalesce(engine, F.lit("")))
+    return F.when(name.isin("", "manual", "manual-entry"), "MANUAL").when(name.startswith("test") | name.startswith("assumed"), "ASSUMED").otherwise("OCR")
+
+
 def build_facts(products: DataFrame, declarations: DataFrame | None = None, fields: list[str] | None = None, id_: str = "product_id") -> DataFrame:
     """Products with their facts as columns.
 
@@ -48,9 +58,12 @@ def build_facts(products: DataFrame, declarations: DataFrame | None = None, fiel
     return out
 
 
-def findings(facts_df: DataFrame, day: str, id_: str = "product_id", checks: dict[str, str] | None = None) -> DataFrame:
+def findings(facts_df: DataFrame, day: str, id_: str = "product_id", checks: dict[str, str] | None = None, sources: dict[str, str] | None = None) -> DataFrame:
     """One row a product and check in force on ``day``: result, detected value, applicability, weight.
 
+    ``sources``: the authenticity of versions' sources, verified where none is given; a
+    version of another source asks for review wherever it applies.
+
     All checks of a product are computed in one row and then laid out, so there is
     neither a join nor a shuffle, however many rules are in force.
     """
@@ -58,7 +71,7 @@ def findings(facts_df: DataFrame, day: str, id_: str = "product_id", checks: dic
     for check_id, version in (checks or seed.versions_on(day)).items():
         field, kind, mandatory, weight, severity = seed.CHECKS[check_id]
         appl = decide([{"result": r, "condition": c, "reason": w} for r, c, w in seed.APPLICABILITY.get(version, [])], facts, mandatory, version)
-        run = check(kind, facts, field)
+        run = check(kind, facts, field) if (sources or {}).get(version, VERIFIED[0]) in VERIFIED else _as(REVIEW, facts.text(field), "the source is not verified")
         confidence = F.col(f"{field}__confidence") if f"{field}__confidence" in facts_df.columns else F.lit(None).cast("double")
         origin = F.col(f"{field}__origin") if f"{field}__origin" in facts_df.columns else F.lit("MANUAL")
         rows.append(F.struct(F.lit(check_id).alias("check_id"), F.lit(version).alias("version"), F.lit(field).alias("field"), F.lit(weight).alias("weight"), F.lit(severity).alias("severity"), appl.alias("appl"), run.alias("run"), confidence.cast("double").alias("confidence"), F.coalesce(origin, F.lit("MANUAL")).alias("origin")))
