@@ -11,10 +11,11 @@ def lines_of(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(id_, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def with_neighbours(lines: DataFrame, id_: str = "doc_id", reach: int = 2) -> DataFrame:
-    """Each line with those up to ``reach`` before and after it."""
-    w = Window.partitionBy(id_).orderBy("line_no")
-    return lines.withColumns({**{f"before_{k}": F.lag("line", k).over(w) for k in range(1, reach + 1)}, **{f"after_{k}": F.lead("line", k).over(w) for k in range(1, reach + 1)}})
+def with_neighbours(docs: DataFrame, id_: str = "doc_id", text: str = "text", reach: int = 2) -> DataFrame:
+    """Each line of a text with those up to ``reach`` before and after it, taken from the text's own lines: no shuffle."""
+    laid = docs.select(id_, F.split(text, "\n").alias("__lines")).select(id_, "__lines", F.posexplode("__lines").alias("line_no", "line"))
+    at = lambda k: F.get("__lines", F.col("line_no") + k)
+    return laid.withColumns({**{f"before_{k}": at(-k) for k in range(1, reach + 1)}, **{f"after_{k}": at(k) for k in range(1, reach + 1)}}).drop("__lines")
 
 
 def first_copy(lines: DataFrame, id_: str = "doc_id") -> DataFrame:
@@ -24,20 +25,20 @@ def first_copy(lines: DataFrame, id_: str = "doc_id") -> DataFrame:
     return lines.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def blocks(lines: DataFrame, heading: str, boundary: str, id_: str = "doc_id", most_lines: int = 11, most_chars: int = 1500) -> DataFrame:
-    """The lines after a document's first heading until a boundary, bounded in lines and characters."""
-    w = Window.partitionBy(id_).orderBy("line_no")
-    marked = lines.withColumn("__head", F.min(F.when(F.col("line").rlike(heading), F.col("line_no"))).over(Window.partitionBy(id_)))
-    after = marked.where("line_no > __head")
-    stopped = after.withColumns({"__stops": F.sum(F.when(F.col("line").rlike(boundary), 1).otherwise(0)).over(w), "__chars": F.sum(F.length("line")).over(w), "__n": F.row_number().over(w)})
-    return stopped.where((F.col("__stops") == 0) & (F.col("__n") <= most_lines) & (F.col("__chars") <= most_chars)).select(id_, "line_no", "line")
+def blocks(docs: DataFrame, heading: str, boundary: str, id_: str = "doc_id", text: str = "text", most_lines: int = 11, most_chars: int = 1500) -> DataFrame:
+    """The lines after a text's first heading until a boundary, bounded in lines and characters: ``id_``, ``line_no``, ``line``; no shuffle."""
+    marked = docs.select(id_, F.split(text, "\n").alias("__lines")).withColumn("__head", F.array_position(F.transform("__lines", lambda x: x.rlike(heading)), True).cast("int"))
+    after = marked.where("__head > 0").withColumn("__after", F.slice("__lines", F.col("__head") + 1, most_lines))
+    stop = F.array_position(F.transform("__after", lambda x: x.rlike(boundary)), True).cast("int")
+    own = after.select(id_, "__head", F.when(stop > 0, F.slice("__after", 1, stop - 1)).otherwise(F.col("__after")).alias("__own"))
+    laid = own.select(id_, "__head", "__own", F.posexplode("__own").alias("__k", "line"))
+    chars = F.aggregate(F.slice("__own", 1, F.col("__k") + 1), F.lit(0), lambda acc, x: acc + F.length(x))
+    return laid.where(chars <= most_chars).select(id_, (F.col("__head") + F.col("__k")).alias("line_no"), "line")
 
 
-def coherence(text) -> Column:
-    """How much a text reads like words: share of plain words, less symbols and very long words; 0 to 1."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    plain = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Za-z]{2,15}[.,;:]?$")))
-    odd = F.size(F.filter(words, lambda w: w.rlike(r"[#$%&*|]{2,}")))
-    long = F.size(F.filter(words, lambda w: F.length(w) > 25))
+def coherence(text: Column) -> Column:
+    """How much a text reads like words: share of plain words, less symbols and very long words; 0 to 1. Each is one scan of the text."""
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    n, plain = count(r"\S+"), count(r"(?<!\S)[A-Za-z]{2,15}[.,;:]?(?!\S)")
+    odd, long = count(r"\S*[#$%&*|]{2,}\S*"), count(r"\S{26,}")
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (plain - 0.5 * odd - long) / n))

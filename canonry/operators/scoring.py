@@ -17,6 +17,17 @@ def weighted_score(findings: DataFrame, by: list[str]) -> DataFrame:
         F.sum(F.when(F.col("result") != "NOT_APPLICABLE", F.col("weight")).otherwise(0.0)).alias("applicable"),
         F.bool_or(F.col("result") == "NEEDS_REVIEW").alias("review"),
     )
+    return _scored(sums)
+
+
+def score_row(rows: DataFrame, found: str) -> DataFrame:
+    """``weighted_score`` where a row holds all its findings in an array: sums within the row, no shuffle."""
+    total = lambda keep: F.aggregate(F.filter(found, keep), F.lit(0.0), lambda acc, x: acc + x["weight"])
+    sums = rows.withColumns({"passed": total(lambda x: x["result"] == "PASS"), "applicable": total(lambda x: x["result"] != "NOT_APPLICABLE"), "review": F.exists(found, lambda x: x["result"] == "NEEDS_REVIEW")}).drop(found)
+    return _scored(sums)
+
+
+def _scored(sums: DataFrame) -> DataFrame:
     percent = F.when(F.col("applicable") > 0, F.bround(100 * F.col("passed") / F.col("applicable"), 1)).otherwise(0.0)
     return sums.withColumn("score", percent).withColumn("status", status(F.col("review"), F.col("applicable"), F.col("score"))).withColumn("finalizable", ~F.col("review"))
 

@@ -198,12 +198,12 @@ FROM (SELECT *, floor(value / 40) v, event_id % 97 / 97.0::DOUBLE c FROM events
 
 
 def q42_verdicts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", F.when(F.col("text").contains("$$$"), 0).otherwise(1).alias("ocr"))
+    d = table(spark, sf_dir, "documents").where("lang <> 'fr'").select("doc_id", F.when(F.col("text").contains("$$$"), 0).otherwise(1).alias("ocr"))
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("vision"))
     return d.join(lab, "doc_id", "full").select("doc_id", reconcile.verdict(F.col("ocr"), F.col("vision")).alias("verdict"))
 
 
-Q42 = "SELECT doc_id, CASE WHEN o = v THEN 'AI_VERIFIED' WHEN o IS NOT NULL AND v IS NOT NULL THEN 'CONFLICT' WHEN v IS NOT NULL THEN 'AI_EXTRACTED' WHEN o IS NOT NULL THEN 'OCR_ONLY' ELSE 'NOT_DETECTED' END verdict FROM (SELECT doc_id, CASE WHEN contains(text, '$$$') THEN 0 ELSE 1 END o FROM documents WHERE doc_id % 3 > 0) FULL JOIN (SELECT doc_id, quality v FROM labels) USING (doc_id)"
+Q42 = "SELECT doc_id, CASE WHEN o = v THEN 'AI_VERIFIED' WHEN o IS NOT NULL AND v IS NOT NULL THEN 'CONFLICT' WHEN v IS NOT NULL THEN 'AI_EXTRACTED' WHEN o IS NOT NULL THEN 'OCR_ONLY' ELSE 'NOT_DETECTED' END verdict FROM (SELECT doc_id, CASE WHEN contains(text, '$$$') THEN 0 ELSE 1 END o FROM documents WHERE lang <> 'fr') FULL JOIN (SELECT doc_id, quality v FROM labels) USING (doc_id)"
 
 
 def q42b_verdicts_of_all(spark, sf_dir):

@@ -18,7 +18,7 @@ def _documents(spark, sf_dir):
 
 
 def q33_adjacent_lines(spark, sf_dir):
-    n = extraction.with_neighbours(extraction.lines_of(_documents(spark, sf_dir)))
+    n = extraction.with_neighbours(_documents(spark, sf_dir))
     return n.where(F.length("line") < 8).select("doc_id", "line_no", F.length("before_1").alias("before"), F.length("after_1").alias("after"), F.length("after_2").alias("after2"))
 
 
@@ -26,7 +26,7 @@ Q33 = f"SELECT doc_id, line_no, b AS before, a AS after, a2 AS after2 FROM (SELE
 
 
 def q34_blocks(spark, sf_dir):
-    b = extraction.blocks(extraction.lines_of(_documents(spark, sf_dir)), r"^[A-ZÀ-Ý][^ ]*\.$", r"\|", most_lines=4)
+    b = extraction.blocks(_documents(spark, sf_dir), r"^[A-ZÀ-Ý][^ ]*\.$", r"\|", most_lines=4)
     return b.select("doc_id", "line_no", F.length("line").alias("n"))
 
 
@@ -56,12 +56,17 @@ def q36b_digit_runs(spark, sf_dir):
 Q36B = "SELECT doc_id, d AS digits, length(d) n, list_sum(list_transform(range(1, length(d) + 1), lambda i: (d[length(d) + 1 - i])::INT * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0 ok FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{13,}', 0)) d FROM documents)"
 
 
+def _dated():
+    """A text with two dates made of its own columns, since the texts have none: one that exists and one that may not."""
+    return F.concat("text", F.format_string(" packed %d/%d/2024, best before %02d.%02d.2026", F.col("doc_id") % 28 + 1, F.col("doc_id") % 12 + 1, F.col("n_chars") % 31 + 1, F.col("n_chars") % 12 + 1))
+
+
 def q37_dates(spark, sf_dir):
-    found = _documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}"), F.lit(0))).alias("token"))
+    found = _documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(_dated(), F.lit(r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}"), F.lit(0))).alias("token"))
     return found.select("doc_id", "token", F.date_format(parse_date(F.col("token")), "yyyy-MM-dd").alias("day"))
 
 
-Q37 = r"SELECT doc_id, token, strftime(try_strptime(token, ['%d/%m/%Y', '%d-%m-%Y', '%d.%m.%Y']), '%Y-%m-%d') AS day FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}', 0)) token FROM documents)"
+Q37 = r"SELECT doc_id, token, strftime(try_strptime(token, ['%d/%m/%Y', '%d-%m-%Y', '%d.%m.%Y']), '%Y-%m-%d') AS day FROM (SELECT doc_id, unnest(regexp_extract_all(text || printf(' packed %d/%d/2024, best before %02d.%02d.2026', doc_id % 28 + 1, doc_id % 12 + 1, n_chars % 31 + 1, n_chars % 12 + 1), '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}', 0)) token FROM documents)"
 
 
 def q38_coherence(spark, sf_dir):
@@ -82,11 +87,11 @@ Q39 = r"SELECT lang, CASE WHEN regexp_matches(text, '[#$%&*]{3}( |$)') THEN 'sym
 
 def q40_evaluation(spark, sf_dir):
     truth = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("expected"))
-    got = _documents(spark, sf_dir).where("doc_id % 7 > 0").select("doc_id", F.when(sections.junk_kind(F.col("text")).isin("symbols", "shouting"), "0").otherwise("1").alias("found"))
+    got = _documents(spark, sf_dir).where("lang <> 'fr'").select("doc_id", F.when(sections.junk_kind(F.col("text")).isin("symbols", "shouting"), "0").otherwise("1").alias("found"))
     return summary(truth, got, "doc_id")
 
 
-Q40 = r"""WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[#$%&*]{3}( |$)') OR contains(text, '!! ') THEN 0 ELSE 1 END p FROM documents WHERE doc_id % 7 > 0)
+Q40 = r"""WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[#$%&*]{3}( |$)') OR contains(text, '!! ') THEN 0 ELSE 1 END p FROM documents WHERE lang <> 'fr')
 SELECT count(*) expected, count(p) covered, count(*) FILTER (WHERE p = quality) AS exact, count(p) / count(*)::DOUBLE coverage, count(*) FILTER (WHERE p = quality) / count(p)::DOUBLE agreement FROM labels LEFT JOIN d USING (doc_id)"""
 
 

@@ -46,7 +46,9 @@ def test_nutrition_and_ingredients(spark):
 def test_blocks_stop_at_the_next_section(spark):
     rows = [(1, n, t) for n, t in enumerate(["Ingredients:", "wheat, oil", "salt", "Store in a cool place", "sugar"])]
     df = spark.createDataFrame(rows, "doc_id int, line_no int, line string")
-    assert [r.line for r in extraction.blocks(df, "(?i)^ingredients", "(?i)store").collect()] == ["wheat, oil", "salt"]
+    docs = spark.createDataFrame([(1, "\n".join(t for _, _, t in rows)), (2, "no heading"), (3, None)], "doc_id int, text string")
+    assert [(r.doc_id, r.line_no, r.line) for r in extraction.blocks(docs, "(?i)^ingredients", "(?i)store").collect()] == [(1, 1, "wheat, oil"), (1, 2, "salt")]
+    assert [r.line for r in extraction.blocks(docs, "(?i)^ingredients", "(?i)store", most_lines=1).collect()] == ["wheat, oil"] and extraction.blocks(docs, "(?i)^ingredients", "(?i)store", most_chars=9).count() == 0
     assert [r[0] for r in df.orderBy("line_no").select(sections.section(df.line)).collect()] == ["ingredients", None, None, "storage", None]
 
 
