@@ -31,10 +31,8 @@ from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
 from .common import documents_of, map_batches
 
-#: The pre-tokenizing pattern of byte-level vocabularies. (Alternatives that begin with other characters stand first if more frequent.)
-BYTE_LEVEL = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The pattern of the vocabulary with word ends, as its file has it, and the same with the frequent alternative first.
-WORD_LEVEL = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+"}
+#: Fixed value: the pre-tokenizing pattern of byte-level vocabularies, as published.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries a memo may hold before it starts anew.
 MEMO_ENTRIES = 150_000
 _PACK = [Struct(f"<{n}I").pack for n in range(64)]
@@ -86,7 +84,7 @@ class ForcedSplitBPE:
         pattern = BYTE_LEVEL
         for p in _steps(spec["pre_tokenizer"]).values():
             if p["type"] == "Split":
-                pattern = WORD_LEVEL.get(p["pattern"]["Regex"], p["pattern"]["Regex"])
+                pattern = p["pattern"]["Regex"]
         self.words = regex.compile(pattern).findall
         self.special = {t["content"]: pack("<I", t["id"]) for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None

@@ -102,6 +102,14 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{label}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _ddl(schema: str):
     from pyspark.sql.types import _parse_datatype_string
 

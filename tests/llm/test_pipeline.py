@@ -56,3 +56,36 @@ def test_run_and_registration(spark, tmp_path):
     write(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert {*(f"op{i}_" for i in range(1, 11)), "pipeline"} == {k.split("_")[0] + "_" * (k != "pipeline") for k in queries()}
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, __n int, __copy string, kept_id long, score double"
+
+
+def awkward(spark):
+    say = "the tion ing and with " * 8
+    rows = [(1, say, "en", "s", 5, 1, "c", 9, 0.5)] * 3 + [(2, None, None, None, None, None, None, None, None), (3, "", "en", "s", 0, 2, "c", 1, 0.0), (None, say + "x", "en", None, 1, 3, None, 1, 0.0), (4, f'{say} token = "{KEY}" x', "en", "s", 1, 4, "c", 1, 0.0), (5, "word " * 20_000, "en", "s", 1, 4, "c", 1, 0.0)]
+    return spark.createDataFrame(rows, AWKWARD)
+
+
+def test_stages_on_awkward_rows_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, got = awkward(spark), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns or name == "packing"
+        got[name] = out.collect()
+    ids = lambda name: sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got[name])
+    everyone = sorted((i is not None, i or 0) for i in (1, 1, 1, 2, 3, None, 4, 5))
+    assert ids("secrets") == everyone and ids("toxicity") == everyone
+    assert ids("language") == [x for x in everyone if x[1] not in (2, 3)]
+    assert ids("near_duplicates") == [x for x in sorted(set(everyone)) if x[0]]
+    assert sum(r["length"] for r in got["packing"] if r["doc_id"] == 3) == 1 and sum(r["piece"] == 0 for r in got["packing"]) == 8
+    clean = {r["doc_id"]: r for r in got["secrets"]}
+    assert KEY not in clean[4]["text"] and clean[4]["n_chars"] == len(clean[4]["text"]) and clean[4]["__n"] == 4 and clean[1]["n_chars"] == 5 and clean[2]["text"] is None
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward(spark).limit(0), str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == awkward(spark).columns)
