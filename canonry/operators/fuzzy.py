@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lookup(names: DataFrame, registry: DataFrame, distance: int = 2, least: int = 4) -> DataFrame:
-    """``name``, ``match``, ``how`` (exact, substring, typo or none), ``confidence``.
+#: Words of classes of additives, whose use depends on conditions.
+ADDITIVE = r"\bins\b|e\s?\d{3}|preservative|colour|color|flavour|flavor|sweetener|emulsifier|stabiliz|antioxidant|acidity\s+regulator|raising\s+agent|thickener|humectant"
 
-    ``registry`` has ``entry`` (lower case) and ``ordinal``, and is a small table of
-    reference; it is broadcast. Of several substrings the first entry wins; a typo
-    counts only where one entry is nearest. Names are looked up once each.
+
+def lookup(names: DataFrame, registry: DataFrame, distance: int = 2, least: int = 4, most_broadcast: int = 2_000, additive: str | None = None) -> DataFrame:
+    """``name``, ``match``, ``how`` (exact, substring, typo, additive or none), ``confidence``.
+
+    ``registry`` has ``entry`` (lower case) and ``ordinal``. Of several substrings the first
+    entry wins; a typo counts only where one entry is nearest; what is left and matches
+    ``additive`` is one by its class. Names are looked up once each, exact ones by an equi-join. The
+    rest meets a registry of at most ``most_broadcast`` entries in a broadcast, and a larger one by
+    an equi-join on short keys that every substring and every typo shares.
     """
-    key = F.lower(F.trim("name"))
-    distinct = names.select("name").distinct().withColumn("key", key)
-    met = distinct.join(F.broadcast(registry), F.contains("key", "entry") | F.contains("entry", "key") | (F.levenshtein("key", "entry", distance) >= 0), "left")
-    exact = F.min_by("entry", F.when(F.col("key") == F.col("entry"), F.col("ordinal")))
+    registry = registry.groupBy("entry").agg(F.min("ordinal").alias("ordinal"))
+    distinct = names.select("name").distinct().withColumn("key", F.lower(F.trim("name")))
+    exact = distinct.join(registry.select(F.col("entry").alias("key"), F.col("entry").alias("exact")), "key", "left")
+    rest = exact.where("exact is null").select("name", "key")
+    if registry.limit(most_broadcast + 1).count() <= most_broadcast:
+        met = rest.join(F.broadcast(registry), F.contains("key", "entry") | F.contains("entry", "key") | (F.levenshtein("key", "entry", distance) >= 0))
+    else:
+        left, right = rest.select("name", "key", F.explode(_shared_keys("key", distance, True)).alias("__k")), registry.select("entry", "ordinal", F.explode(_shared_keys("entry", distance, False)).alias("__k"))
+        met = left.join(right, "__k").select("name", "key", "entry", "ordinal").distinct()
     inside = F.min_by("entry", F.when((F.contains("key", "entry") | F.contains("entry", "key")) & (F.col("key") != ""), F.col("ordinal")))
     edits = F.when((F.length("key") >= least) & F.col("key").rlike("^[a-z ]+$"), F.levenshtein("key", "entry", distance))
     near = F.when(edits >= 0, F.struct(edits.alias("d"), "entry"))
-    found = met.groupBy("name").agg(exact.alias("exact"), inside.alias("inside"), F.sort_array(F.collect_set(near)).alias("near"))
-    single = (F.size("near") > 0) & ((F.size("near") == 1) | (F.get("near", F.lit(1))["d"] > F.get("near", F.lit(0))["d"]))
+    found = exact.join(met.groupBy("name").agg(inside.alias("inside"), F.sort_array(F.collect_set(near)).alias("near")), "name", "left")
+    single = F.coalesce((F.size("near") > 0) & ((F.size("near") == 1) | (F.get("near", F.lit(1))["d"] > F.get("near", F.lit(0))["d"])), F.lit(False))
+    of_class = F.coalesce(F.col("key").rlike(f"(?i){additive}"), F.lit(False)) if additive else F.lit(False)
+    choose = lambda e, i, t, c, none: F.when(F.col("exact").isNotNull(), e).when(F.col("inside").isNotNull(), i).when(single, t).when(of_class, c).otherwise(none)
     return found.select(
         "name",
         F.coalesce("exact", "inside", F.when(single, F.get("near", F.lit(0))["entry"])).alias("match"),
-        F.when(F.col("exact").isNotNull(), "exact").when(F.col("inside").isNotNull(), "substring").when(single, "typo").otherwise("none").alias("how"),
-        F.when(F.col("exact").isNotNull(), 1.0).when(F.col("inside").isNotNull(), 0.85).when(single, 0.6).otherwise(0.5).alias("confidence"),
+        choose("exact", "substring", "typo", "additive", "none").alias("how"),
+        choose(1.0, 0.85, 0.6, 0.7, 0.5).alias("confidence"),
     )
 
 
+def _shared_keys(column: str, distance: int, name: bool) -> Column:
+    """Keys of which two strings share one if one is part of the other, or if they are at most ``distance`` edits apart.
+
+    A part shares its first letters (up to four) with a run of the whole. Of an entry cut into
+    ``distance + 1`` segments an edit leaves one whole, at most ``distance`` places further.
+    """
+    c, n = F.col(column), F.length(column)
+    part = F.concat(F.lit("p"), F.substring(c, 1, 4))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.concat(F.lit("p"), c.substr(i, k)))))
+    k = distance + 1
+    begin = lambda i, length: F.floor(i * length / k).cast("int") + 1
+    key = lambda i, length, at: F.concat_ws(":", length.cast("string"), i.cast("string"), c.substr(at, begin(i + 1, length) - begin(i, length)))
+    pieces = F.sequence(F.lit(0), F.lit(distance))
+    if name:
+        lengths, shifts = F.sequence(F.greatest(F.lit(1), n - distance), n + distance), F.sequence(F.lit(-distance), F.lit(distance))
+        typo = F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(pieces, lambda i: F.transform(shifts, lambda s: F.when(begin(i, m) + s >= 1, key(i, m, begin(i, m) + s)))))))
+    else:
+        typo = F.transform(pieces, lambda i: key(i, n, begin(i, n)))
+    return F.array_distinct(F.filter(F.concat(F.array(part), runs, typo), lambda x: x.isNotNull()))
+
+
 def near_by_bits(hashes: DataFrame, most: int, bands: int, bits: int = 32) -> DataFrame:
     """``a`` < ``b`` whose ``hash``es differ in at most ``most`` bits.
 

@@ -252,7 +252,7 @@ SELECT x.vec_id a, y.vec_id b, bit_count(xor(x.h, y.h))::INT distance FROM h x,
 
 
 def q45b_copied_images(spark, sf_dir):
-    """Pairs of up to 5 bits, as the reference has it, with the gate and the nearest earlier image; a component stands for the ink."""
+    """Pairs of up to 5 bits, with the gate and the nearest earlier image; a component stands for the ink."""
     ink = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("ink"))
     return fuzzy.with_nearest_earlier(fuzzy.near_by_bits(_bits(spark, sf_dir), 5, 6), ink, 0.02)
 

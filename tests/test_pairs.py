@@ -47,3 +47,16 @@ def test_images_of_five_bits_and_the_nearest_earlier(spark, monkeypatch):
     monkeypatch.setattr(table_queries, "_bits", lambda *_: bits.select("id", "hash"))
     registered = table_queries.q45b_copied_images(spark, "/root/testdata/sf0.001").select("a", "b", "distance").collect()
     assert {((x["a"], x["b"]), x["distance"]) for x in registered} == {(k, v[0]) for k, v in want.items()}
+
+
+def test_lookup_by_keys_equals_lookup_by_broadcast(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abc ") for _ in range(r.randint(1, 9))).strip() or "a"
+    entries = sorted({word() for _ in range(60)})
+    long = ["".join(r.choice("abcdefgh") for _ in range(r.randint(6, 11))) for _ in range(40)]
+    entries += sorted(set(long) - set(entries))
+    slip = lambda w: "".join(r.choice(["", c, c, c, c, c, c, c + "z", "z"]) for c in w)
+    names = [slip(r.choice(long)) for _ in range(200)] + [w for _ in range(200) for w in (word(), r.choice(entries)[:-1], "x" + r.choice(entries), r.choice(entries))] + ["", "Emulsifier 7", "e 621", None]
+    left, right = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(list(enumerate(entries)), "ordinal int, entry string")
+    found = [sorted(map(tuple, fuzzy.lookup(left, right, most_broadcast=m, additive=fuzzy.ADDITIVE).where("name is not null").collect())) for m in (1000, 0)]
+    assert found[0] == found[1] and {h for _, _, h, _ in found[0]} == {"exact", "substring", "typo", "additive", "none"}
