@@ -31,7 +31,7 @@ def with_previous(log: DataFrame, id_: str, status: str, order: list[str]) -> Da
 def judged(log: DataFrame, allowed: DataFrame, id_: str, status: str, order: list[str]) -> DataFrame:
     """Each event with ``valid``: the first, or an allowed step from the state before."""
     prev = with_previous(log, id_, status, order)
-    ok = F.broadcast(allowed.select(F.col("from_status").alias("__f"), F.col("to_status").alias("__t"), F.lit(True).alias("__ok")))
+    ok = allowed.select(F.col("from_status").alias("__f"), F.col("to_status").alias("__t"), F.lit(True).alias("__ok")).distinct()
     return prev.join(ok, (prev["from_status"] == ok["__f"]) & (prev[status] == ok["__t"]), "left").withColumn("valid", F.col("from_status").isNull() | F.coalesce("__ok", F.lit(False))).drop("__f", "__t", "__ok")
 
 

@@ -10,25 +10,16 @@ def in_force(day: Column, start: Column, end: Column) -> Column:
     return (start <= day) & (end.isNull() | (end > day))
 
 
-def as_of_join(events: DataFrame, versions: DataFrame, day: str, start: str, end: str, on: list[str] | None = None, most_broadcast: int = 50_000) -> DataFrame:
-    """Every version in force on an event's day.
+def as_of_join(events: DataFrame, versions: DataFrame, day: str, start: str, end: str, on: list[str] | None = None) -> DataFrame:
+    """Every version in force on an event's day: an equi-join on the year, and on ``on``, with the range test within.
 
-    ``versions`` of at most ``most_broadcast`` rows are broadcast. A larger table is
-    cut by year, so that the range test runs within an equi-join on the year.
+    A version that ends stands under each of its years, one without an end under a key
+    of its own that every event has besides its year. Spark chooses between broadcast and exchange.
     """
     keys = on or []
-    if versions.limit(most_broadcast + 1).count() <= most_broadcast:
-        cond = in_force(events[day], versions[start], versions[end])
-        for k in keys:
-            cond = cond & (events[k] == versions[k])
-        joined = events.join(F.broadcast(versions), cond)
-        for k in keys:
-            joined = joined.drop(versions[k])
-        return joined
-    last = F.coalesce(F.date_sub(F.col(end), 1), F.lit("2200-01-01").cast("date"))
-    by_year = versions.withColumn("__year", F.explode(F.sequence(F.year(start), F.year(last))))
-    joined = events.withColumn("__year", F.year(day)).join(by_year, ["__year", *keys])
-    return joined.where(in_force(F.col(day), F.col(start), F.col(end))).drop("__year")
+    years = F.when(F.col(end).isNull(), F.array(F.lit(-1))).when(F.col(start) < F.col(end), F.sequence(F.year(start), F.year(F.date_sub(F.col(end).cast("date"), 1))))
+    by_year = versions.withColumn("__year", F.explode(years))
+    return events.withColumn("__year", F.explode(F.array(F.year(day), F.lit(-1)))).join(by_year, ["__year", *keys]).where(in_force(F.col(day), F.col(start), F.col(end))).drop("__year")
 
 
 def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -60,3 +60,17 @@ def test_lookup_by_keys_equals_lookup_by_broadcast(spark):
     left, right = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(list(enumerate(entries)), "ordinal int, entry string")
     found = [sorted(map(tuple, fuzzy.lookup(left, right, most_broadcast=m, additive=fuzzy.ADDITIVE).where("name is not null").collect())) for m in (1000, 0)]
     assert found[0] == found[1] and {h for _, _, h, _ in found[0]} == {"exact", "substring", "typo", "additive", "none"}
+
+
+def test_versions_as_of_match_brute_force(spark):
+    r = random.Random(12)
+    day = lambda n: None if n is None else datetime.date(1990, 1, 1) + datetime.timedelta(n)
+    versions = [(i, r.randint(0, 2), s := r.randint(0, 9000), r.choice([None, s, s + 1, s + r.randint(1, 4000)])) for i in range(60)] + [(99, 1, None, None), (98, 1, 0, 400_000)]
+    events = [(i, r.randint(0, 2), r.choice([r.randint(0, 12_000), 300_000])) for i in range(200)] + [(999, 1, None), (998, None, 5)]
+    v = spark.createDataFrame([(i, k, day(a), day(b)) for i, k, a, b in versions], "version int, k int, a date, b date")
+    e = spark.createDataFrame([(i, k, day(d)) for i, k, d in events], "id int, k int, day date")
+    holds = lambda d, a, b: d is not None and a is not None and a <= d and (b is None or d < b)
+    got = sorted((x.id, x.version) for x in temporal.as_of_join(e, v, "day", "a", "b", ["k"]).collect())
+    assert got == sorted((i, j) for i, k, d in events for j, l, a, b in versions if k == l and holds(d, a, b)) and len(got) > 500
+    loose = sorted((x.id, x.version) for x in temporal.as_of_join(e.drop("k"), v.drop("k"), "day", "a", "b").collect())
+    assert loose == sorted((i, j) for i, _, d in events for j, _, a, b in versions if holds(d, a, b))
