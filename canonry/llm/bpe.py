@@ -124,7 +124,8 @@ class ForcedSplitBPE:
             own = token[: -len(self.suffix)] if ends else token
             if all(c in byte_of for c in own):
                 ranks[bytes(byte_of[c] for c in own) + b"\xff" * ends] = i
-        return tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece  # noqa: SLF001
+        encoding = tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        return getattr(getattr(encoding, "_core_bpe", None), "encode_single_piece", None)  # private: without it, plain merging
 
     def _word(self, word: str) -> bytes:
         """Cut the word at forced boundaries, encode the fragments, concatenate."""
