@@ -12,7 +12,7 @@ order of n-grams (by hash) is cut into fragments:
    first is the hub and the others are its spokes.
 3. Hubs and spokes are cut into fragments of the global order, and dealt out by hub
    and fragment: each gives the partial overlaps of its spokes with the hub, which are
-   summed per pair and tested. A hub with more spokes gets more fragments.
+   summed per pair and tested. A hub with many spokes meets them in several sides.
 4. Spokes of one hub that these links leave in different components meet each other,
    in blocks of some ``BLOCK`` sets of like size; blocks of one component don't meet.
    They are dealt out by pair of blocks and fragment, and partial overlaps summed per
@@ -44,6 +44,7 @@ from .common import Scratch, documents_of, small_batches
 
 MEMO_WORDS = 200_000
 BLOCK = 256  #: sets of one block
+SIDE = 512  #: about how many spokes of a hub come together
 FRAGMENT = 1_000_000  #: about how many n-grams come together in one fragment of a hub or of a pair of blocks
 HEAVY_HERE, HEAVY_MOST = 32, 100_000  #: times in one task that make an n-gram a candidate for the heavy ones; how many of those are held
 SKETCH_BITS = 22  #: log2 of the most cells of the sketch of frequencies
@@ -336,27 +337,27 @@ def _bits(grams) -> F.Column:
 
 
 def _spokes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, fragment, sig, side, n, grams) sorted by hub and fragment, hub first: partial overlaps with the hub. Keeps one hub's part between batches."""
-    held = None  # hub, fragment, its part, its n
+    """From (a, fragment, sig, side, n, grams) sorted by hub, side and fragment, hub first: partial overlaps with the hub. Keeps one hub's part between batches."""
+    held = None  # hub, side and fragment, its part, its n
     for b in batches:
         if not b.num_rows:
             continue
-        hub, fragment, sig, n = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
+        hub, fragment, sig, side, n = (b.column(i).to_numpy() for i in range(5))
         parts = list(_lists(b.column(5)))
-        start = np.r_[np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (fragment[1:] != fragment[:-1])]), len(hub)]
+        start = np.r_[np.flatnonzero(np.r_[True, (hub[1:] != hub[:-1]) | (side[1:] != side[:-1]) | (fragment[1:] != fragment[:-1])]), len(hub)]
         rows, overlaps, own = [], [], []
         for i, j in zip(start[:-1], start[1:], strict=True):
             if sig[i] == hub[i]:
-                held, i = (hub[i], fragment[i], parts[i], n[i]), i + 1
-            elif held is None or (held[0], held[1]) != (hub[i], fragment[i]):
+                held, i = ((hub[i], side[i], fragment[i]), parts[i], n[i]), i + 1
+            elif held is None or held[0] != (hub[i], side[i], fragment[i]):
                 continue  # the hub has nothing in this fragment
             if i < j:
-                common = _member(np.concatenate(parts[i:j]), held[2])
+                common = _member(np.concatenate(parts[i:j]), held[1])
                 found = np.add.reduceat(common.astype(np.int64), np.r_[0, np.cumsum([len(x) for x in parts[i : j - 1]])].astype(np.int64))
                 some = np.flatnonzero(found)
                 rows.append(some + i)
                 overlaps.append(found[some])
-                own.append(np.full(len(some), held[3]))
+                own.append(np.full(len(some), held[2]))
         if rows:
             at = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays([pa.array(hub[at]), pa.array(sig[at]), pa.array(np.concatenate(overlaps)), pa.array(np.concatenate(own)), pa.array(n[at])], names=["a", "b", "overlap", "n_a", "n_b"])
@@ -364,11 +365,13 @@ def _spokes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hub_links(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """``a``, ``b``: the links of hubs with their spokes; partial overlaps are counted by fragment and summed per pair."""
-    members = stars.select("a", F.col("b").alias("sig")).unionByName(stars.select("a", F.col("a").alias("sig")).distinct())
     size = sets.select("sig", F.size("grams").alias("n"))
-    grams = members.join(size, "sig").groupBy("a").agg(F.sum("n").alias("all"))
-    placed = members.join(grams, "a").select("a", "sig", F.lit(0).cast("long").alias("side"), _bits(F.col("all")).alias("bits"))
-    parts = cut(sets.join(placed, "sig"), "a").repartition("a", "fragment").sortWithinPartitions("a", "fragment", F.col("sig") != F.col("a"))
+    spokes = stars.select("a", F.col("b").alias("sig")).join(size, "sig")
+    sized = spokes.groupBy("a").agg(F.sum("n").alias("all"), F.ceil(F.count("*") / SIDE).alias("sides"))
+    placed = spokes.join(sized, "a").select("a", "sig", F.pmod(F.xxhash64("sig", F.lit(8)), F.col("sides")).alias("side"), _bits(F.col("all")).alias("bits"))
+    hubs = sized.select("a", F.col("a").alias("sig"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("side"), _bits(F.col("all")).alias("bits"))
+    #: A hub meets each side of its spokes in a task of its own, so that no hub, however many spokes it has, is one task.
+    parts = cut(sets.join(placed.unionByName(hubs), "sig"), "a").repartition("a", "side", "fragment").sortWithinPartitions("a", "side", "fragment", F.col("sig") != F.col("a"))
     counted = parts.mapInArrow(_spokes, "a long, b long, overlap long, n_a long, n_b long")
     summed = counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     return summed.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")

@@ -420,6 +420,7 @@ def near_copies():
 @pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 256), (5, 80, 32)])
 def test_join_components_match_brute_force(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SIDE", block // 8)
     texts = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.join(frame(spark, texts), width, percent))}
     assert got == brute_components(texts, width, percent)
