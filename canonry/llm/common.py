@@ -68,10 +68,8 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterable[list]], schema: str, n
     ``names`` are the output columns in the order ``fn`` returns them; ``schema`` is
     the same as DDL. Memory per task is one batch, which ``small_batches`` keeps small.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     small_batches(df.sparkSession)
-    arrow = to_arrow_schema(_ddl(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +108,12 @@ def free_name(df: DataFrame, label: str) -> str:
     return name
 
 
-def _ddl(schema: str):
+def arrow_schema(ddl: str) -> pa.Schema:
+    """A schema written as DDL, as Arrow's. Made on the driver: workers have no session to read DDL with."""
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return _parse_datatype_string(schema)
+    return to_arrow_schema(_parse_datatype_string(ddl))
 
 
 def documents_of(df: DataFrame) -> DataFrame:
