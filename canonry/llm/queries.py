@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, langid, linededup, neighbours, ngram_join, ogg, packing, quality, secrets, sharding, toxicity
+from . import bpe, conversations, langid, linededup, neighbours, ngram_join, ogg, packing, quality, search, secrets, sharding, toxicity
 from .common import load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.damage(load(spark, sf_dir, "conversations")))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_line_dedup": linededup.SQL, "op12_conversation_repair": conversations.SQL}
+    return {"op11_line_dedup": linededup.SQL, "op12_conversation_repair": conversations.SQL, "op13_ranked_search": search.SQL}
