@@ -26,21 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 
 OVERHEAD = 16  #: bytes a row counts besides its text
+#: Columns of the table of keys, which holds nothing else.
 _HASH, _ID = "__hash", "__id"
 _SPAN = 1 << 64
 _TOP = 1 << 63
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, hash_: str = _HASH, id_: str = _ID) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.withColumns(
         {
             "size": (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long"),
-            _HASH: F.xxhash64(text),
-            _ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(-_TOP)),
+            hash_: F.xxhash64(text),
+            id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-_TOP)),
         }
     )
 
@@ -143,8 +144,9 @@ def shard(docs: DataFrame, shards: int = 40, piece_bytes: int = 64 << 20, least_
 
     ``tolerance`` is in pieces. The driver holds at most ``shards * most_pieces`` splitters.
     """
-    keyed = _keyed(docs)
-    keys = Scratch(docs.sparkSession, "sharding").keep(keyed.select(_HASH, _ID, "size"))
+    hash_, id_, piece = (free_name(docs, x) for x in ("hash", "id", "piece"))
+    keyed = _keyed(docs, hash_, id_)
+    keys = Scratch(docs.sparkSession, "sharding").keep(keyed.select(F.col(hash_).alias(_HASH), F.col(id_).alias(_ID), "size"))
     total = keys.agg(F.sum("size")).first()[0] or 0
     each = max(least_pieces, min(most_pieces, -(-total // (shards * piece_bytes))))
     splitters, rows_below = find_splitters(keys, total, shards * each, tolerance) if total else ([0] * (shards * each - 1), [0] * (shards * each - 1))
@@ -153,8 +155,8 @@ def shard(docs: DataFrame, shards: int = 40, piece_bytes: int = 64 << 20, least_
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _probe_bytes(splitters)
         for b in batches:
-            at = np.searchsorted(edges, _as_bytes(b.column(_HASH).to_numpy(), b.column(_ID).to_numpy()), side="right")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], names=[*b.schema.names, "__piece"])
+            at = np.searchsorted(edges, _as_bytes(b.column(hash_).to_numpy(), b.column(id_).to_numpy()), side="right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], names=[*b.schema.names, piece])
 
     from pyspark.sql import Window
     from pyspark.sql.types import IntegerType, StructField, StructType
@@ -162,12 +164,12 @@ def shard(docs: DataFrame, shards: int = 40, piece_bytes: int = 64 << 20, least_
     from .common import small_batches
 
     small_batches(docs.sparkSession)
-    kept = keyed.select(*(c for c in keyed.columns if c.lower() not in ("shard", "slot", "__piece")))
-    placed = kept.mapInArrow(place, StructType([*kept.schema.fields, StructField("__piece", IntegerType())]))
+    kept = keyed.select(*(c for c in keyed.columns if c.lower() not in ("shard", "slot")))
+    placed = kept.mapInArrow(place, StructType([*kept.schema.fields, StructField(piece, IntegerType())]))
     #: The one exchange: by piece.
-    place_in_piece = F.row_number().over(Window.partitionBy("__piece").orderBy(_HASH, _ID))
+    place_in_piece = F.row_number().over(Window.partitionBy(piece).orderBy(hash_, id_))
     begins = F.array(*(F.lit(int(starts[p] - starts[p - p % each])).cast("long") for p in range(shards * each)))
-    return placed.withColumn("slot", begins[F.col("__piece")] + place_in_piece - 1).withColumn("shard", F.floor(F.col("__piece") / each).cast("int")).drop(_HASH, _ID, "__piece")
+    return placed.withColumn("slot", begins[F.col(piece)] + place_in_piece - 1).withColumn("shard", F.floor(F.col(piece) / each).cast("int")).drop(hash_, id_, piece)
 
 
 def digest(docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -276,6 +276,14 @@ def test_shards_of_odd_texts(spark):
     assert {"lang", "source", "score"} <= set(kept.columns) and kept.where("text is not null and lang = 'en'").count() == len(ODD_TEXTS) - 1
 
 
+def test_shards_keep_columns_named_like_helpers(spark):
+    helpers = ["__hash", "__id", "__piece", "__Hash_"]
+    df = spark.createDataFrame([(i, f"t{i % 7}", *(f"{c}{i}" for c in helpers), -1) for i in range(200)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in helpers) + ", slot int")
+    out = sharding.shard(df, 4)
+    assert out.columns == ["doc_id", "text", *helpers, "size", "slot", "shard"] and out.count() == 200
+    assert all([x[c] for c in helpers] == [f"{c}{x['doc_id']}" for c in helpers] for x in out.collect())
+
+
 def test_counts_below_are_exact(spark):
     keyed = sharding._keyed(frame(spark, [word_soup(i, 9) for i in range(200)])).select("__hash", "__id", "size")
     keys = sorted(((r[0] + 2**63 << 64) + r[1] + 2**63, r[2]) for r in keyed.collect())
