@@ -5,8 +5,9 @@ with A-Z in lower case, told apart by a 128-bit hash. Lines are exploded as (doc
 position, hash): texts don't travel to be counted. A first shuffle tells the distinct
 documents of a key, spread by both; their counts are combined before the second, so a
 line that a third of all documents hold is no more than a row a task. Positions to drop
-are found by a join on the hash, whose large partitions Spark's adaptive execution
-splits, and gathered by document, as many as its lines at most. Texts are exchanged
+are found by a join on the hash. Keys that hold over 1 / ``HOT`` of all counts, fewer than ``HOT`` of them whatever the data, are
+broadcast beforehand, and their lines are dealt out by document; of the others none is more than that share of the
+join. Positions are gathered by document, as many as its lines at most. Texts are exchanged
 once, with those positions, or not at all where the positions are few enough for a
 broadcast.
 
@@ -28,6 +29,8 @@ from .common import free_name
 
 #: What is stripped from a line's ends.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Keys that hold more than one part in so many of all counts are hot: fewer than that many, so that they may be broadcast.
+HOT = 1000
 
 
 def folded(text: Column) -> Column:
@@ -57,14 +60,24 @@ def line_keys(docs: DataFrame, least_chars: int = 1) -> DataFrame:
 
 
 def common_keys(lines: DataFrame, least_docs: int) -> DataFrame:
-    """``h1``, ``h2`` of the keys found in at least ``least_docs`` documents."""
-    return lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("h1", "h2")
+    """``h1``, ``h2`` of the keys found in at least ``least_docs`` documents, and in how many ``docs``."""
+    return lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
+
+
+def common_lines(lines: DataFrame, least_docs: int) -> DataFrame:
+    """The lines whose key is common."""
+    common = common_keys(lines, least_docs)
+    hot = common.where(F.col("docs") * HOT > common.agg(F.sum("docs")).scalar()).select("h1", "h2", F.lit(True).alias("hot"))
+    told = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+    at = F.when(F.col("hot"), F.xxhash64("doc_id", "pos")).otherwise(F.col("h1"))
+    met = told.select("doc_id", "copy", "pos", "hot", at.alias("k1"), "h2").join(common.select(F.col("h1").alias("k1"), "h2", F.lit(True).alias("found")), ["k1", "h2"], "left")
+    return met.where("hot or found").select("doc_id", "copy", "pos")
 
 
 def dedup(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
     """``docs`` with the lines that many documents share dropped from ``text``, and ``n_lines`` (before) and ``n_dropped``."""
     lines = line_keys(docs, least_chars)
-    drops = lines.join(common_keys(lines, least_docs), ["h1", "h2"], "left_semi").groupBy("doc_id", "copy").agg(F.collect_set("pos").alias("__dropped"))
+    drops = common_lines(lines, least_docs).groupBy("doc_id", "copy").agg(F.collect_set("pos").alias("__dropped"))
     copy, parts, dropped = (free_name(docs, x) for x in ("copy", "lines", "dropped"))
     drops = drops.select(F.col("doc_id").alias("__of"), F.col("copy").alias("__copy"), F.col("__dropped"))
     own = docs.select(*(F.col(c) for c in docs.columns if c != "text"), F.xxhash64("text").alias(copy), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias(parts))
