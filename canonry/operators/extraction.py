@@ -13,9 +13,10 @@ def lines_of(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
 
 def with_neighbours(docs: DataFrame, id_: str = "doc_id", text: str = "text", reach: int = 2) -> DataFrame:
     """Each line of a text with those up to ``reach`` before and after it, taken from the text's own lines: no shuffle."""
-    laid = docs.select(id_, F.split(text, "\n").alias("__lines")).select(id_, "__lines", F.posexplode("__lines").alias("line_no", "line"))
-    at = lambda k: F.get("__lines", F.col("line_no") + k)
-    return laid.withColumns({**{f"before_{k}": at(-k) for k in range(1, reach + 1)}, **{f"after_{k}": at(k) for k in range(1, reach + 1)}}).drop("__lines")
+    near = lambda i: [*(F.get("__lines", i - k).alias(f"before_{k}") for k in range(1, reach + 1)), *(F.get("__lines", i + k).alias(f"after_{k}") for k in range(1, reach + 1))]
+    # Neighbours are put beside a line before lines become rows: a row that carried all its text's lines would be quadratic in them.
+    beside = F.transform("__lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), *near(i)))
+    return docs.select(id_, F.split(text, "\n").alias("__lines")).select(id_, F.inline(beside))
 
 
 def first_copy(lines: DataFrame, id_: str = "doc_id") -> DataFrame:
@@ -37,8 +38,15 @@ def blocks(docs: DataFrame, heading: str, boundary: str, id_: str = "doc_id", te
 
 
 def coherence(text: Column) -> Column:
-    """How much a text reads like words: share of plain words, less symbols and very long words; 0 to 1. Each is one scan of the text."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    n, plain = count(r"\S+"), count(r"(?<!\S)[A-Za-z]{2,15}[.,;:]?(?!\S)")
-    odd, long = count(r"\S*[#$%&*|]{2,}\S*"), count(r"\S{26,}")
-    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (plain - 0.5 * odd - long) / n))
+    """How much a text reads like words: share of plain words, less symbols and very long words; 0 to 1.
+
+    One pass over the words within the row; each is read once by patterns that begin at its start or find the first
+    two symbols, so time is linear in the text, however long a word is.
+    """
+    one = lambda c: F.when(c, 1).otherwise(0)
+    none = F.struct(*(F.lit(0).alias(k) for k in ("n", "plain", "odd", "long")))
+    return F.aggregate(
+        F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""), none,
+        lambda acc, w: F.struct((acc["n"] + 1).alias("n"), (acc["plain"] + one(w.rlike(r"^[A-Za-z]{2,15}[.,;:]?\z"))).alias("plain"), (acc["odd"] + one(w.rlike(r"[#$%&*|]{2}"))).alias("odd"), (acc["long"] + one(F.char_length(w) > 25)).alias("long")),
+        lambda acc: F.when(acc["n"] > 0, F.greatest(F.lit(0.0), (acc["plain"] - 0.5 * acc["odd"] - acc["long"]) / acc["n"])).otherwise(0.0),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,36 +66,53 @@ def _shared_keys(column: str, distance: int, name: bool) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(part), runs, typo), lambda x: x.isNotNull()))
 
 
-def near_by_bits(hashes: DataFrame, most: int, bands: int, bits: int = 32) -> DataFrame:
-    """``a`` < ``b`` whose ``hash``es differ in at most ``most`` bits.
+def near_hashes(hashes: DataFrame, most: int, bands: int, bits: int = 64) -> DataFrame:
+    """``hash`` < ``other``, distinct hashes that differ in 1 to ``most`` bits, and their ``distance``.
 
-    A pair within the distance agrees on one of ``bands`` > ``most`` bands wholly, so an
-    equi-join on bands finds all of them. Rows of equal hash are joined as one.
+    Cut into ``bands`` > ``most`` bands, a pair within the distance agrees on ``bands - most`` of them wholly, so an
+    equi-join on every choice of that many bands finds all pairs. More bands make keys longer and rarer.
     """
     if bands <= most:
         raise ValueError("more bands than bits that may differ are needed")
     edges = [round(i * bits / bands) for i in range(bands + 1)]
-    distinct = hashes.select("hash").distinct()
-    cut = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1).alias("value")) for i in range(bands)))
-    banded = distinct.select("hash", F.inline(cut))
-    x, y = banded.alias("x"), banded.withColumnRenamed("hash", "other").alias("y")
-    pairs = x.join(y, ["band", "value"]).where((F.col("hash") <= F.col("other")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))) <= most)).select("hash", "other").distinct()
-    a, b = hashes.select("hash", F.col("id").alias("__i")), hashes.select(F.col("hash").alias("other"), F.col("id").alias("__j"))
-    return pairs.join(a, "hash").join(b, "other").where((F.col("hash") != F.col("other")) | (F.col("__i") < F.col("__j"))).select(F.least("__i", "__j").alias("a"), F.greatest("__i", "__j").alias("b"), F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))).cast("int").alias("distance"))
+    band = lambda i: F.shiftrightunsigned("hash", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
+    keys = F.array(*(F.struct(F.lit(k).alias("choice"), F.xxhash64(*map(band, chosen)).alias("key")) for k, chosen in enumerate(combinations(range(bands), bands - most))))
+    banded = hashes.select("hash").distinct().select("hash", F.inline(keys))
+    met = banded.join(banded.withColumnRenamed("hash", "other"), ["choice", "key"])
+    apart = F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))).cast("int")
+    return met.where((F.col("hash") < F.col("other")) & (apart <= most)).select("hash", "other", apart.alias("distance")).distinct()
+
+
+def near_classes(hashes: DataFrame, most: int, bands: int, bits: int = 64) -> DataFrame:
+    """Near pairs of classes of equal hash by their smallest ids, ``a`` < ``b``, with ``distance``, ``a_images`` and ``b_images``.
+
+    With ``class_of`` that is every pair of images, without a row for each.
+    """
+    size = hashes.groupBy("hash").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    x, y = size.select("hash", F.col("id").alias("i"), F.col("n").alias("m")), size.select(F.col("hash").alias("other"), F.col("id").alias("j"), F.col("n").alias("n"))
+    met = near_hashes(hashes, most, bands, bits).join(x, "hash").join(y, "other")
+    first = F.col("i") < F.col("j")
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance", F.when(first, F.col("m")).otherwise(F.col("n")).alias("a_images"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("b_images"))
 
 
-def with_nearest_earlier(pairs: DataFrame, ink: DataFrame, least: float) -> DataFrame:
-    """Pairs of ``near_by_bits`` with ``gate`` and ``nearest``.
+def copied_images(hashes: DataFrame, most: int, bands: int, least: float, bits: int = 64) -> DataFrame:
+    """One row an image: its class (``copy_of``, the smallest id of its hash), how many others are within ``most`` bits, and the earlier image that it copies.
 
-    The gate is open where hashes are equal or both images have at least ``least`` of ``ink`` (``id``,
-    ``ink``; null is none). Of a ``b``'s open pairs the one of least distance is ``nearest``, ties
-    to the smallest ``a``: the earlier image that it copies.
+    ``hashes`` has ``id``, ``hash`` and ``ink`` (null is none). An earlier image counts if its hash is equal, or if both have at
+    least ``least`` of ink; the nearest is taken, ties to the smallest id. That is the first of its class for
+    all but the first itself, and for the first the least inked id of a near class: no pair of images is made.
     """
-    some = ink.select("id", (F.coalesce("ink", F.lit(0.0)) >= least).alias("__some"))
-    inked = pairs.join(some.select(F.col("id").alias("a"), F.col("__some").alias("__x")), "a", "left").join(some.select(F.col("id").alias("b"), F.col("__some").alias("__y")), "b", "left")
-    gated = inked.withColumn("gate", (F.col("distance") == 0) | (F.coalesce("__x", F.lit(False)) & F.coalesce("__y", F.lit(False))))
-    best = F.min(F.when(F.col("gate"), F.struct("distance", "a"))).over(Window.partitionBy("b"))
-    return gated.withColumn("__best", best).select("a", "b", "distance", "gate", F.coalesce(F.col("__best.a") == F.col("a"), F.lit(False)).alias("nearest"))
+    inked = F.coalesce("ink", F.lit(0.0)) >= least
+    size = hashes.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min(F.when(inked, F.col("id"))).alias("first_inked"))
+    near = near_hashes(hashes, most, bands, bits)
+    both = near.unionByName(near.select(F.col("other").alias("hash"), F.col("hash").alias("other"), "distance"))
+    other = size.select(F.col("hash").alias("other"), F.col("n").alias("m"), F.col("first_inked").alias("source"))
+    own = size.select("hash", "first")
+    around = both.join(other, "other").join(own, "hash").groupBy("hash").agg(F.sum("m").alias("links"), F.min(F.when(F.col("source") < F.col("first"), F.struct("distance", "source"))).alias("best"))
+    told = hashes.select("id", "hash", inked.alias("inked")).join(size.select("hash", "first", "n"), "hash").join(around, "hash", "left")
+    copy = F.col("id") > F.col("first")
+    best = F.when(~copy & F.col("inked"), F.col("best"))
+    return told.select("id", F.col("first").alias("copy_of"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.when(copy, F.col("first")).otherwise(best["source"]).alias("nearest"), F.when(copy, 0).otherwise(best["distance"]).alias("distance"))
 
 
 def nearest_in_grid(points: DataFrame, by: list[str], reach: float, k: int) -> DataFrame:

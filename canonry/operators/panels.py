@@ -13,10 +13,10 @@ def attach_values(lines: DataFrame, by: list[str], line: str, heading: Column, v
 
     Returns ``by``, ``row``, ``text``; input: ``by``, ``line`` (a number), ``text``.
     """
-    first = lines.groupBy(*by).agg(F.min(F.when(heading, F.col(line))).alias("__head"), F.collect_list(F.when(stop, F.col(line))).alias("__stops"))
-    own = lines.join(first, by).where(F.col("__head").isNotNull())
-    end = F.array_min(F.filter("__stops", lambda s: s > F.col("__head")))
-    block = own.where((F.col(line) >= F.col("__head")) & (F.col(line) <= F.col("__head") + most) & (end.isNull() | (F.col(line) < end)))
+    head = lines.groupBy(*by).agg(F.min(F.when(heading, F.col(line))).alias("__head")).where("__head is not null")
+    own = lines.join(head, by).where((F.col(line) >= F.col("__head")) & (F.col(line) <= F.col("__head") + most))
+    ends = own.groupBy(*by).agg(F.min(F.when(stop & (F.col(line) > F.col("__head")), F.col(line))).alias("__end"))
+    block = own.join(ends, by).where(F.col("__end").isNull() | (F.col(line) < F.col("__end")))
     w = Window.partitionBy(*by).orderBy(line)
     numbered = block.withColumn("row", F.sum(F.when(value_only & (F.col(line) > F.col("__head")), 0).otherwise(1)).over(w))
     return numbered.groupBy(*by, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(line), "text"))), lambda x: x["text"]), " ").alias("text"))
@@ -110,13 +110,11 @@ def distinct_payloads(payloads: DataFrame, by: list[str], digest: Column, prefer
     return once.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*preference))).where(F.col("place") <= keep).drop("__d", "__first")
 
 
-def context_text(lines: DataFrame, by: list[str], line: str, most_lines: int = 60, most_chars: int = 3000) -> DataFrame:
-    """The first lines of each image as one text of bounded size, with how many were left out."""
-    w = Window.partitionBy(*by).orderBy(line)
-    kept = lines.withColumn("__n", F.row_number().over(w)).withColumn("__all", F.count("*").over(Window.partitionBy(*by))).where(F.col("__n") <= most_lines)
-    got = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__n", "text"))).alias("__lines"), F.max("__all").alias("__all"))
-    text = F.array_join(F.transform("__lines", lambda x: x["text"]), "\n")
-    return got.select(*by, F.substring(text, 1, most_chars).alias("text"), (F.col("__all") - F.size("__lines")).alias("left_out"))
+def context_text(docs: DataFrame, by: list[str], text: str, most_lines: int = 60, most_chars: int = 3000) -> DataFrame:
+    """The first lines of each image's text as one of bounded size, with how many were left out: within the row, no shuffle."""
+    laid = docs.where(F.col(text).isNotNull()).select(*by, F.split(text, "\n").alias("__lines"))
+    kept = F.array_join(F.slice("__lines", 1, most_lines), "\n")
+    return laid.select(*by, F.substring(kept, 1, most_chars).alias("text"), F.greatest(F.lit(0), F.size("__lines") - most_lines).cast("long").alias("left_out"))
 
 
 def table_evidence(boxes: DataFrame, rectangles: DataFrame, by: list[str], numeric: Column, least: int = 3, share: float = 0.25) -> DataFrame:

@@ -1,39 +1,10 @@
-"""Section and contamination verdicts on label text, as ordered CASE expressions."""
+"""Verdicts on whole texts, as ordered CASE expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What opens a section of a label, in the order in which it is tried.
-SECTIONS = {
-    "ingredients": r"\bingredients?\b|\bcomposition\b|made from",
-    "nutrition": r"nutrition(al)? (information|facts)|per 100 ?(g|ml)|energy|kcal|protein|carbohydrate",
-    "allergens": r"\ballerg|\bmay contain\b|\bcontains? (milk|nuts?|soya?|wheat|gluten|egg)",
-    "storage": r"\bstore (in|at)\b|\bkeep (in|away)\b|\brefrigerate\b",
-    "cooking": r"\bcooking\b|\bpreparation\b|\bdirections? (for|of) use\b",
-    "manufacturer": r"(manufactured|marketed|packed|imported|mfd\.?|mktd\.?) (and \w+ )?by\b",
-    "consumer_care": r"customer care|consumer care|toll ?free|for feedback|complaints?",
-    "licence": r"\bfssai\b|\blic(ence|ense)?\.? ?no\b",
-    "price": r"\bm\.?r\.?p\b|maximum retail price",
-    "dates": r"best before|use by|expiry|\bexp\b|\bmfg\b|date of (manufacture|packing)",
-    "quantity": r"net (wt|weight|qty|quantity|content|vol)",
-}
-
-
-def section(line: Column) -> Column:
-    """The first section that a line opens; null for running text."""
-    low, case = F.lower(F.trim(line)), None
-    for name, pattern in SECTIONS.items():
-        case = F.when(low.rlike(pattern), name) if case is None else case.when(low.rlike(pattern), name)
-    return case
-
-
-def foreign(line: Column, wanted: str) -> Column:
-    """A line of another section than the wanted one."""
-    return F.coalesce(section(line) != wanted, F.lit(False))
-
-
 def junk_kind(text: Column) -> Column:
     """What a text is contaminated with; the first kind that applies."""
     return (

@@ -60,12 +60,12 @@ Q61 = f"SELECT l_orderkey, best_part, struct_extract(f, 'p') first_discounted FR
 
 
 def q62_corrections(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("field"), F.col("value").cast("string").alias("corrected_value"), F.col("ts").alias("created_at"), (F.col("event_id") % 3 == 0).alias("verified"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("field"), F.col("value").cast("string").alias("corrected_value"), F.col("ts").alias("created_at"), (F.col("event_type") != "error").alias("verified"))
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("view").alias("field"), F.col("c_mktsegment").alias("value"))
     return feedback.verified_overlay(base, e, ["user_id"]).select("user_id", "field", F.coalesce(F.expr("cast(try_cast(value as double) as string)"), "value").alias("value"), "corrected")
 
 
-Q62 = """WITH c AS (SELECT user_id, event_type field, arg_max(value, (ts, event_id)) v FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), b AS (SELECT c_custkey user_id, 'view' field, c_mktsegment s FROM customer)
+Q62 = """WITH c AS (SELECT user_id, event_type field, arg_max(value, (ts, event_id)) v FROM events WHERE event_type <> 'error' GROUP BY 1, 2), b AS (SELECT c_custkey user_id, 'view' field, c_mktsegment s FROM customer)
 SELECT user_id, field, coalesce(v::VARCHAR, s) AS value, v IS NOT NULL corrected FROM b FULL JOIN c USING (user_id, field)"""
 
 

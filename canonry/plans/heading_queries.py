@@ -1,77 +1,68 @@
-"""Queries of headings, roles and gates over hard lines whose right answers stand beside them, dealt out to parts by key."""
+"""Queries of headings, roles and gates over the lines of documents, with openers planted among them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import headings
+from ..operators import boundaries, headings
 from .rule_queries import table
 
-#: (line, lines around it, the section it opens).
-LINES = [
-    ("INGREDIENTS:", "", "INGREDIENTS"), ("INGRED1ENTS Wheat flour", "", "INGREDIENTS"), ("Compositon", "", "INGREDIENTS"), ("Contents", "", None), ("Contents", "Refined wheat flour, palm oil", "INGREDIENTS"),
-    ("Contents: wheat flour, sugar", "", "INGREDIENTS"), ("Contains: Milk, Soy", "", "CONTAINS"), ("Contents: Milk, Soy", "wheat flour, salt", "CONTAINS"), ("Net contents 70 g", "wheat flour", None), ("Made from durum wheat", "", "INGREDIENTS"),
-    ("सामग्री", "", "INGREDIENTS"), ("Nutritional Information per 100 g", "", "NUTRITION"), ("Typical values", "", "NUTRITION"), ("Allergen advice", "", "ALLERGEN"), ("Store in a cool dry place", "", "STORAGE"), ("Directions for use", "", "DIRECTIONS"),
-    ("How to cook", "", "COOKING"), ("Statutory warning", "", "WARNING"), ("Packed by ABC Foods", "", "PACKER"), ("Imported by XYZ", "", "IMPORTER"), ("Manufactured & Marketed by ABC", "", "MANUFACTURER"), ("Mfd. by ABC", "", "MANUFACTURER"),
-    ("Best before 6 months", "", "BEST_BEFORE"), ("Mfg date", "", "MFG_DATE"), ("PKD 05/24", "", "MFG_DATE"), ("Lot no 17", "", "BATCH"), ("M.R.P. Rs 20", "", "MRP"), ("FSSAI Lic 10012043001234", "", "FSSAI"), ("For any queries", "", "FEEDBACK"),
-    ("Know your portion", "", "PORTION"), ("Scan to know more", "", "QR"), ("Toll-free 1800 103 1947", "", "CONSUMER_CARE"), ("Bar code", "", "BARCODE"), ("crispy and golden", "", None), ("   ", "", None), ("ingredient list 12345", "", None),
-    ("inredients", "", "INGREDIENTS"), ("greatest", "", None), ("contains", "milk", "CONTAINS"), ("contents page", "our story, our values", None),
+#: What is put before a document's lines, in turn: openers, glued and damaged ones, food, addresses, or nothing.
+PLANTS = [
+    "", "Ingredients:", "FORFEEBACK-CONTACD", "wheat flour (62%), palm oil,", "CONSUMERCARE", "", "Transfer to a container ONCEOPENED", "COHTAINSWHEATMILKSOYANDSULPHITE", "Net wt 70 g", "", "PKD 05/24", "M.R.P. Rs 20", "sugar, salt,",
+    "", "store in a dry place", "Ingredients: maida, salt", "Plot 7 Pune 411001", "Nutrition facts", "", "Energy 450 kcal", "best before 6 months", "mail care@acme.example", "keep away from light", "", "Scan the QR", "Marketed by Acme", "Lic FSSAI 10012043001234", "contains: milk",
 ]
-#: (slot, lines, role).
-IMAGES = [
-    ("front", ["fssai"], "FRONT"), ("Side left", [], "SIDE"), ("listing", ["NEW"], "UNKNOWN"), ("img1", ["NEW CRUNCHY", "Masala"], "FRONT"), ("img2", ["Ingredients: wheat", "Nutrition facts", "FSSAI 1", "Customer care", "Net wt 10 g", "MRP 20", "Batch 7"], "BACK"),
-    ("img3", ["MRP Rs 20", "Batch 12"], "SIDE"), ("img4", [], "UNKNOWN"), ("top", ["x"], "TOP"), ("bottom", ["x"], "BOTTOM"), ("img5", ["a word"], "FRONT"), (None, ["Best before 6 months"], "SIDE"),
-]
-#: (field, value, evidence, whether it may stand).
-CLAIMS = [
-    ("quantity", "70 g", "Net wt 70 g", True), ("quantity", "70 g", "4 servings", False), ("mrp", "20", "M.R.P. 20", True), ("mrp", "20", "page 20", False), ("batch_lot", "A7", "Batch No A7", True), ("batch", "A7", "A7", False),
-    ("best_before", "6 months", "Best before 6 months", True), ("use_by", "2026", "2026", False), ("fssai_license", "10012043001234", "", True), ("fssai_license", "1001204300", "fssai", False), ("consumer_care", "1800-103-1947", "", True),
-    ("consumer_care", "care@x.in", "", True), ("consumer_care", "call us", "call us", False), ("manufacturer", "ABC", "Manufactured by ABC", True), ("manufacturer", "ABC", "ABC", False), ("veg_nonveg", "VEGETARIAN", "green dot", True),
-    ("veg_nonveg", "VEGETARIAN", "text", False), ("product_name", "Noodles", "", True), ("mrp:second", "20", "Rs. 20", True),
-]
-
 
-def _q(v) -> str:
-    return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
 
+def planted(spark, sf_dir):
+    """Lines of all documents (``doc_id``, ``line_no``, ``text``), each with a plant before it."""
+    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    plant = F.get(F.array(*map(F.lit, PLANTS)), ((F.col("doc_id") + F.col("line_no")) % len(PLANTS)).cast("int"))
+    return lines.select("doc_id", "line_no", F.trim(F.concat_ws(" ", plant, "line")).alias("text"))
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(map(_q, r)) + ")" for r in rows)
 
-
-def _dealt(spark, sf_dir, rows: list[tuple], names: list[str]):
-    """Every part with the row of its key."""
-    array = F.array(*(F.struct(*(F.lit(v).cast("boolean" if isinstance(v, bool) else "string").alias(n) for v, n in zip(r, names, strict=True))) for r in rows))
-    return table(spark, sf_dir, "part").select("p_partkey", F.get(array, (F.col("p_partkey") % len(rows)).cast("int")).alias("x")).select("p_partkey", "x.*")
+#: The same in SQL, with the letters and digits of each line.
+PLANTED = f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) x FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM d),
+p AS (SELECT doc_id, line_no, trim(([{", ".join("'" + x + "'" for x in PLANTS)}])[(doc_id + line_no) % {len(PLANTS)} + 1] || ' ' || line) AS t FROM l), f AS (SELECT *, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS form FROM p)"""
 
 
 def q110_sections(spark, sf_dir):
-    d = _dealt(spark, sf_dir, [(a, b) for a, b, _ in LINES], ["line", "context"])
-    return d.select("p_partkey", headings.boundary(F.col("line"), F.col("context")).alias("section"))
+    """The section that each line opens, and what it would contaminate a list of ingredients with."""
+    return boundaries.decided(planted(spark, sf_dir), "text").select("doc_id", "line_no", "boundary", "contamination")
 
 
-def _answers(rows: list[tuple], at: int, name: str) -> str:
-    return f"SELECT p_partkey, ([{', '.join(_q(r[at]) for r in rows)}])[(p_partkey % {len(rows)} + 1)::INT] AS {name} FROM part"
+Q110 = f"{PLANTED} SELECT doc_id, line_no, {boundaries.first_sql(boundaries.RULES, 't', 'form')} AS boundary, {boundaries.first_sql(boundaries.CONTAMINATION, 't', 'form')} AS contamination FROM f"
 
 
-Q110 = _answers(LINES, 2, '"section"')
+def _any_sql(text: str, pattern: str) -> str:
+    return f"coalesce(regexp_matches({text}, '(?i)(?:{pattern.replace("'", "''")})'), false)"
 
 
 def q111_image_roles(spark, sf_dir):
-    d = _dealt(spark, sf_dir, [(s, "\n".join(t)) for s, t, _ in IMAGES], ["slot", "text"])
-    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    return d.select("p_partkey", headings.image_role(F.col("slot"), lines).alias("role"))
+    """Documents as images: their role by the scores of their planted lines; some have a slot that names it."""
+    texts = planted(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("texts"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "de", "Front").when(F.col("n_chars") < 150, "side b").alias("slot"))
+    return texts.join(docs, "doc_id").select("doc_id", headings.image_role(F.col("slot"), F.col("texts")).alias("role"))
+
 
+Q111 = f"""{PLANTED}, g AS (SELECT doc_id, string_agg(t, ' ' ORDER BY line_no) t, count(*) n FROM p GROUP BY 1),
+s AS (SELECT g.*, lang, n_chars, CASE WHEN n <= 12 THEN 1.0 ELSE 0 END + CASE WHEN regexp_matches(t, '[A-Z]{{4,}}') THEN 1.0 ELSE 0 END + CASE WHEN {_any_sql("t", headings.MARKETING)} THEN 1.0 ELSE 0 END - CASE WHEN {_any_sql("t", headings.DECLARATIONS)} THEN 1.5 ELSE 0 END AS front,
+ least(3.0, 0.5 * len(regexp_extract_all(t, '(?i)(?:{headings.DECLARATIONS})'))) + CASE WHEN n >= 6 THEN 1.0 ELSE 0 END AS back, CASE WHEN n <= 10 AND NOT {_any_sql("t", headings.BACK_ONLY)} AND {_any_sql("t", headings.SIDE)} THEN 2.0 ELSE 0 END AS side FROM g JOIN documents USING (doc_id))
+SELECT doc_id, CASE WHEN lang = 'de' THEN 'FRONT' WHEN n_chars < 150 THEN 'SIDE' WHEN side >= 2 AND side >= back AND side >= front THEN 'SIDE' WHEN back >= front + 1 THEN 'BACK' WHEN front >= back + 1 THEN 'FRONT' WHEN back > 0 AND n >= 6 THEN 'SIDE' ELSE 'UNKNOWN' END AS role FROM s"""
 
-Q111 = _answers(IMAGES, 2, "role")
+_CLAIMED = ["quantity", "mrp", "batch", "best_before:second", "fssai_license", "consumer_care", "manufacturer", "veg_nonveg", "product_name"]
 
 
 def q112_evidence_gate(spark, sf_dir):
-    d = _dealt(spark, sf_dir, [(f, v, e) for f, v, e, _ in CLAIMS], ["field", "value", "evidence"])
-    return d.select("p_partkey", headings.evidence_gate(F.col("field"), F.col("value"), F.col("evidence")).alias("stands"))
+    """Whether a line, taken as the evidence of a field, shows what the field needs; its first number stands for the value."""
+    claim = F.get(F.array(*map(F.lit, _CLAIMED)), (F.col("line_no") % len(_CLAIMED)).cast("int"))
+    d = planted(spark, sf_dir).select("doc_id", "line_no", claim.alias("field"), F.regexp_extract("text", "[0-9]+", 0).alias("value"), "text")
+    return d.select("doc_id", "line_no", "field", headings.evidence_gate(F.col("field"), F.col("value"), F.col("text")).alias("stands"))
 
 
-Q112 = _answers(CLAIMS, 3, "stands")
+Q112 = f"""{PLANTED}, c AS (SELECT *, ([{", ".join(f"'{x}'" for x in _CLAIMED)}])[line_no % {len(_CLAIMED)} + 1] AS field, regexp_extract(t, '[0-9]+') AS v FROM p)
+SELECT doc_id, line_no, field, CASE split_part(field, ':', 1) WHEN 'fssai_license' THEN length(v) = 14 WHEN 'quantity' THEN {_any_sql("t", headings.EVIDENCE["quantity"])} WHEN 'mrp' THEN {_any_sql("t", headings.EVIDENCE["mrp"])} WHEN 'batch' THEN {_any_sql("t", headings.EVIDENCE["batch"])}
+ WHEN 'best_before' THEN {_any_sql("t", headings.EVIDENCE["date"])} WHEN 'consumer_care' THEN regexp_matches(v, '[0-9]{{8,}}') WHEN 'manufacturer' THEN {_any_sql("t", headings.EVIDENCE["maker"])} WHEN 'veg_nonveg' THEN {_any_sql("t", headings.EVIDENCE["symbol"])} ELSE true END AS stands FROM c"""
 
 
 def q113_cross_checks(spark, sf_dir):

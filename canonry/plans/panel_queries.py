@@ -153,8 +153,7 @@ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event
 
 
 def q92_context(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    got = panels.context_text(lines, ["doc_id"], "line_no")
+    got = panels.context_text(table(spark, sf_dir, "documents"), ["doc_id"], "text")
     return got.select("doc_id", F.char_length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "left_out")
 
 
@@ -266,18 +265,20 @@ UNION ALL SELECT 'quantity', count(*), count(*) FILTER (WHERE p_size = q AND q <
 
 
 def q103_set_tests(spark, sf_dir):
-    """Ordered union, symmetric difference, equality as multisets, subset and intersection of the words of two texts."""
+    """Ordered union, symmetric difference, equality as multisets, subset and intersection of the words of a text's halves."""
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
-    a, b = F.slice("w", 1, 12), F.slice("w", 7, 12)
+    half = F.floor(F.size("w") / 2).cast("int")
+    d = d.select("doc_id", F.slice("w", 1, half).alias("a"), F.slice("w", half + 1, F.size("w")).alias("b"))
+    a, b = F.col("a"), F.col("b")
     return d.select(
         "doc_id", F.array_join(F.array_distinct(F.concat(a, b)), " ").alias("either"), (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))).alias("apart"), (F.sort_array(a) == F.sort_array(b)).alias("permuted"),
         (F.size(F.array_except(b, a)) == 0).alias("within"), F.size(F.array_intersect(a, b)).alias("shared"),
     )
 
 
-Q103 = """WITH d AS (SELECT doc_id, string_split(lower(text), ' ')[1:12] a, string_split(lower(text), ' ')[7:18] b FROM documents WHERE text IS NOT NULL), x AS (SELECT *, list_distinct(a) p, list_distinct(b) q FROM d)
-SELECT doc_id, array_to_string([v FOR v, i IN list_concat(a, b) IF list_position(list_concat(a, b), v) = i], ' ') either, len([v FOR v IN p IF NOT list_contains(b, v)]) + len([v FOR v IN q IF NOT list_contains(a, v)]) apart,
- list_sort(a) = list_sort(b) permuted, len([v FOR v IN q IF NOT list_contains(a, v)]) = 0 AS within, len([v FOR v IN p IF list_contains(b, v)]) AS shared FROM x"""
+Q103 = """WITH d AS (SELECT doc_id, string_split(lower(text), ' ') w FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, len(w) // 2 h, unnest(w) v, generate_subscripts(w, 1) i FROM d),
+f AS (SELECT doc_id, v, min(i) i, bool_or(i <= h) a, bool_or(i > h) b FROM u GROUP BY 1, 2), p AS (SELECT doc_id, list_sort(w[1:len(w) // 2]) = list_sort(w[len(w) // 2 + 1:]) permuted FROM d)
+SELECT doc_id, string_agg(v, ' ' ORDER BY i) either, count(*) FILTER (WHERE a <> b) apart, any_value(permuted) permuted, count(*) FILTER (WHERE b AND NOT a) = 0 AS within, count(*) FILTER (WHERE a AND b) AS shared FROM f JOIN p USING (doc_id) GROUP BY doc_id"""
 
 
 def q104_overview(spark, sf_dir):
@@ -302,12 +303,18 @@ Q105 = "SELECT p_size::VARCHAR s, max(p_partkey::VARCHAR) AS greatest, min(p_par
 
 
 def q106_active_versions(spark, sf_dir):
-    """Versions by how many orders they were in force for, twenty years on; those that are superseded count apart."""
-    v = spark.createDataFrame([(a, s) for a, _, _, _, s in VERSIONS], "version string, status string")
-    n = table(spark, sf_dir, "orders").count()
-    return v.groupBy("status").agg(F.count("*").alias("versions")).withColumn("orders", F.lit(n).cast("long"))
-
-
-Q106 = f"SELECT status, count(*) versions, (SELECT count(*) FROM orders) orders FROM (VALUES {', '.join(f"('{a}', '{s}')" for a, _, _, _, s in VERSIONS)}) v(version, status) GROUP BY 1"
+    """Versions of the rule base by status, with how many and by how many orders, twenty years on, they were in force for."""
+    rows = [(a, c, b, e, s) for a, c, b, e, s in VERSIONS]
+    v = spark.createDataFrame(rows, "version string, check_id string, start string, end string, status string").withColumns({c: F.col(c).cast("date") for c in ("start", "end")})
+    o = table(spark, sf_dir, "orders").select(F.add_months("o_orderdate", 240).alias("day"))
+    days = o.groupBy("day").agg(F.count("*").alias("orders"))
+    met = temporal.as_of_join(days, v, "day", "start", "end").groupBy("version", "check_id").agg(F.sum("orders").alias("orders"))
+    counted = v.join(met, ["version", "check_id"], "left")
+    return counted.groupBy("status").agg(F.count("*").alias("versions"), F.count_if(F.col("orders") > 0).alias("active"), F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"))
+
+
+Q106 = f"""WITH v AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{c}', DATE '{b}', {f"DATE '{e}'" if e else 'NULL'}, '{s}')" for a, c, b, e, s in VERSIONS)}) v(version, check_id, a, b, status)),
+n AS (SELECT version, check_id, status, count(o_orderkey) n FROM v LEFT JOIN orders ON a <= o_orderdate + INTERVAL 20 YEAR AND (b IS NULL OR b > o_orderdate + INTERVAL 20 YEAR) GROUP BY 1, 2, 3)
+SELECT status, count(*) AS versions, count(*) FILTER (WHERE n > 0) AS active, sum(n)::BIGINT AS orders FROM n GROUP BY 1"""
 
 QUERIES = {k: (f, globals().get(k.split("_")[0].upper())) for k, f in list(globals().items()) if k[:1] == "q" and k[1:2].isdigit() and callable(f)}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from ..operators import extraction, headings, planning, sections, tables
-from .heading_queries import LINES, _answers, _dealt
+from ..operators import boundaries, extraction, headings, planning, sections, tables
+from .heading_queries import PLANTED, planted
 from .rule_queries import table
 
 _GROUPS = {"A": ["name", "quantity"], "B": ["mrp", "date"], "C": ["maker"], "D": ["ingredients"]}
@@ -51,24 +51,27 @@ def q122_business_blocks(spark, sf_dir):
 Q122 = """WITH b AS (SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'IMPORTER' WHEN 'SMALL' THEN 'MANUFACTURER' WHEN 'ECONOMY' THEN 'PACKER' END r, CASE p_type WHEN 'PROMO' THEN 'Imported by Acme' WHEN 'SMALL' THEN 'Mfd. by Acme' ELSE 'Packed by Acme' END t, p_size s FROM part)
 SELECT p_partkey, 1 AS line_no, r AS role, t || CASE WHEN s % 2 = 0 THEN ' Plot 7, Phase II' || CASE WHEN s % 3 = 0 THEN ' Pune, India Tel 123' ELSE '' END ELSE '' END AS block FROM b WHERE r IS NOT NULL"""
 
-#: (text, score, whether it may be used).
-SCANS = [("wheat flour, palm oil, salt", "0.2", True), ("FSSAI Lic No 10012043001234 MRP 20", "0.2", False), ("wheat MRP 20 mfd 05/24", "0.3", False), ("wheat MRP 20 mfd 05/24", "0.8", True), ("", "0.9", False), (None, "0.9", False), ("lorem ipsum", "0.9", False), ("sugar 1001 2043 0012 34 1", None, True)]
-
 
 def q123_usable_scans(spark, sf_dir):
-    d = _dealt(spark, sf_dir, [(a, b) for a, b, _ in SCANS], ["text", "score"])
-    return d.select("p_partkey", planning.usable_scan(F.col("text"), F.col("score").cast("double")).alias("usable"))
+    """Whether a line may join the evidence of ingredients as a scan without a heading; its length stands for the score."""
+    p = planted(spark, sf_dir)
+    return p.select("doc_id", "line_no", planning.usable_scan(F.col("text"), F.when(F.col("line_no") % 3 > 0, F.char_length("text") / 100.0)).alias("usable"))
 
 
-Q123 = _answers(SCANS, 2, "usable")
+_MARKED = " + ".join(f"CASE WHEN regexp_matches(t, '(?i)(?:{m})') THEN 1 ELSE 0 END" for m in planning.MARKERS)
+Q123 = f"""{PLANTED} SELECT doc_id, line_no, t <> '' AND len(list_filter(regexp_extract_all(lower(t), '[a-z]{{3,}}'), lambda w: list_contains([{", ".join(f"'{w}'" for w in headings.FOOD)}], w))) > 0
+ AND NOT ({_MARKED} >= 2 AND coalesce(CASE WHEN line_no % 3 > 0 THEN length(t) / 100.0::DOUBLE END, 0) < 0.7::DOUBLE) AS usable FROM p"""
 
 
 def q124_accepted_lines(spark, sf_dir):
-    d = _dealt(spark, sf_dir, [(a, b) for a, b, _ in LINES], ["line", "context"])
-    return planning.accepted_lines(d, "line", "context").select("p_partkey", "accepted", "section")
+    """Lines by the section that runs, and those among ingredients as accepted or as rejected for a reason."""
+    got = boundaries.split_ingredients(planted(spark, sf_dir), ["doc_id"], "line_no", "text", F.col("text").startswith("Ingredients"))
+    return got.select("doc_id", "line_no", "section", "accepted", "reason")
 
 
-Q124 = f"SELECT p_partkey, accepted, CASE WHEN s <> 'INGREDIENTS' THEN s END AS \"section\" FROM ({_answers([(x if x != 'INGREDIENTS' else 'INGREDIENTS',) for _, _, x in LINES], 0, 's')}) JOIN ({_answers([(bool(a.strip()) and x in (None, 'INGREDIENTS'),) for a, _, x in LINES], 0, 'accepted')}) USING (p_partkey)"
+Q124 = f"""{PLANTED}, b AS (SELECT *, CASE WHEN starts_with(t, 'Ingredients') THEN 'INGREDIENTS' ELSE {boundaries.first_sql(boundaries.RULES, 't', 'form')} END opens, {boundaries.first_sql(boundaries.CONTAMINATION, 't', 'form')} c FROM f),
+s AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS "section" FROM b), i AS (SELECT *, coalesce("section" = 'INGREDIENTS', false) AND t <> '' AS inside FROM s)
+SELECT doc_id, line_no, "section", inside AND c IS NULL AS accepted, CASE WHEN inside THEN c END AS reason FROM i"""
 
 
 def q125_context_windows(spark, sf_dir):
@@ -102,13 +105,12 @@ Q127 = """SELECT substr(sha256('{"a":"' || o_orderstatus || '","b":"' || o_order
 
 
 def q128_open_policies(spark, sf_dir):
-    """Policies that leave a column open accept any value; lines of other sections are foreign to a list of ingredients."""
+    """Policies that leave a column open accept any value: by priority, orders let through and those of them that a status closed."""
     o = table(spark, sf_dir, "orders").where(tables.dont_care(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus")), F.lit("F")))
-    foreign = sections.foreign(F.concat(F.lit("Customer care "), "o_orderpriority"), "ingredients")
-    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(foreign).alias("foreign_lines"))
+    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"))
 
 
-Q128 = "SELECT o_orderpriority, count(*) n, count(*) foreign_lines FROM orders WHERE o_orderpriority = '5-LOW' OR o_orderstatus = 'F' GROUP BY 1"
+Q128 = "SELECT o_orderpriority, count(*) n, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed FROM orders WHERE o_orderpriority = '5-LOW' OR o_orderstatus = 'F' GROUP BY 1"
 
 
 def q129_filtered_lists(spark, sf_dir):

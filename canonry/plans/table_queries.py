@@ -198,12 +198,12 @@ FROM (SELECT *, floor(value / 40) v, event_id % 97 / 97.0::DOUBLE c FROM events
 
 
 def q42_verdicts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang <> 'fr'").select("doc_id", F.when(F.col("text").contains("$$$"), 0).otherwise(1).alias("ocr"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").contains("$$$"), 0).otherwise(1).alias("ocr"))
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("vision"))
     return d.join(lab, "doc_id", "full").select("doc_id", reconcile.verdict(F.col("ocr"), F.col("vision")).alias("verdict"))
 
 
-Q42 = "SELECT doc_id, CASE WHEN o = v THEN 'AI_VERIFIED' WHEN o IS NOT NULL AND v IS NOT NULL THEN 'CONFLICT' WHEN v IS NOT NULL THEN 'AI_EXTRACTED' WHEN o IS NOT NULL THEN 'OCR_ONLY' ELSE 'NOT_DETECTED' END verdict FROM (SELECT doc_id, CASE WHEN contains(text, '$$$') THEN 0 ELSE 1 END o FROM documents WHERE lang <> 'fr') FULL JOIN (SELECT doc_id, quality v FROM labels) USING (doc_id)"
+Q42 = "SELECT doc_id, CASE WHEN o = v THEN 'AI_VERIFIED' WHEN o IS NOT NULL AND v IS NOT NULL THEN 'CONFLICT' WHEN v IS NOT NULL THEN 'AI_EXTRACTED' WHEN o IS NOT NULL THEN 'OCR_ONLY' ELSE 'NOT_DETECTED' END verdict FROM (SELECT doc_id, CASE WHEN contains(text, '$$$') THEN 0 ELSE 1 END o FROM documents) FULL JOIN (SELECT doc_id, quality v FROM labels) USING (doc_id)"
 
 
 def q42b_verdicts_of_all(spark, sf_dir):
@@ -239,27 +239,32 @@ Q44 = "SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY
 
 
 def _bits(spark, sf_dir):
-    bit = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bit.alias("hash"))
+    bit = F.aggregate(F.transform(F.slice("embedding", 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bit.alias("hash"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("ink"))
+
+
+#: The same as two halves, since DuckDB's BIGINT has no sign bit to spare.
+_HALVES = "list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT h, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 33)) ELSE 0 END))::BIGINT g"
+_APART = "(bit_count(xor(x.h, y.h)) + bit_count(xor(x.g, y.g)))::INT"
 
 
 def q45_near_images(spark, sf_dir):
-    return fuzzy.near_by_bits(_bits(spark, sf_dir), 4, 5)
+    """Near pairs of classes of equal images, up to five bits."""
+    return fuzzy.near_classes(_bits(spark, sf_dir), 5, 8)
 
 
-Q45 = """WITH h AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT h FROM embeddings)
-SELECT x.vec_id a, y.vec_id b, bit_count(xor(x.h, y.h))::INT distance FROM h x, h y WHERE x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= 4"""
+Q45 = f"""WITH e AS (SELECT vec_id, {_HALVES} FROM embeddings), c AS (SELECT h, g, min(vec_id) i, count(*) n FROM e GROUP BY 1, 2)
+SELECT x.i a, y.i b, {_APART} distance, x.n a_images, y.n b_images FROM c x JOIN c y ON x.i < y.i WHERE {_APART} <= 5"""
 
 
 def q45b_copied_images(spark, sf_dir):
-    """Pairs of up to 5 bits, with the gate and the nearest earlier image; a component stands for the ink."""
-    ink = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("ink"))
-    return fuzzy.with_nearest_earlier(fuzzy.near_by_bits(_bits(spark, sf_dir), 5, 6), ink, 0.02)
+    """Every image with its class, its near images' number and the nearest earlier one that passes the gate; a component stands for the ink."""
+    return fuzzy.copied_images(_bits(spark, sf_dir), 5, 8, 0.02)
 
 
-Q45B = """WITH h AS (SELECT vec_id, abs(embedding[1]::DOUBLE) ink, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT h FROM embeddings),
-p AS (SELECT x.vec_id a, y.vec_id b, bit_count(xor(x.h, y.h))::INT distance, x.h = y.h OR (coalesce(x.ink, 0) >= 0.02 AND coalesce(y.ink, 0) >= 0.02) gate FROM h x, h y WHERE x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= 5)
-SELECT a, b, distance, gate, gate AND row_number() OVER (PARTITION BY b, gate ORDER BY distance, a) = 1 AS nearest FROM p"""
+Q45B = f"""WITH e AS (SELECT vec_id, abs(embedding[1]::DOUBLE) ink, {_HALVES} FROM embeddings), p AS (SELECT x.vec_id a, y.vec_id b, {_APART} d, x.ink >= 0.02 AND y.ink >= 0.02 k FROM e x JOIN e y ON x.vec_id <> y.vec_id WHERE {_APART} <= 5),
+n AS (SELECT b, min(CASE WHEN d = 0 THEN a END) c, count(*) links, arg_min(a, (d, a)) FILTER (WHERE a < b AND (d = 0 OR k)) nearest, min(d) FILTER (WHERE a < b AND (d = 0 OR k)) distance FROM p GROUP BY 1)
+SELECT vec_id id, least(vec_id, coalesce(c, vec_id)) copy_of, coalesce(links, 0) links, nearest, distance FROM e LEFT JOIN n ON b = vec_id"""
 
 
 def q46_neighbours(spark, sf_dir):

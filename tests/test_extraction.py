@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from canonry.operators import extraction, fields, fuzzy, lifecycle, reconcile, sections, vision
+from canonry.operators import extraction, fields, fuzzy, headings, lifecycle, reconcile, vision
 from canonry.sources import io
 from canonry.streaming import events
 
@@ -49,7 +50,7 @@ def test_blocks_stop_at_the_next_section(spark):
     docs = spark.createDataFrame([(1, "\n".join(t for _, _, t in rows)), (2, "no heading"), (3, None)], "doc_id int, text string")
     assert [(r.doc_id, r.line_no, r.line) for r in extraction.blocks(docs, "(?i)^ingredients", "(?i)store").collect()] == [(1, 1, "wheat, oil"), (1, 2, "salt")]
     assert [r.line for r in extraction.blocks(docs, "(?i)^ingredients", "(?i)store", most_lines=1).collect()] == ["wheat, oil"] and extraction.blocks(docs, "(?i)^ingredients", "(?i)store", most_chars=9).count() == 0
-    assert [r[0] for r in df.orderBy("line_no").select(sections.section(df.line)).collect()] == ["ingredients", None, None, "storage", None]
+    assert [r[0] for r in df.orderBy("line_no").select(headings.boundary(df.line, F.lit(""))).collect()] == ["INGREDIENTS", None, None, "STORAGE", None]
 
 
 def test_registry_lookup(spark):

@@ -1,6 +1,10 @@
 """Layout, alignment and feedback on literal fixtures."""
 
-from canonry.operators import alignment, feedback, layout
+import time
+
+from pyspark.sql import functions as F
+
+from canonry.operators import alignment, extraction, feedback, layout, planning
 
 BOX = "image string, rank int, x0 double, y0 double, x1 double, y1 double"
 
@@ -51,3 +55,24 @@ def test_feedback(spark):
     v = spark.createDataFrame([(1, "PENDING"), (2, "PENDING")], "violation_id int, inspector_status string")
     acts = spark.createDataFrame([(1, 1, "reject", 1), (2, 1, "confirm", 2)], "action_id int, violation_id int, action string, at int")
     assert {r.violation_id: r.inspector_status for r in feedback.decided(v, acts).collect()} == {1: "CONFIRMED", 2: "PENDING"}
+
+
+def test_a_very_long_word_and_a_text_of_many_lines_take_linear_time(spark):
+    n = 1_000_000
+    words = spark.createDataFrame([("x" * n,), ("#a" * (n // 2),), ("a#" * 10 + "##" + "b" * n,), ("plain words, here.",), ("",), (None,), (" \n ",)], "text string")
+    began = time.time()
+    got = [r[0] for r in words.select(extraction.coherence(words.text)).collect()]
+    assert got == [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0] and time.time() - began < 20
+    docs = spark.createDataFrame([(1, "\n".join(f"Packed by {i}\nPlot {i}, India" for i in range(10_000)))], "doc_id int, text string")
+    began = time.time()
+    lines = extraction.with_neighbours(docs).where("line_no = 9999").first()
+    assert (lines["before_1"], lines["line"], lines["after_1"]) == ("Packed by 4999", "Plot 4999, India", "Packed by 5000")
+    blocks = planning.business_blocks(docs, "doc_id", "text").agg(F.count("*"), F.max("block")).first()
+    assert blocks[0] == 10_000 and blocks[1] == "Packed by 9999 Plot 9999, India" and time.time() - began < 20
+
+
+def test_roles_of_business_blocks(spark):
+    texts = ["Marketed by A, Packed by B", "Imported and packed by C", "Packed by D", "Mkd. by E", "Manufactured & Marketed by F", "mard by G", "Imported by H", "Mfg by I"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["role"] for r in planning.business_blocks(docs, "doc_id", "text").collect()}
+    assert got == {0: "MARKETER", 1: "IMPORTER", 2: "PACKER", 3: "MANUFACTURER", 4: "MARKETER", 6: "IMPORTER", 7: "MANUFACTURER"}

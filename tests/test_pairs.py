@@ -3,8 +3,9 @@
 import datetime
 import random
 
+import pytest
+
 from canonry.operators import fuzzy, temporal
-from canonry.plans import table_queries
 
 
 def brute_overlaps(rows):
@@ -29,24 +30,28 @@ def test_every_overlapping_pair_is_found(spark):
     assert temporal.overlap_pairs(df.limit(0), ["k"], "id", "valid_from", "valid_to").count() == 0
 
 
-def test_images_of_five_bits_and_the_nearest_earlier(spark, monkeypatch):
+@pytest.mark.parametrize("bands", [6, 8])
+def test_images_of_five_bits_and_the_nearest_earlier(spark, bands):
     r = random.Random(4)
-    base = r.getrandbits(32)
-    flip = lambda n: base ^ sum(1 << i for i in r.sample(range(32), n))
-    images = [(i, r.getrandbits(32) if i % 3 == 0 else flip(r.randint(0, 5)), r.choice([None, 0.0, 0.01, 0.02, 0.5])) for i in range(60)]
-    images += [(100, base, 0.5), (101, base ^ 0b11111, 0.5), (102, base ^ 0b111111, 0.5), (103, base, None)]
-    bits = spark.createDataFrame(images, "id long, hash long, ink double")
-    got = {(x["a"], x["b"]): (x["distance"], x["gate"], x["nearest"]) for x in fuzzy.with_nearest_earlier(fuzzy.near_by_bits(bits.select("id", "hash"), 5, 6), bits, 0.02).collect()}
+    base = r.getrandbits(64)
+    flip = lambda n: base ^ sum(1 << i for i in r.sample(range(64), n))
+    images = [(i, r.getrandbits(64) if i % 3 == 0 else flip(r.randint(0, 5)), r.choice([None, 0.0, 0.01, 0.02, 0.5])) for i in range(60)]
+    images += [(100, base, 0.5), (101, base ^ 0b11111, 0.5), (102, base ^ 0b111111, 0.5), (103, base, None), (104, flip(3), 0.0)] + [(200 + i, base, 0.5) for i in range(20)]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    bits = spark.createDataFrame([(i, signed(h), ink) for i, h, ink in images], "id long, hash long, ink double")
+    apart = lambda g, h: (g ^ h).bit_count()
     want = {}
     for b, h, ink in images:
-        earlier = [(a, (g ^ h).bit_count(), g == h or min(i or 0, ink or 0) >= 0.02) for a, g, i in images if a < b and (g ^ h).bit_count() <= 5]
-        best = min(((d, a) for a, d, gate in earlier if gate), default=(None, None))[1]
-        want |= {(a, b): (d, gate, a == best) for a, d, gate in earlier}
-    assert got == want and got[100, 101][0] == 5 and (100, 102) not in got and got[100, 103][1]
-    # The registered query has pairs of five bits as well.
-    monkeypatch.setattr(table_queries, "_bits", lambda *_: bits.select("id", "hash"))
-    registered = table_queries.q45b_copied_images(spark, "/root/testdata/sf0.001").select("a", "b", "distance").collect()
-    assert {((x["a"], x["b"]), x["distance"]) for x in registered} == {(k, v[0]) for k, v in want.items()}
+        open_ = [(apart(g, h), a) for a, g, i in images if a < b and (g == h or apart(g, h) <= 5 and min(i or 0, ink or 0) >= 0.02)]
+        d, a = min(open_, default=(None, None))
+        want[b] = (min(i for i, g, _ in images if g == h), sum(apart(g, h) <= 5 for i, g, _ in images if i != b), a, d)
+    got = {x["id"]: tuple(x)[1:] for x in fuzzy.copied_images(bits, 5, bands, 0.02).collect()}
+    assert got == want and any(d == 5 for *_, d in want.values()) and sum(d is None for *_, d in want.values()) > 5
+    # Class pairs and classes are all pairs of images, a row each left out.
+    first = {h: min(i for i, g, _ in images if g == h) for _, h, _ in images}
+    pairs = {(x["a"], x["b"]): (x["distance"], x["a_images"], x["b_images"]) for x in fuzzy.near_classes(bits, 5, bands).collect()}
+    size = lambda i: sum(first[g] == i for _, g, _ in images)
+    assert pairs == {(i, j): (apart(g, h), size(i), size(j)) for g, i in first.items() for h, j in first.items() if i < j and apart(g, h) <= 5}
 
 
 def test_lookup_by_keys_equals_lookup_by_broadcast(spark):
