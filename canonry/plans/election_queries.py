@@ -1,10 +1,10 @@
-"""Queries of paragraphs, names, prices and quantities elected from many boxes, each with its SQL."""
+"""Queries of paragraphs, names, prices and quantities elected from many boxes, of regions, and of verdicts on values; each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boundaries, elections
+from ..operators import boundaries, elections, headings, regions, validators
 from .rule_queries import table
 
 #: Events as boxes of images of 16: four rows of four, some without a box, with words that hyphens or narrow gaps cut.
@@ -107,4 +107,93 @@ h AS (SELECT package, 'own line' AS source, line_no, t, c, CASE WHEN net OR rege
 u AS (SELECT package, source, line_no, t, c, anchor, replace(m[1], ',', '') AS value, CASE WHEN source = 'digit for a unit' THEN 'g' WHEN lower(m[2]) IN ('kg', 'g') THEN lower(m[2]) ELSE 'pcs' END AS unit FROM h),
 p AS (SELECT *, anchor * 2 + c AS score FROM u WHERE value::DOUBLE * CASE WHEN unit = 'kg' THEN 1000.0 ELSE 1.0 END BETWEEN 0.01 AND 100000 AND NOT (value::DOUBLE IN (1, 2) AND anchor < 2) AND NOT (regexp_matches(t, '{elections.COUNTS}') AND anchor < 3)), """ + _ELECTED.format(v="value, unit", t="p")
 
+#: Events as boxes of images of five, some without a box; what an image has resolved goes by its number.
+_LOOK = "CASE event_id % 11 WHEN 0 THEN 'Ingredients:' WHEN 1 THEN 'M.R.P.' WHEN 2 THEN 'Mfd by Acme' WHEN 3 THEN 'Lic No 1' WHEN 4 THEN 'Customer care' WHEN 5 THEN '10012043001234' WHEN 6 THEN 'Store in a dry place' WHEN 7 THEN 'Net Wt 7 g, Batch No 2' ELSE 'wheat flour' END"
+
+
+def look_boxes(spark, sf_dir):
+    boxed = "event_id % 7 <> 0"
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id div 5 AS image", "event_id % 5 AS line_no", f"{_LOOK} AS text", f"IF({boxed}, value % 100, NULL) AS x0", f"IF({boxed}, (event_id % 5) * 30.0D, NULL) AS y0", f"IF({boxed}, value % 100 + 90, NULL) AS x1", f"IF({boxed}, (event_id % 5) * 30 + 8.0D + user_id % 5, NULL) AS y1",
+    )
+
+
+_LOOKS = f"WITH l AS (SELECT event_id // 5 AS image, event_id % 5 AS line_no, {_LOOK} AS t, value % 100 AS x0, (event_id % 5) * 30.0::DOUBLE AS y0, value % 100 + 90 AS x1, (event_id % 5) * 30 + 8.0::DOUBLE + user_id % 5 AS y1 FROM events WHERE event_id % 7 <> 0)"
+_CUT = lambda a, b, c, d: f"greatest(0, least({a}, 200)) AS x0, greatest(0, least({b}, 160)) AS y0, greatest(0, least({c}, 200)) AS x1, greatest(0, least({d}, 160)) AS y1"
+
+
+def q136_regions(spark, sf_dir):
+    return regions.anchored(look_boxes(spark, sf_dir), ["image"], F.lit(200.0), F.lit(160.0)).select("image", "region", "line_no", "x0", "y0", "x1", "y1")
+
+
+_GROWN = " UNION ALL ".join(
+    [f"SELECT image, '{name}' AS region, line_no, x0 - h * {x} AS a, y0 - h * {y}::DOUBLE - {m} AS b, x1 + h * {x} AS c, y1 + h * {y}::DOUBLE + {m} AS d FROM g WHERE regexp_matches(t, '(?i)(?:{p.replace(chr(39), chr(39) * 2)})')" for name, (p, x, y, m) in regions.ANCHORS.items()]
+    + [f"SELECT image, 'MANUFACTURER', line_no, x0 - h * 4, y0, x1 + h * 4, y1 + h * 4 FROM g WHERE regexp_matches(t, '(?i)(?:{regions.MAKER})')", f"SELECT image, 'INGREDIENTS', line_no, 0, y1, 200, y1 + 0.45::DOUBLE * 160 FROM g WHERE regexp_matches(t, '(?i)(?:{headings.BARE}|{headings.COLON})')"]
+)
+Q136 = f"{_LOOKS}, g AS (SELECT *, greatest(y1 - y0, 1) AS h FROM l), r AS ({_GROWN}) SELECT image, region, line_no, {_CUT('a', 'b', 'c', 'd')} FROM r QUALIFY row_number() OVER (PARTITION BY image, region ORDER BY line_no) = 1"
+
+
+def q137_proposals(spark, sf_dir):
+    """At most three looks an image: what stands unresolved, in order; one in three images is a front."""
+    resolved = F.filter(F.array(*(F.when(F.col("image") % k == 0, F.lit(f)) for f, k in (("mrp", 2), ("manufacturing_date", 3), ("fssai_license", 5), ("consumer_care", 4)))), lambda x: x.isNotNull())
+    return regions.proposals(look_boxes(spark, sf_dir), ["image"], F.col("text").startswith("Ingredients"), F.col("image") % 3 == 0, resolved, F.lit(200.0), F.lit(160.0))
+
+
+def _around(kind: str, place: int, pattern: str, every: str, k: float, more: float, side: float, below: float, field: int) -> str:
+    pad = f"((y1 - y0) * {k}::DOUBLE + {more})"
+    return f"SELECT image, '{kind}' AS kind, {place} AS k, {_CUT(f'x0 - {pad} * {side}', f'y0 - {pad}', f'x1 + {pad} * {side}', f'y1 + {pad} * {below}')} FROM l WHERE image % {field} <> 0 AND {every} QUALIFY row_number() OVER (PARTITION BY image ORDER BY {pattern}, line_no) = 1"
+
+
+_IS = lambda p: f"regexp_matches(t, '(?i)(?:{p})')"
+_DIGITS = "length(regexp_replace(t, '[^0-9]', '', 'g')) = 14"
+Q137 = f"""{_LOOKS}, f AS (SELECT *, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS form FROM l), hd AS (SELECT image, min(line_no) AS n, arg_min(y1, line_no) AS y FROM l WHERE t LIKE 'Ingredients%' GROUP BY 1),
+st AS (SELECT image, arg_min(y0, line_no) AS stop FROM f JOIN hd USING (image) WHERE ({boundaries.first_sql(boundaries.RULES, "t", "form")}) IS NOT NULL AND line_no > n AND line_no <= n + 7 AND y0 > y GROUP BY 1),
+dr AS (SELECT image, y0, y1, row_number() OVER (PARTITION BY image ORDER BY length(t) / greatest(1, y1 - y0) DESC, y0, y1) AS r FROM l), d0 AS (SELECT image, min(y0) AS a, max(y1) AS b FROM dr WHERE r <= 4 GROUP BY 1),
+d1 AS (SELECT image, greatest(0, a - ((b - a) * 0.4::DOUBLE + 6)) AS top, least(160, b + (b - a) * 0.4::DOUBLE + 6) AS bottom FROM d0), d2 AS (SELECT image, top, least(bottom, top + 80) AS bottom FROM d1 WHERE least(bottom, top + 80) - top >= 8),
+m AS ({_around("mrp", 1, "1", _IS(validators.PRICE), 1.2, 4, 3, 1, 2)}),
+p AS (SELECT image, 'ingredients' AS kind, 0 AS k, {_CUT("0", "y", "200", "least(coalesce(stop, 160), y + 0.3::DOUBLE * 160)")} FROM hd LEFT JOIN st USING (image) UNION ALL SELECT * FROM m UNION ALL SELECT DISTINCT image, 'mrp', 1, 0, 88, 200, 160 FROM l WHERE image % 2 <> 0 AND image % 3 <> 0 AND image NOT IN (SELECT image FROM m)
+ UNION ALL SELECT * FROM ({_around("mfg_date", 2, "1", _IS(boundaries.MADE_ON), 1.2, 4, 3, 1, 3)}) UNION ALL SELECT * FROM ({_around("fssai", 3, f"NOT {_IS(validators.LICENCE)}", f"({_IS(validators.LICENCE)} OR {_DIGITS})", 1.2, 4, 3, 1, 5)}) UNION ALL SELECT * FROM ({_around("care", 4, "1", _IS(boundaries.CARE), 1.5, 6, 4, 2, 4)})
+ UNION ALL SELECT image, 'ingredients-scan', 5, {_CUT("0", "top", "200", "bottom")} FROM d2 WHERE image % 3 <> 0 AND image NOT IN (SELECT image FROM hd)),
+o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY k) - 1 AS place FROM p) SELECT image, place::INT AS place, kind, x0, y0, x1, y1 FROM o WHERE place < 3"""
+
+
+def q138_objections(spark, sf_dir):
+    """Why amounts read from labels can't stand as prices, quantities or batches beside the line they come from."""
+    lines = label_boxes(spark, sf_dir).select("line_no", "text", F.regexp_extract("text", r"[0-9][0-9,.]*", 0).alias("value"), F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(u).alias("unit")) for f, u in (("mrp", ""), ("quantity", "g"), ("batch_lot", ""))))))
+    return lines.select("line_no", "field", validators.objection(F.col("field"), F.col("value"), F.col("unit"), F.col("text")).alias("objection"))
+
+
+_NUM = "TRY_CAST(replace(v, ',', '') AS DOUBLE)"
+_Q = lambda p: p.replace("'", "''")
+Q138 = f"""WITH l AS (SELECT p_partkey AS line_no, {_LABEL.format(s='VARCHAR')} AS t FROM part), v AS (SELECT *, regexp_extract(t, '[0-9][0-9,.]*') AS v FROM l), n AS (SELECT *, {_NUM} AS x, regexp_replace(v, '[^0-9]', '', 'g') AS d, regexp_matches(t || ' ' || v || ' g', '(?i)(?:{_Q(validators.NET)})') AS net FROM v)
+SELECT line_no, 'mrp' AS field, CASE WHEN v = '' THEN 'blank' WHEN x IS NULL THEN 'not numeric' WHEN x <= 0 THEN 'not positive' WHEN length(split_part(replace(v, ',', ''), '.', 1)) > 5 THEN 'too many digits' WHEN length(d) >= 10 THEN 'as long as a phone' WHEN NOT regexp_matches(t, '(?i)(?:{_Q(validators.PRICE)})') THEN 'no price context' END AS objection FROM n
+UNION ALL SELECT line_no, 'quantity', CASE WHEN v = '' THEN 'blank' WHEN x IS NULL THEN 'not numeric' WHEN x <= 0 THEN 'not positive' WHEN x IN (1, 2) AND NOT net THEN 'a small count' WHEN regexp_matches(t || ' ' || v || ' g', '(?i)(?:{_Q(validators.COUNTS)})') AND NOT net THEN 'a count of servings or packs' WHEN NOT net THEN 'no net context'
+ WHEN regexp_matches(t, '(?i)(?:{_Q(validators.FOREIGN)})') AND NOT regexp_matches(t, '(?i)(?:{_Q(validators.NET)})') THEN 'another section' END FROM n
+UNION ALL SELECT line_no, 'batch_lot', CASE WHEN v = '' THEN 'blank' WHEN length(d) = 14 THEN 'as long as a licence' WHEN length(d) >= 10 THEN 'as long as a phone' WHEN NOT regexp_matches(t, '(?i)(?:{_Q(validators.BATCH)})') THEN 'no batch context' WHEN NOT regexp_matches(v, '^[A-Za-z0-9/-]{{2,20}}$') THEN 'no batch shape' END FROM n"""
+
+
+def q139_second_looks(spark, sf_dir):
+    """Documents whose text, taken as a reading of ingredients, asks for another engine, by reason."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    reasons = validators.second_look(F.col("text"), F.when(F.col("lang") == "en", 0.9).when(F.col("lang") == "de", 0.7).otherwise(0.5), F.col("n_chars") / 20.0, F.lit(None).cast("array<string>"))
+    return d.select("doc_id", F.array_join(reasons, ",").alias("reasons"))
+
+
+Q139 = r"""WITH d AS (SELECT *, trim(text) AS t FROM documents WHERE text IS NOT NULL), m AS (SELECT *, regexp_replace(regexp_replace(t, '[0-9]\s*%', '', 'g'), '[0-9]\s*&\s*[0-9]', '', 'g') AS s FROM d)
+SELECT doc_id, concat_ws(',', CASE WHEN lang NOT IN ('en', 'de') THEN 'incoherent' END, CASE WHEN n_chars / 20.0 >= 3 AND length(t) < 40 THEN 'short' END, CASE WHEN regexp_matches(s, '[@#$^*_~`|\\&¬]') THEN 'odd characters' END,
+ CASE WHEN len(regexp_extract_all(t, '\bINS\b')) > len(regexp_extract_all(t, '\bINS\b\s*[0-9]{1,4}\b')) OR regexp_matches(t, '(^|[^0-9A-Za-z_\p{L}\p{M}\p{N}])(E\s*[A-Za-z]+|E[0-9]{1,2}|E[0-9]{5,})($|[^0-9A-Za-z_\p{L}\p{M}\p{N}])') THEN 'malformed additives' END) AS reasons FROM m"""
+
+
+def q140_report_labels(spark, sf_dir):
+    """Orders as inspections: how the report names each, and its findings of the package and of the listing by result, the critical ones apart."""
+    o = table(spark, sf_dir, "orders")
+    label = validators.context_label(F.when(F.col("o_orderstatus") == "F", "package_only").when(F.col("o_totalprice") > 300_000, "online_listing"), F.when(F.col("o_orderpriority") == "1-URGENT", "PACKAGE_AND_ONLINE_LISTING"), F.when(F.col("o_orderpriority") == "5-LOW", "MARKET_SURVEY"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linenumber") > 5, "online").otherwise("package").alias("part"), F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "NEEDS_REVIEW").otherwise("PASS").alias("result"))
+    return found.join(o.select("o_orderkey", label.alias("label")), "o_orderkey").groupBy("label", "part", "result").agg(F.count("*").alias("n"), F.count_if((F.col("part") == "package") & F.col("result").isin("FAIL", "NEEDS_REVIEW")).alias("critical"))
+
+
+Q140 = """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Physical Package Inspection' WHEN o_totalprice > 300000 THEN 'Online Listing Inspection' WHEN o_orderpriority = '1-URGENT' THEN 'Physical Package + Online Listing Inspection' WHEN o_orderpriority = '5-LOW' THEN 'Market Survey' ELSE 'Physical Package Inspection' END AS label FROM orders),
+f AS (SELECT l_orderkey, CASE WHEN l_linenumber > 5 THEN 'online' ELSE 'package' END AS part, CASE l_returnflag WHEN 'R' THEN 'FAIL' WHEN 'A' THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS result FROM lineitem)
+SELECT label, part, result, count(*) AS n, count(*) FILTER (WHERE part = 'package' AND result <> 'PASS') AS critical FROM f JOIN o ON o_orderkey = l_orderkey GROUP BY 1, 2, 3"""
+
 QUERIES = {k: (f, globals().get(k.split("_")[0].upper())) for k, f in list(globals().items()) if k[:1] == "q" and k[1:2].isdigit() and callable(f)}
