@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sync
+from ..operators import graphs, sync
 from .rule_queries import table
 
 
@@ -61,4 +61,33 @@ def q135_sync_overlaps(spark, sf_dir):
 
 Q135 = _BASE + " SELECT a.id AS version_id, b.id AS existing_id FROM w a JOIN w b ON a.cust = b.cust AND a.action = 'INSERT' AND b.old WHERE a.start < CASE WHEN b.s = 'O' THEN TIMESTAMP '9999-12-31' ELSE b.start + INTERVAL 200 DAY END AND b.start < a.start + INTERVAL 200 DAY"
 
+
+def key_graph(spark, sf_dir):
+    """Customers as tables that refer to the one with a quarter of their key; some refer to the next one and back; debtors of one segment to what isn't there."""
+    c = table(spark, sf_dir, "customer")
+    ring = "c_mktsegment = 'MACHINERY' AND c_nationkey % 5 = 2"
+    refs = c.where("c_custkey > 0").selectExpr("c_custkey AS name", "c_custkey div 4 AS target").unionByName(c.where(ring).selectExpr("inline(array(struct(c_custkey AS name, c_custkey + 1 AS target), struct(c_custkey + 1 AS name, c_custkey AS target)))"))
+    return c.selectExpr("c_custkey AS name"), refs.unionByName(c.where("c_mktsegment = 'BUILDING' AND c_acctbal < 0").selectExpr("c_custkey AS name", "-c_custkey AS target"))
+
+
+def q141_creation_order(spark, sf_dir):
+    return graphs.creation_order(*key_graph(spark, sf_dir))
+
+
+_GRAPH = """e AS (SELECT c_custkey AS name, c_custkey // 4 AS target FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey, c_custkey + 1 FROM g UNION SELECT c_custkey + 1, c_custkey FROM g),
+k AS (SELECT DISTINCT name, target FROM e WHERE name <> target AND name IN (SELECT c_custkey FROM customer) AND target IN (SELECT c_custkey FROM customer))"""
+_RING = "g AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey % 5 = 2)"
+Q141 = f"""WITH RECURSIVE {_RING}, {_GRAPH}, r AS (SELECT name, target FROM k UNION SELECT r.name, k.target FROM r JOIN k ON k.name = r.target), c AS (SELECT name FROM r WHERE name = target),
+b AS (SELECT DISTINCT name FROM r WHERE target IN (SELECT name FROM c)), a AS (SELECT DISTINCT target AS name FROM r WHERE name IN (SELECT name FROM c)),
+d AS (SELECT c_custkey AS name, c_custkey AS at, 0 AS depth FROM customer WHERE c_custkey NOT IN (SELECT name FROM b) UNION SELECT d.name, k.target, depth + 1 FROM d JOIN k ON k.name = d.at)
+SELECT c_custkey AS name, CASE WHEN c_custkey NOT IN (SELECT name FROM b) THEN (SELECT max(depth) FROM d WHERE d.name = c_custkey) END::INT AS level, CASE WHEN c_custkey NOT IN (SELECT name FROM b) THEN 'OK' WHEN c_custkey IN (SELECT name FROM a) THEN 'CYCLE' ELSE 'BEHIND' END AS status FROM customer"""
+
+
+def q142_unresolved_keys(spark, sf_dir):
+    return graphs.unresolved(*key_graph(spark, sf_dir))
+
+
+Q142 = f"""WITH {_RING}, e AS (SELECT c_custkey AS name, -c_custkey AS target FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 UNION SELECT c_custkey, c_custkey + 1 FROM g)
+SELECT name, target FROM e WHERE target NOT IN (SELECT c_custkey FROM customer)"""
+
 QUERIES = {k: (f, globals().get(k.split("_")[0].upper())) for k, f in list(globals().items()) if k[:1] == "q" and k[1:2].isdigit() and callable(f)}
