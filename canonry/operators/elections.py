@@ -254,3 +254,49 @@ def elected(cands: DataFrame, by: list[str], value: list[str], close: float = 0.
     w = Window.partitionBy(*by).orderBy(F.desc("b.score"), "b.line_no", *value)
     ranked = once.withColumns({"__rank": F.row_number().over(w), "__next": F.lead("b.score").over(w), "rivals": (F.count("*").over(Window.partitionBy(*by)) - 1).cast("int")}).where("__rank = 1")
     return ranked.select(*by, *value, "b.source", F.round("b.score", 6).alias("score"), "b.line_no", "rivals", F.coalesce(F.col("b.score") - F.col("__next") < close, F.lit(False)).alias("review"))
+
+
+#: What leads to a licence, damaged forms among them, a number of its length, and fragments that a split one may consist of.
+LICENCE = r"(?i)fssai|fsslai|lic\.?\s*no|licence|license|fss[l1i]|essai|f[5s]sai"
+LICENCE_NUMBER = r"(\d[\d\s]{12,20}\d)"
+LICENCE_WORDS = ["lic", "licno", "no", "n0", "fssai"]
+
+
+def elected_licences(lines: DataFrame, by: list[str], barcodes: DataFrame | None = None) -> DataFrame:
+    """``value`` (14 digits), ``source`` and ``line_no`` of each package's licence, by the first line that leads to one.
+
+    The number stands on that line, or runs on over the next, or over three lines that are nothing but words of licences and digits, or is in a box nearby. A
+    box that lies on a barcode (``barcodes``: ``by``, ``digits``, ``x0 y0 x1 y1``) by over half is no licence unless the digits are the same.
+    """
+    w = Window.partitionBy(*by).orderBy("line_no")
+    boxes = ("x0", "y0", "x1", "y1")
+    seen = lines.select(*by, "line_no", "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *boxes).withColumns({"__2": F.lead("text", 1).over(w), "__3": F.lead("text", 2).over(w)})
+    leads = _has(F.col("text"), LICENCE)
+
+    def fragment(c: str) -> Column:
+        bare = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+        return (F.trim(c) == "") | _has(F.col(c), LICENCE) | bare.isin(*LICENCE_WORDS) | (F.col(c).rlike(r"\d") & F.col(c).rlike(r"^[\d\s.,:/\-]*$"))
+
+    def number(text: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(text, LICENCE_NUMBER, 1), r"\D", "")
+        return F.when(F.char_length(digits) == 14, digits)
+
+    own = number(F.col("text"))
+    bare = ~_has(F.col("text"), LICENCE_NUMBER)
+    two = F.when(bare & F.col("__2").isNotNull(), number(F.concat_ws(" ", "text", "__2")))
+    three = F.when(bare & F.col("__3").isNotNull() & fragment("text") & fragment("__2") & fragment("__3"), number(F.concat_ws(" ", "text", "__2", "__3")))
+    sources = F.array(*(F.when(v.isNotNull(), F.struct(F.lit(i).alias("rank"), F.lit(name).alias("source"), v.alias("value"))) for i, (name, v) in enumerate((("own line", own), ("two lines", two), ("three lines", three)))))
+    in_order = seen.where(leads).select(*by, F.col("line_no").alias("lead_no"), "line_no", *boxes, F.inline(F.filter(sources, lambda x: x.isNotNull())))
+    places = seen.select(*by, F.col("line_no").alias("near_no"), *boxes)
+    anchors = seen.where(leads & bare).select(*by, "line_no")
+    near = _near(seen, by, leads & bare).join(anchors, [*by, "line_no"], "left_semi").withColumn("value", number(F.col("near_text"))).where("value is not null").join(places, [*by, "near_no"])
+    found = in_order.unionByName(near.select(*by, F.col("line_no").alias("lead_no"), F.col("near_no").alias("line_no"), *boxes, F.lit(3).alias("rank"), F.lit("near box").alias("source"), "value"))
+    if barcodes is not None:
+        b = barcodes.select(*by, F.col("digits").alias("__digits"), *(F.col(c).alias(f"__{c}") for c in boxes))
+        side = lambda a, c: F.greatest(F.lit(0.0), F.least(a, F.col(f"__{a}")) - F.greatest(c, F.col(f"__{c}")))
+        common = side("x1", "x0") * side("y1", "y0")
+        area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+        covered = found.where(F.col("x0").isNotNull()).join(b, by).where((common > 0.5 * (area("") + area("__") - common)) & (F.col("__digits") != F.col("value")))
+        found = found.join(covered.select(*by, "line_no", "value", "source", "lead_no").distinct(), [*by, "line_no", "value", "source", "lead_no"], "left_anti")
+    best = found.groupBy(*by).agg(F.min_by(F.struct("value", "source", "line_no"), F.struct("lead_no", "rank", "line_no", "value")).alias("b"))
+    return best.select(*by, "b.*")
