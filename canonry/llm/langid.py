@@ -35,6 +35,8 @@ CELLS = 1 << BITS
 SHORT = 4096  #: code points below which sorting a text's n-grams is cheaper than counting into all cells
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _letter = regex.compile(r"\p{L}").search
+#: Share of the training texts that hold an n-gram from which it is a familiar one.
+FAMILIAR = 0.005
 
 
 def cells(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +57,34 @@ def cells(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, counts[found]
 
 
+def _letters() -> np.ndarray:
+    """Which code points are letters or marks on them, made on first use."""
+    if not _LETTERS:
+        table = np.zeros(0x110000, bool)
+        table[[ord(c) for c in regex.findall(r"[\p{L}\p{M}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))]] = True
+        _LETTERS.append(table)
+    return _LETTERS[0]
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+def letter_trigrams(text: str) -> np.ndarray:
+    """The cells of a text's trigrams of letters, each run of anything else as one blank."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    is_letter = _letters()[codes]
+    kept = is_letter | np.concatenate([[True], is_letter[:-1]])
+    codes = np.where(is_letter, codes, np.uint32(32))[kept]
+    gram = np.zeros(len(codes), dtype=np.uint32)
+    for n in range(3):
+        if len(codes) <= n:
+            return np.zeros(0, np.uint32)
+        gram = gram[: len(codes) - n] * _MIX[1] + codes[n:] + np.uint32(n)
+    hashed = gram * _MIX[0]
+    hashed ^= hashed >> np.uint32(15)
+    return (hashed * _MIX[2]) >> np.uint32(32 - BITS)
+
+
 def weights(found: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF of a text's cells with sublinear frequencies, of length 1."""
     v = (1.0 + np.log(counts)) * idf[found]
@@ -136,8 +166,13 @@ def _softmax(s: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, softmax: SparseSoftmax) -> None:
-        self.idf, self.softmax = idf.astype(np.float32), softmax
+    def __init__(self, idf: np.ndarray, softmax: SparseSoftmax, familiar: np.ndarray) -> None:
+        self.idf, self.softmax, self.familiar = idf.astype(np.float32), softmax, familiar
+
+    def strangeness(self, text: str | None) -> float:
+        """The share of a text's letter trigrams that too few training texts hold: near 0 in the languages learned, over a half in letter noise. 0 without letters."""
+        found = letter_trigrams(text or "")
+        return float(1.0 - self.familiar[found].mean()) if len(found) else 0.0
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         return self.softmax.predict(text, self.idf)
@@ -190,7 +225,8 @@ def fit(training: DataFrame, sample_rows: int = 6000, epochs: int = 3, set_aside
         softmax.temperature = temperature.as_py()
         softmax.w[np.asarray(found.values), k] = np.asarray(w.values)
     softmax.z = softmax.n = None
-    return Model(idf, softmax)
+    # With one more text of each kind counted: as long as training texts are few, nothing is known to be rare.
+    return Model(idf, softmax, (seen + 1.0) / (rows + 2.0) >= FAMILIAR)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import corpus_pipeline
 from canonry.llm.queries import queries
@@ -46,6 +47,22 @@ def test_stages_take_effect(spark, tmp_path):
     assert kept["packing"] == kept["secrets"] == kept["near_duplicates"]
 
 
+def test_language_stage_rejects_noise_and_keeps_short_clean_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
+    held = [r["text"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    r = random.Random(5)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 10))) for _ in range(r.randint(5, 60))) for _ in range(200)]
+    words = [w for t in held for w in t.split()[:40:9] if w.isalpha() and len(w) > 1]
+    other = ["Nopea ruskea kettu hyppää laiskan koiran yli", "Rychlá hnědá liška skáče přes líného psa", "Szybki brązowy lis przeskakuje nad leniwym psem", "Быстрая коричневая лиса прыгает через ленивую собаку"]
+    rows = [(100_000 + i, t, None) for i, t in enumerate([*noise, *other, *words])]
+    out = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), "")
+    kept = {x["doc_id"] for x in out.select("doc_id").collect()}
+    share = lambda a, b: sum(100_000 + i in kept for i in range(a, b)) / (b - a)
+    n, m = len(noise), len(noise) + len(other)
+    assert share(0, n) <= 0.05 and share(n, m) == 0 and share(m, len(rows)) >= 0.97
+    assert {x["doc_id"] for x in docs.select("doc_id").collect()} <= kept
+
+
 def test_secrets_stage_redacts_and_keeps_rows(spark):
     docs = spark.createDataFrame([(1, f'token = "{KEY}" x', "en", "s", 53), (2, None, "en", "s", None), (3, "plain", "en", "s", 99)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r for r in corpus_pipeline.redact_secrets(spark, docs, "").collect()}
@@ -55,7 +72,7 @@ def test_secrets_stage_redacts_and_keeps_rows(spark):
 def test_run_and_registration(spark, tmp_path):
     write(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
-    assert {*(f"op{i}_" for i in range(1, 11)), "pipeline"} == {k.split("_")[0] + "_" * (k != "pipeline") for k in queries()}
+    assert {*(f"op{i}_" for i in range(1, 14)), "pipeline"} == {k.split("_")[0] + "_" * (k != "pipeline") for k in queries()}
 
 
 AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, __n int, __copy string, kept_id long, score double"
