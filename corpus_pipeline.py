@@ -20,6 +20,8 @@ from canonry.llm.common import Scratch, free_name, keep_rows, load
 
 #: Probability that a document's most likely language must reach; low, since a clean text of one word is no worse for being short.
 LEAST_LANGUAGE = 0.35
+#: Share of a document's letter trigrams that may be unknown to the languages learned: letter noise and other languages have more.
+MOST_STRANGE = 0.45
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
 #: Words of a shingle and percent of similarity of near duplicates.
@@ -28,12 +30,12 @@ CAPACITY = 2048
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or with no probable language go: null and empty texts among them. Repeated rows go or stay alike; without a language to learn from, all go."""
+    """Documents without a letter, with no probable language or with mostly unknown trigrams go: null and empty texts among them. Repeated rows go or stay alike; without a language to learn from, all go."""
     model = langid.fit(langid.training_part(docs))
 
     def keep(text: str | None) -> bool:
         lang, score = model(text)
-        return lang != langid.UNDETERMINED and score >= LEAST_LANGUAGE
+        return lang != langid.UNDETERMINED and score >= LEAST_LANGUAGE and model.strangeness(text) <= MOST_STRANGE
 
     return keep_rows(docs, "text", keep)
 
