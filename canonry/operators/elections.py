@@ -300,3 +300,40 @@ def elected_licences(lines: DataFrame, by: list[str], barcodes: DataFrame | None
         found = found.join(covered.select(*by, "line_no", "value", "source", "lead_no").distinct(), [*by, "line_no", "value", "source", "lead_no"], "left_anti")
     best = found.groupBy(*by).agg(F.min_by(F.struct("value", "source", "line_no"), F.struct("lead_no", "rank", "line_no", "value")).alias("b"))
     return best.select(*by, "b.*")
+
+
+#: Fields that a word leads to: the word (damaged forms in the second), the value beside it, and the value where it stands alone in a line or box.
+_DATE = r"([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{1,2}[/.-][0-9]{4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ .-]*[0-9]{4})"
+_PHONE = r"((?:\+?91[\s-]?)?[6-9]\d{9}|[1lI][8B][0O]{2}[\s-]?\d{3,4}[\s-]?\d{3,4})"
+WORDED_FIELDS = {
+    "manufacturing_date": (r"\bmfd\b|\bmfg\b|mfd[\d.]|mfg[\d.]|manufactur|packed(?:\s*on)?|\bpkd\b|\bpkg\b|pkd[\d.]|date\s*of\s*(?:manufacture|packing|packaging)", r"\bmfo\b|\bnfd\b|\bmf[69]\b", _DATE, rf"^\W*{_DATE}\W*$"),
+    "best_before": (r"best\s*before|use\s*before|use\s*by|use-by|expir|best\s*if\s*used\s*by|consume\s*before", r"be[s5]t\s*bef[o0]re|[e3]xpiry|u[s5]e\s*by", rf"{_DATE[:-1]}|\d+\s*(?:days?|months?|years?))", rf"^\W*{_DATE[:-1]}|\d+\s*(?:days?|months?|years?))\W*$"),
+    "consumer_care": (r"care|call|customer|toll|helpline|contact|complaint|phone|tel|service", r"ca[l1][l1]|conta[ce]t|he[l1]pline|custorner|fee[d]?back", _PHONE, rf"^\W*{_PHONE}\W*$"),
+    "batch_lot": (r"\bbatch\b|\blot\b|\bb\.?\s*no\b|\bb\s*/\s*n", r"\bbatcn\b|\b[bB]atch[nN]o|\b[l1]ot\s*n[o0]\b", r"(?:batch|batcn|lot|b\.?\s*no|b\s*/\s*n)[\s.:/-]*(?:n[o0]\.?|number|num\.?)?[\s.:-]*([A-Z0-9][A-Z0-9/-]{1,19})\s*$", r"^\s*([A-Z]{0,4}[0-9][A-Z0-9/-]{1,15})\s*$"),
+}
+
+
+def worded_candidates(lines: DataFrame, by: list[str]) -> DataFrame:
+    """``field``, ``value``, ``source``, ``score``, ``line_no`` of dates, contacts and batches that a word leads to: on its line, on the line below, or in a box nearby.
+
+    A damaged word counts less than a clean one. The line below and boxes count only where the word's own line has no value, and must be
+    the value alone. Digits of a phone read as letters are put right.
+    """
+    w = Window.partitionBy(*by).orderBy("line_no")
+    seen = lines.select(*by, "line_no", "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "x0", "y0", "x1", "y1").withColumns({"__next": F.lead("text").over(w), "__next_c": F.lead("confidence").over(w)})
+    out = None
+    for field, (clean, damaged, beside, alone) in WORDED_FIELDS.items():
+        read = lambda c, p: F.nullif(F.regexp_extract(c, f"(?i){p}", 1), F.lit(""))
+        plain = _has(F.col("text"), f"(?i)(?:{clean})")
+        leads = seen.where(plain | _has(F.col("text"), f"(?i)(?:{damaged})")).withColumns({"__own": read(F.col("text"), beside), "__word": F.when(plain, 0.0).otherwise(0.5)})
+        source = lambda df, name, value, at, points, conf: df.select(*by, F.lit(field).alias("field"), value.alias("value"), F.lit(name).alias("source"), (F.lit(points) - F.col("__word") + conf).alias("score"), at.alias("line_no")).where("value is not null")  # noqa: B023, E731
+        empty = leads.where("__own is null")
+        near = _near(seen, by, plain | _has(F.col("text"), f"(?i)(?:{damaged})")).join(empty.select(*by, "line_no", "__word"), [*by, "line_no"])
+        found = (
+            source(leads, "own line", F.col("__own"), F.col("line_no"), 3.0, F.col("confidence"))
+            .unionByName(source(empty, "next line", read(F.col("__next"), alone), F.col("line_no"), 2.0, (F.col("confidence") + F.coalesce("__next_c", F.lit(0.0))) / 2))
+            .unionByName(source(near, "near box", read(F.col("near_text"), alone), F.col("near_no"), 1.0, (F.col("own") + F.col("near_own")) / 2))
+        )
+        out = found if out is None else out.unionByName(found)
+    phone = F.translate(F.regexp_replace("value", r"[\s-]", ""), "lIBOo", "11800")
+    return out.withColumn("value", F.when(F.col("field") == "consumer_care", phone).otherwise(F.trim("value")))

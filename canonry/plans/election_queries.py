@@ -196,4 +196,33 @@ Q140 = """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Phys
 f AS (SELECT l_orderkey, CASE WHEN l_linenumber > 5 THEN 'online' ELSE 'package' END AS part, CASE l_returnflag WHEN 'R' THEN 'FAIL' WHEN 'A' THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS result FROM lineitem)
 SELECT label, part, result, count(*) AS n, count(*) FILTER (WHERE part = 'package' AND result <> 'PASS') AS critical FROM f JOIN o ON o_orderkey = l_orderkey GROUP BY 1, 2, 3"""
 
+#: Parts as lines of packages of six: words that lead to dates, contacts and batches, clean or damaged, and values alone.
+_WORDED = """CASE (p_partkey * 5 + p_size) % 14 WHEN 0 THEN concat('Mfd: 0', p_size % 9 + 1, '/2024') WHEN 1 THEN 'MFO' WHEN 2 THEN concat('12/0', p_size % 9 + 1, '/2024') WHEN 3 THEN concat('Best before ', p_size, ' months') WHEN 4 THEN 'Use by' WHEN 5 THEN concat('Customer care 98765432', lpad(CAST(p_size AS {s}), 2, '0'))
+ WHEN 6 THEN 'He1pline' WHEN 7 THEN concat('l8OO-103-', 1000 + p_size) WHEN 8 THEN concat('Batch No: AB', p_size) WHEN 9 THEN 'Lot' WHEN 10 THEN concat('B', p_size, '/7') WHEN 11 THEN concat(p_size, ' months') WHEN 12 THEN 'Mfd 99' ELSE 'plain words' END"""
+
+
+def q143_worded_fields(spark, sf_dir):
+    """Dates, contacts and batches of packages, the best of each field."""
+    lines = label_boxes(spark, sf_dir).drop("text").join(table(spark, sf_dir, "part").selectExpr("p_partkey AS line_no", f"{_WORDED.format(s='STRING')} AS text"), "line_no")
+    got = elections.elected(elections.worded_candidates(lines, ["package"]), ["package", "field"], ["value"])
+    return got.select("package", "field", "value", "source", "score", "line_no")
+
+
+def _worded_sql() -> str:
+    parts = []
+    for field, (clean, damaged, beside, alone) in elections.WORDED_FIELDS.items():
+        leads, word = f"regexp_matches(t, '(?i)(?:{clean}|{damaged})')", f"CASE WHEN regexp_matches(t, '(?i)(?:{clean})') THEN 0.0 ELSE 0.5 END"
+        own, hit = f"nullif(regexp_extract(t, '(?i){beside}', 1), '')", lambda c: f"nullif(regexp_extract({c}, '(?i){alone}', 1), '')"  # noqa: B023
+        parts.append(f"SELECT package, '{field}' AS field, {own} AS value, 'own line' AS source, 3.0::DOUBLE - {word} + c AS score, line_no FROM s WHERE {leads}")
+        parts.append(f"SELECT package, '{field}', {hit('n')}, 'next line', 2.0::DOUBLE - {word} + (c + coalesce(nc, 0)) / 2, line_no FROM s WHERE {leads} AND {own} IS NULL")
+        parts.append(f"SELECT package, '{field}', {hit('b')}, 'near box', 1.0::DOUBLE - {word} + (ac + bc) / 2, o FROM (SELECT package, at0 AS t, t AS b, ac, bc, o FROM z WHERE k <= 6) WHERE {leads} AND {own} IS NULL")
+    return " UNION ALL ".join(parts)
+
+
+_WORDED_BOXES = _BOXES.replace(_LABEL.format(s="VARCHAR"), _WORDED.format(s="VARCHAR")).replace("a.t AS anchored", "a.t AS at0")
+Q143 = f"""{_WORDED_BOXES}, s AS (SELECT *, lead(t) OVER y AS n, lead(c) OVER y AS nc FROM l WINDOW y AS (PARTITION BY package ORDER BY line_no)), h AS ({_worded_sql()}),
+p AS (SELECT package, field, CASE WHEN field = 'consumer_care' THEN translate(regexp_replace(value, '[\\s-]', '', 'g'), 'lIBOo', '11800') ELSE trim(value) END AS value, source, score, line_no FROM h WHERE value IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY package, field, value ORDER BY score DESC, line_no, source DESC) AS k FROM p), e AS (SELECT *, row_number() OVER (PARTITION BY package, field ORDER BY score DESC, line_no, value) AS place FROM o WHERE k = 1)
+SELECT package, field, value, source, round(score, 6) AS score, line_no FROM e WHERE place = 1"""
+
 QUERIES = {k: (f, globals().get(k.split("_")[0].upper())) for k, f in list(globals().items()) if k[:1] == "q" and k[1:2].isdigit() and callable(f)}

@@ -41,6 +41,15 @@ def test_licences(spark, texts, places, codes, want):
     assert [(r["value"], r["source"]) for r in got] == ([want] if want else [])
 
 
+@pytest.mark.parametrize(("texts", "places", "want"), [
+    (["MFD05/2024 net", "Best before 6 months"], None, {"manufacturing_date": ("05/2024", "own line"), "best_before": ("6 months", "own line")}), (["Mfd", "12/05/2024"], None, {"manufacturing_date": ("12/05/2024", "next line")}), (["MFO 05/2024"], None, {"manufacturing_date": ("05/2024", "own line")}),
+    (["Mfd", "x", "y", "May 2024"], {0: (0, 0), 3: (0, 20)}, {"manufacturing_date": ("May 2024", "near box")}), (["He1pline", "l8OO-103-1947"], None, {"consumer_care": ("18001031947", "next line")}), (["Plot 12"], None, {}), (["Batch No: AB12"], None, {"batch_lot": ("AB12", "own line")}), (["Lot", "B7/12"], None, {"batch_lot": ("B7/12", "next line")}), (["Lot", "made 12 of them"], None, {}), (["05/2024", "9876543210"], None, {}),
+])
+def test_fields_that_a_word_leads_to(spark, texts, places, want):
+    got = elections.elected(elections.worded_candidates(boxed(spark, texts, places), ["p"]), ["p", "field"], ["value"]).collect()
+    assert {r["field"]: (r["value"], r["source"]) for r in got} == want
+
+
 def test_names(spark):
     rows = [("front", 0, "TASTY", 0.9, 900.0), ("front", 1, "Golden Wheat Rusk", 0.9, 1000.0), ("front", 2, "Net weight 70 g", 0.9, 2000.0), ("back", 3, "golden wheat rusk", 0.9, 10.0), ("back", 4, "Energy", 0.9, 500.0), ("back", 5, "www.acme.in http://x", 0.9, 900.0), ("back", 6, "FSSAI Lic No", 0.9, 100.0)]
     df = spark.createDataFrame([(1, *r) for r in rows] + [(2, "back", 0, "123", 0.9, None), (3, "back", 0, "plain", 0.5, None), (4, "back", 0, "Some words here", 0.1, 10.0), (4, "back", 1, "Another Declaration: of the longest kind that no name ever has", 0.1, 900.0)], "p int, image string, line_no int, text string, confidence double, area double")
