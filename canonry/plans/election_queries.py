@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boundaries, elections, headings, regions, validators
+from ..operators import boundaries, cleaning, elections, headings, regions, validators
+from .heading_queries import PLANTED, planted
 from .rule_queries import table
 
 #: Events as boxes of images of 16: four rows of four, some without a box, with words that hyphens or narrow gaps cut.
@@ -225,4 +226,36 @@ p AS (SELECT package, field, CASE WHEN field = 'consumer_care' THEN translate(re
 o AS (SELECT *, row_number() OVER (PARTITION BY package, field, value ORDER BY score DESC, line_no, source DESC) AS k FROM p), e AS (SELECT *, row_number() OVER (PARTITION BY package, field ORDER BY score DESC, line_no, value) AS place FROM o WHERE k = 1)
 SELECT package, field, value, source, round(score, 6) AS score, line_no FROM e WHERE place = 1"""
 
+
+def q144_cleaned_lists(spark, sf_dir):
+    """Whole documents, as lists of ingredients, without what is none: copies of lines, domains, runs of digits."""
+    got = cleaning.cleaned(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return got.select("doc_id", F.char_length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+Q144 = rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, generate_subscripts(x, 1) AS n, trim(unnest(x)) AS line FROM d),
+f AS (SELECT * FROM l WHERE line <> '' AND NOT regexp_matches(replace(line, ' ', ''), '{cleaning.BARCODE_LINE}') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(line, '\s+', ' ', 'g')) ORDER BY n) = 1),
+c AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(regexp_replace(line, '{cleaning.DOMAIN}', '', 'g'), '{cleaning.DIGIT_RUN}', '', 'g'), '\s+', ' ', 'g'), ' ,;') AS line FROM f)
+SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM (SELECT doc_id, string_agg(line, ' ' ORDER BY n) AS t FROM c WHERE line <> '' GROUP BY 1)"""
+
+
+def q145_field_status(spark, sf_dir):
+    """The status of fields over planted lines of documents: of prices, licences and contacts what was read, of the others their context."""
+    lines = planted(spark, sf_dir).withColumn("line_no", F.col("line_no").cast("long"))
+    read = lambda f, p: F.when(F.col("text").rlike(p), F.struct(F.lit(f).alias("field"), F.regexp_extract("text", p, 1).alias("value")))
+    values = lines.select("doc_id", "line_no", F.inline(F.filter(F.array(read("mrp", r"Rs ([0-9]+)"), read("fssai_license", r"FSSAI ([0-9]{14})"), read("quantity", r"wt ([0-9]+) g")), lambda x: x.isNotNull())))
+    first = values.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "line_no"), "line_no").alias("b")).select("doc_id", "field", "b.*").withColumn("confidence", F.when(F.col("line_no") % 3 == 0, 0.55).otherwise(0.9))
+    return cleaning.field_status(first, lines, ["doc_id"]).select("doc_id", "field", "anchored", "fused", "status")
+
+
+_SHOWN = ", ".join(f"bool_or(regexp_matches(t, '(?i)(?:{p})')) AS {f}" for f, p in cleaning.CONTEXTS.items())
+_PAIRS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {f} AS anchored FROM w" for f in cleaning.CONTEXTS)
+_ALIEN = lambda f: "|".join(m for m in cleaning.FOREIGN if m not in cleaning.OWN.get(f, "").split())
+Q145 = rf"""{PLANTED}, w AS (SELECT doc_id, {_SHOWN} FROM p GROUP BY 1), a AS ({_PAIRS}),
+v AS (SELECT doc_id, 'mrp' AS field, line_no, regexp_extract(t, 'Rs ([0-9]+)', 1) AS v, regexp_matches(form, '{_ALIEN("mrp")}') AS alien FROM f WHERE regexp_matches(t, 'Rs [0-9]+') UNION ALL SELECT doc_id, 'fssai_license', line_no, regexp_extract(t, 'FSSAI ([0-9]{{14}})', 1), regexp_matches(form, '{_ALIEN("fssai_license")}') FROM f WHERE regexp_matches(t, 'FSSAI [0-9]{{14}}')
+ UNION ALL SELECT doc_id, 'quantity', line_no, regexp_extract(t, 'wt ([0-9]+) g', 1), regexp_matches(form, '{_ALIEN("quantity")}') FROM f WHERE regexp_matches(t, 'wt [0-9]+ g')),
+o AS (SELECT *, CASE WHEN line_no % 3 = 0 THEN 0.55 ELSE 0.9 END::DOUBLE AS c FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY line_no) = 1),
+j AS (SELECT a.*, v, c, round(c * CASE WHEN anchored THEN 1.0 ELSE 0.7 END::DOUBLE * CASE WHEN alien THEN 0.5 ELSE 1.0 END::DOUBLE, 3) AS fused FROM a LEFT JOIN o USING (doc_id, field))
+SELECT doc_id, field, anchored, fused, CASE WHEN v IS NULL THEN CASE WHEN anchored THEN 'NEEDS_REVIEW' ELSE 'NOT_DETECTED' END WHEN c >= 0.6 AND fused >= 0.6 AND v::BIGINT > 0 THEN 'DETECTED' ELSE 'NEEDS_REVIEW' END AS status FROM j"""
+
 QUERIES = {k: (f, globals().get(k.split("_")[0].upper())) for k, f in list(globals().items()) if k[:1] == "q" and k[1:2].isdigit() and callable(f)}
