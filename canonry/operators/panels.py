@@ -197,3 +197,28 @@ def golden_summary(scored: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n_scored"), F.count_if(F.col("expected") == F.col("extracted")).alias("exact_matches"), F.count_if((norm("expected") == norm("extracted")) & F.col("extracted").isNotNull()).alias("normalized_matches"),
         F.count_if(number("expected") == number("extracted")).alias("value_matches"), share(F.col("extracted").isNotNull()).alias("extraction_coverage"), share(F.col("needs_review")).alias("needs_review_rate"),
     )
+
+
+#: Groups of fields: the order of roles, the kinds of evidence that decide (a group without any goes by its label), and the label taken where none has evidence.
+GROUPS = {
+    "A_product": (["FRONT", "BACK", "SIDE", "UNKNOWN"], [], "front"), "B_declarations": (["BACK", "SIDE", "FRONT", "UNKNOWN"], [["mrp", "date"]], "back"), "C_business": (["BACK", "SIDE", "UNKNOWN"], [["fssai", "care"]], "back"),
+    "D_ingredients": (["BACK", "SIDE", "UNKNOWN"], [["heading"]], "back"), "E_nutrition": (["BACK", "SIDE", "UNKNOWN"], [["nutrition"], ["heading"]], "back"), "F_symbols": (["FRONT", "BACK", "UNKNOWN"], [], "front"),
+}
+
+
+def image_for_groups(images: DataFrame, by: list[str], groups: dict = GROUPS) -> DataFrame:
+    """For each group of fields the image to look at: ``by``, ``group``, ``image``, ``why`` (evidence, label or upload).
+
+    ``images`` have ``image`` (a label), ``order`` (of upload), ``role`` and ``evidence`` (an array of kinds). The first image by role and then upload that has evidence of
+    the group's first kind wins, then of its next; else the one with the group's label; else the first upload. One aggregation over all images.
+    """
+    best = []
+    for name, (roles, kinds, label) in groups.items():
+        place = F.array_position(F.array(*map(F.lit, roles)), F.coalesce("role", F.lit("UNKNOWN")))
+        steps = [(F.arrays_overlap(F.coalesce("evidence", F.array().cast("array<string>")), F.array(*map(F.lit, k))), "evidence") for k in kinds] + [(F.col("image") == label, "label"), (F.lit(True), "upload")]
+        case = F
+        for i, (when, why) in enumerate(steps):
+            case = case.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(i).alias("step"), F.lit(why).alias("why")))
+        rank = F.when(case["why"] != "evidence", 0).when(place > 0, place).otherwise(len(roles) + 1)
+        best.append(F.struct(F.lit(name).alias("group"), F.min_by(F.struct("image", case["why"].alias("why")), F.struct(case["step"].alias("step"), rank.alias("rank"), F.col("order"))).alias("b")))
+    return images.groupBy(*by).agg(F.array(*best).alias("__g")).select(*by, F.inline("__g")).select(*by, "group", "b.image", "b.why")

@@ -317,4 +317,29 @@ Q106 = f"""WITH v AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{c}', DATE '{b
 n AS (SELECT version, check_id, status, count(o_orderkey) n FROM v LEFT JOIN orders ON a <= o_orderdate + INTERVAL 20 YEAR AND (b IS NULL OR b > o_orderdate + INTERVAL 20 YEAR) GROUP BY 1, 2, 3)
 SELECT status, count(*) AS versions, count(*) FILTER (WHERE n > 0) AS active, sum(n)::BIGINT AS orders FROM n GROUP BY 1"""
 
+
+def q146_images_for_groups(spark, sf_dir):
+    """Events as images of five: of each group of fields the image to look at."""
+    images = table(spark, sf_dir, "events").selectExpr(
+        "event_id div 5 AS item", "IF(event_id % 5 = user_id % 5, 'front', IF(event_id % 5 = 3, 'back', concat('img', event_id % 5))) AS image", "event_id AS order", "CASE user_id % 4 WHEN 0 THEN 'FRONT' WHEN 1 THEN 'BACK' WHEN 2 THEN 'SIDE' END AS role",
+        "filter(array(IF(event_type = 'view', 'mrp', NULL), IF(value > 20, 'care', NULL), IF(event_type = 'error', 'nutrition', NULL), IF(value < 3, 'heading', NULL)), x -> x IS NOT NULL) AS evidence",
+    )
+    return panels.image_for_groups(images, ["item"])
+
+
+def _group_sql() -> str:
+    has = {"mrp": "event_type = 'view'", "date": "false", "fssai": "false", "care": "value > 20", "nutrition": "event_type = 'error'", "heading": "value < 3"}
+    parts = []
+    for name, (roles, kinds, label) in panels.GROUPS.items():
+        steps = [" OR ".join(has[k] for k in ks) for ks in kinds] + [f"image = '{label}'", "true"]
+        step = "CASE " + " ".join(f"WHEN {w} THEN {i}" for i, w in enumerate(steps)) + " END"
+        why = "CASE " + " ".join(f"WHEN {w} THEN '{'evidence' if i < len(kinds) else 'label' if i == len(kinds) else 'upload'}'" for i, w in enumerate(steps)) + " END"
+        rank = f"CASE WHEN NOT ({' OR '.join(w for w, _ in zip(steps, kinds, strict=False)) or 'false'}) THEN 0 " + " ".join(f"WHEN role = '{r}' THEN {i + 1}" for i, r in enumerate(roles)) + f" ELSE {len(roles) + 1} END"
+        parts.append(f"SELECT item, '{name}' AS \"group\", image, {why} AS why FROM i QUALIFY row_number() OVER (PARTITION BY item ORDER BY {step}, {rank}, event_id) = 1")
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+Q146 = f"""WITH i AS (SELECT *, event_id // 5 AS item, CASE WHEN event_id % 5 = user_id % 5 THEN 'front' WHEN event_id % 5 = 3 THEN 'back' ELSE 'img' || (event_id % 5) END AS image, CASE user_id % 4 WHEN 0 THEN 'FRONT' WHEN 1 THEN 'BACK' WHEN 2 THEN 'SIDE' ELSE 'UNKNOWN' END AS role FROM events)
+{_group_sql()}"""
+
 QUERIES = {k: (f, globals().get(k.split("_")[0].upper())) for k, f in list(globals().items()) if k[:1] == "q" and k[1:2].isdigit() and callable(f)}
