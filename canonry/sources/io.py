@@ -51,3 +51,37 @@ def reports(findings: DataFrame, by: list[str]) -> DataFrame:
 
 def exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
+
+
+def one(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """The first row by an order that ends in a unique column; no row of an empty frame."""
+    return df.orderBy(*order).limit(1)
+
+
+def within(at: Column, first: str | None, last: str | None) -> Column:
+    """Whether a time falls on the days from ``first`` to ``last``, both included; a null bound is open."""
+    day = F.to_date(at)
+    tests = [t for t in (day >= F.lit(first).cast("date") if first else None, day <= F.lit(last).cast("date") if last else None) if t is not None]
+    return F.coalesce(tests[0] & tests[-1], F.lit(False)) if tests else day.isNotNull()
+
+
+def in_force_now(versions: DataFrame, start: str, end: str, today: Column | None = None) -> DataFrame:
+    """The versions in force on the day of the query, or on ``today``; an end is not included, a null one open."""
+    day = F.current_date() if today is None else today
+    return versions.where((F.col(start) <= day) & (F.col(end).isNull() | (F.col(end) > day)))
+
+
+def migrate(spark: SparkSession, ledger: str, migrations: list[tuple[str, str]]) -> list[str]:
+    """Runs, by name, the statements that the table ``ledger`` doesn't list, and lists each as soon as it ran; returns their names.
+
+    A statement that fails ends the run: those before it stay listed, so that a second call goes on with it.
+    """
+    if not exists(spark, ledger):
+        spark.createDataFrame([], "name string, applied_at timestamp").write.saveAsTable(ledger)
+    done, ran = {r["name"] for r in spark.table(ledger).select("name").collect()}, []
+    for name, statement in sorted(migrations):
+        if name not in done:
+            spark.sql(statement)
+            spark.createDataFrame([(name,)], "name string").withColumn("applied_at", F.current_timestamp()).write.mode("append").saveAsTable(ledger)
+            ran.append(name)
+    return ran
