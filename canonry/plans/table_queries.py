@@ -239,30 +239,29 @@ Q44 = "SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY
 
 
 def _bits(spark, sf_dir):
-    bit = F.aggregate(F.transform(F.slice("embedding", 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    bit = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bit.alias("hash"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("ink"))
 
 
-#: The same as two halves, since DuckDB's BIGINT has no sign bit to spare.
-_HALVES = "list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT h, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 33)) ELSE 0 END))::BIGINT g"
-_APART = "(bit_count(xor(x.h, y.h)) + bit_count(xor(x.g, y.g)))::INT"
+_HASH = "list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT h"
+_APART = "bit_count(xor(x.h, y.h))::INT"
 
 
 def q45_near_images(spark, sf_dir):
     """Near pairs of classes of equal images, up to five bits."""
-    return fuzzy.near_classes(_bits(spark, sf_dir), 5, 8)
+    return fuzzy.near_classes(_bits(spark, sf_dir), 5, 8, 32)
 
 
-Q45 = f"""WITH e AS (SELECT vec_id, {_HALVES} FROM embeddings), c AS (SELECT h, g, min(vec_id) i, count(*) n FROM e GROUP BY 1, 2)
+Q45 = f"""WITH e AS (SELECT vec_id, {_HASH} FROM embeddings), c AS (SELECT h, min(vec_id) i, count(*) n FROM e GROUP BY 1)
 SELECT x.i a, y.i b, {_APART} distance, x.n a_images, y.n b_images FROM c x JOIN c y ON x.i < y.i WHERE {_APART} <= 5"""
 
 
 def q45b_copied_images(spark, sf_dir):
     """Every image with its class, its near images' number and the nearest earlier one that passes the gate; a component stands for the ink."""
-    return fuzzy.copied_images(_bits(spark, sf_dir), 5, 8, 0.02)
+    return fuzzy.copied_images(_bits(spark, sf_dir), 5, 8, 0.02, 32)
 
 
-Q45B = f"""WITH e AS (SELECT vec_id, abs(embedding[1]::DOUBLE) ink, {_HALVES} FROM embeddings), p AS (SELECT x.vec_id a, y.vec_id b, {_APART} d, x.ink >= 0.02 AND y.ink >= 0.02 k FROM e x JOIN e y ON x.vec_id <> y.vec_id WHERE {_APART} <= 5),
+Q45B = f"""WITH e AS (SELECT vec_id, abs(embedding[1]::DOUBLE) ink, {_HASH} FROM embeddings), p AS (SELECT x.vec_id a, y.vec_id b, {_APART} d, x.ink >= 0.02 AND y.ink >= 0.02 k FROM e x JOIN e y ON x.vec_id <> y.vec_id WHERE {_APART} <= 5),
 n AS (SELECT b, min(CASE WHEN d = 0 THEN a END) c, count(*) links, arg_min(a, (d, a)) FILTER (WHERE a < b AND (d = 0 OR k)) nearest, min(d) FILTER (WHERE a < b AND (d = 0 OR k)) distance FROM p GROUP BY 1)
 SELECT vec_id id, least(vec_id, coalesce(c, vec_id)) copy_of, coalesce(links, 0) links, nearest, distance FROM e LEFT JOIN n ON b = vec_id"""
 
