@@ -1,7 +1,7 @@
 """Where a list of ingredients ends, and what of it is contamination: rules over a line and over its blank-free form.
 
 Recognition glues words ("FORFEEBACK"), so literal markers are looked for in the letters and digits of a
-line alone. All of them are found in one pass by one automaton (a trie with failure
+line alone. All of them, and the words without which a pattern can't match, are found in one pass by one automaton (a trie with failure
 links as a dense table), run over all lines of a batch side by side. What it finds is a column, and the rules are
 ordered conditions on that column and on patterns, so they stay native. A rule is data: ``column`` makes
 Spark's expression of it and ``sql`` the same as text.
@@ -28,8 +28,9 @@ ALLERGENS = "wheat milk soy soya nut nuts egg mustard sesame sulphite sulfite gl
 FRAGMENTS = "tain contain contan fsslai contactus".split()
 #: Patterns of the parts of a label.
 CARE = r"consumer care|customer care|toll free|helpline"
-EMAIL_OR_SITE = r"[\w.%-]+@[\w.-]+\.[A-Za-z]{2,}|(https?://|www\.)[\w\-./?=%&]+"
-EMAIL = r"[\w.%-]+@[\w.-]+\.[A-Za-z]{2,}"
+#: (Of the name before an at sign one letter is enough to find an address; a run of them would make long words quadratic.)
+EMAIL = r"[\w.%-]@[\w.-]+\.[A-Za-z]{2,}"
+EMAIL_OR_SITE = EMAIL + r"|(https?://|www\.)[\w\-./?=%&]"
 PHONE = r"1800[\s-]?\d|\+?91[\s-]?\d{10}|\b[6-9]\d{9}\b"
 MAKER = r"manufactured(\s*&\s*marketed)?(\s*/\s*packed)?\s+by|marketed\s+by|packed\s+by|mfd\.?\s+by|mkd\.?\s+by|mfg\.?\s+by|imported\s+by|\bmfd\b.*\bby\b|\bpkd\b.*\bby\b"
 BEST_BEFORE, BATCH = r"best\s*before|use\s*by|expir", r"batch|lot\s*no|b\.?\s*no"
@@ -78,60 +79,78 @@ def no(test: tuple) -> tuple:
     return "not", test
 
 
+def gated(triggers: str, test: tuple) -> tuple:
+    """``test``, which only a line with one of the triggers among its letters and digits can pass: patterns then run on few lines."""
+    return "gated", triggers.split(), test
+
+
 _PLAIN = no(line(LISTED))
 _COLON = line(":")
+#: An address of mail or of a site: patterns run where there is an at sign, or where a site's beginning is.
+_ADDRESS = either(both(line("@"), line(EMAIL)), gated("http www", line(EMAIL_OR_SITE)))
 _ALLERGEN_WORD = glued(*ALLERGENS)
 #: What opens another section, in order; the first that holds decides.
 RULES: list[tuple[str, tuple]] = [
-    ("STORAGE", either(line("once opened|airtight"), glued("onceopened"))),
-    ("STORAGE", both(line(r"\bstore\b|\bstorage\b"), either(head("store|storage|keep"), line(":|container|transfer"), _PLAIN))),
-    ("STORAGE", both(line(r"\bkeep\b"), either(head("keep|store"), line("dry|away|cool"), _PLAIN))),
-    ("CONSUMER_CARE", either(line(CARE), glued("consumercare", "customercare", "tollfree"), both(line("executive"), line("care")))),
-    ("FEEDBACK", either(line("feedback"), glued("feeback", "forfeed"), both(glued("contac"), either(line("care|cell|us"), line(PHONE), line(EMAIL))))),
-    ("CONSUMER_CARE", line(EMAIL_OR_SITE)),
-    ("CONSUMER_CARE", both(line(PHONE), line("care|contact|feedback|toll|helpline|call"))),
-    ("MANUFACTURER", line(MAKER)),
-    ("BEST_BEFORE", line(BEST_BEFORE)),
-    ("BATCH", line(BATCH)),
-    ("MFG_DATE", both(line(MADE_ON), either(line(DAY), head("mfd|mfg|pkd|pkg|manufactured|packed"), _COLON, _PLAIN))),
-    ("FSSAI", either(line("fssai"), glued("fsslai"))),
-    ("MRP", both(line(PRICE), either(line(MONEY), both(line(r"\d"), either(head(r"mrp|m\.r|maximum"), _COLON))))),
-    ("QUANTITY", both(line(NET), either(line(r"\d|:"), head("net")))),
-    ("NUTRITION", either(line(NUTRITION), both(line(NUTRIENT_ROW), no(line(r"\("))), both(line(NUTRIENT_UNIT), line(r"\d"), no(line(r"[(,]"))))),
-    ("BARCODE", line(BARCODE)),
-    ("PORTION", line(PORTION)),
-    ("QR", line(QR)),
+    ("STORAGE", gated("onceopened airtight", either(line("once opened|airtight"), glued("onceopened")))),
+    ("STORAGE", gated("store storage", both(line(r"\bstore\b|\bstorage\b"), either(head("store|storage|keep"), line(":|container|transfer"), _PLAIN)))),
+    ("STORAGE", gated("keep", both(line(r"\bkeep\b"), either(head("keep|store"), line("dry|away|cool"), _PLAIN)))),
+    ("CONSUMER_CARE", gated("consumercare customercare tollfree helpline executive", either(line(CARE), glued("consumercare", "customercare", "tollfree"), both(line("executive"), line("care"))))),
+    ("FEEDBACK", gated("feedback feeback forfeed contac", either(line("feedback"), glued("feeback", "forfeed"), both(glued("contac"), either(line("care|cell|us"), line(PHONE), line(EMAIL)))))),
+    ("CONSUMER_CARE", _ADDRESS),
+    ("CONSUMER_CARE", gated("care contact feedback toll helpline call", both(line(PHONE), line("care|contact|feedback|toll|helpline|call")))),
+    ("MANUFACTURER", gated("manufactured marketedby packedby mfd mkdby mfgby importedby pkd", line(MAKER))),
+    ("BEST_BEFORE", gated("bestbefore useby expir", line(BEST_BEFORE))),
+    ("BATCH", gated("batch lotno bno", line(BATCH))),
+    ("MFG_DATE", gated("mfd mfg manufactur packed pkd", both(line(MADE_ON), either(line(DAY), head("mfd|mfg|pkd|pkg|manufactured|packed"), _COLON, _PLAIN)))),
+    ("FSSAI", gated("fssai fsslai", either(line("fssai"), glued("fsslai")))),
+    ("MRP", gated("mrp maximumretailprice", both(line(PRICE), either(line(MONEY), both(line(r"\d"), either(head(r"mrp|m\.r|maximum"), _COLON)))))),
+    ("QUANTITY", gated("netwt netqty netquantity netweight netcontent", both(line(NET), either(line(r"\d|:"), head("net"))))),
+    ("NUTRITION", gated("nutrition typicalvalue approximatevalue energy protein carbohydrate sugar fat sodium fib cholesterol calcium iron vitamin potassium serving noofserving per100 rda rdi daily kcal", either(line(NUTRITION), both(line(NUTRIENT_ROW), no(line(r"\("))), both(line(NUTRIENT_UNIT), line(r"\d"), no(line(r"[(,]")))))),
+    ("BARCODE", gated("barcode", line(BARCODE))),
+    ("PORTION", gated("knowyourportion servingsuggestion serves", line(PORTION))),
+    ("QR", gated("qrcode scan", line(QR))),
     *((s, glued(*m.split()) if s not in ("MFG_DATE", "MRP") else both(glued(*m.split()), _PLAIN)) for s, m in GLUED.items()),
-    ("ALLERGEN", either(line(ALLERGEN), both(glued("tain"), _ALLERGEN_WORD, _PLAIN), both(glued("contain", "contan"), head("contain|contan|cohtain|contai")))),
+    ("ALLERGEN", gated("contain contan tain allergen allergn", either(line(ALLERGEN), both(glued("tain"), _ALLERGEN_WORD, _PLAIN), both(glued("contain", "contan"), head("contain|contan|cohtain|contai"))))),
 ]
 #: What a line among ingredients is contaminated with, in order.
 CONTAMINATION: list[tuple[str, tuple]] = [
-    ("storage", either(line("once opened|airtight"), glued("onceopened"))),
-    ("contact", either(line(EMAIL_OR_SITE), both(line(PHONE), line("care|contact|feedback|toll|helpline|call|consumer|customer")))),
-    ("care", either(line(CARE), glued("consumercare", "customercare", "tollfree"), both(line("executive"), line("care")))),
-    ("feedback", either(line("feedback"), glued("feeback", "forfeed"))),
-    ("contact", either(both(glued("contac"), line("care|cell|us|consumer|customer|feedback")), glued("contactus"))),
-    ("maker", line(r"manufactured\s+by|packed\s+by|marketed\s+by|imported\s+by|\bmfd\b.*\bby\b|\bpkd\b.*\bby\b")),
-    ("address", line(r"\bpkg\b|\bmtrl\b|\brotopack\b|\bpvt\b|\bltd\b|(^|[^0-9])[0-9]{6}([^0-9]|$)")),
-    ("date", either(line(BEST_BEFORE), line(BATCH), both(line(MADE_ON), either(line(DAY), line(r"^\s*(mfd|mfg|pkd|pkg|manufactured|packed)\b"))))),
-    ("licence", line(FSSAI)),
-    ("nutrition", either(line(NUTRITION), glued("per100g"))),
-    ("portion", line(PORTION)),
-    ("qr", line(QR)),
-    ("barcode", line(BARCODE)),
-    ("price", both(line(PRICE), line(rf"{MONEY}|\d"))),
-    ("quantity", both(line(NET), line(r"\d|:"))),
-    ("storage", both(either(head("storage", 44), line(r"^.{0,39}\b(store|keep)\b")), either(line(":|container|transfer|dry|cool|away"), no(line("^.{70}"))))),
-    ("allergen", both(glued("tain"), _ALLERGEN_WORD, no(line("[,(%]")))),
+    ("storage", gated("onceopened airtight", either(line("once opened|airtight"), glued("onceopened")))),
+    ("contact", either(_ADDRESS, gated("care contact feedback toll helpline call consumer customer", both(line(PHONE), line("care|contact|feedback|toll|helpline|call|consumer|customer"))))),
+    ("care", gated("consumercare customercare tollfree helpline executive", either(line(CARE), glued("consumercare", "customercare", "tollfree"), both(line("executive"), line("care"))))),
+    ("feedback", gated("feedback feeback forfeed", either(line("feedback"), glued("feeback", "forfeed")))),
+    ("contact", gated("contac", either(both(glued("contac"), line("care|cell|us|consumer|customer|feedback")), glued("contactus")))),
+    ("maker", gated("manufacturedby packedby marketedby importedby mfd pkd", line(r"manufactured\s+by|packed\s+by|marketed\s+by|imported\s+by|\bmfd\b.*\bby\b|\bpkd\b.*\bby\b"))),
+    ("address", either(gated("pkg mtrl rotopack pvt ltd", line(r"\bpkg\b|\bmtrl\b|\brotopack\b|\bpvt\b|\bltd\b")), both(line("[0-9]{6}"), line("(^|[^0-9])[0-9]{6}([^0-9]|$)")))),
+    ("date", gated("bestbefore useby expir batch lotno bno mfd mfg manufactur packed pkd", either(line(BEST_BEFORE), line(BATCH), both(line(MADE_ON), either(line(DAY), line(r"^\s*(mfd|mfg|pkd|pkg|manufactured|packed)\b")))))),
+    ("licence", gated("fss essai f5sai", line(FSSAI))),
+    ("nutrition", gated("nutrition typicalvalue approximatevalue per100g", either(line(NUTRITION), glued("per100g")))),
+    ("portion", gated("knowyourportion servingsuggestion serves", line(PORTION))),
+    ("qr", gated("qrcode scan", line(QR))),
+    ("barcode", gated("barcode", line(BARCODE))),
+    ("price", gated("mrp maximumretailprice", both(line(PRICE), line(rf"{MONEY}|\d")))),
+    ("quantity", gated("netwt netqty netquantity netweight netcontent", both(line(NET), line(r"\d|:")))),
+    ("storage", gated("storage store keep", both(either(head("storage", 44), line(r"^.{0,39}\b(store|keep)\b")), either(line(":|container|transfer|dry|cool|away"), no(line("^.{70}")))))),
+    ("allergen", gated("tain", both(glued("tain"), _ALLERGEN_WORD, no(line("[,(%]"))))),
 ]
-MARKERS = [*dict.fromkeys([m for ms in GLUED.values() for m in ms.split()] + ALLERGENS + FRAGMENTS)]
+
+
+def _triggers(test: tuple) -> list[str]:
+    """The triggers of a test and of those within it."""
+    if test[0] == "gated":
+        return [*test[1], *_triggers(test[2])]
+    inner = test[1] if test[0] in ("or", "and") else test[1:2] if test[0] == "not" else ()
+    return [t for x in inner for t in _triggers(x)]
+
+
+MARKERS = [*dict.fromkeys([m for ms in GLUED.values() for m in ms.split()] + ALLERGENS + FRAGMENTS + [t for _, test in RULES + CONTAMINATION for t in _triggers(test)])]
 
 
 class Automaton:
     """All markers at once: ``table[state, letter]`` is the next state, ``found[state]`` the markers that end there."""
 
     def __init__(self, markers: Iterable[str]) -> None:
-        steps, ends = [{}], [set()]
+        steps, ends, markers = [{}], [set()], list(markers)
+        self.longest = max(map(len, markers))
         for i, marker in enumerate(markers):
             at = 0
             for c in marker.encode():
@@ -157,20 +176,29 @@ class Automaton:
         self.found = [sorted(e) for e in ends]
         self.ends = np.array([bool(e) for e in ends])
 
-    def search(self, texts: list[bytes]) -> list[list[int]]:
-        """The markers in each text, in order of number. Texts are read side by side, a letter of each at a time, the longest first."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        size = np.array([len(texts[i]) for i in order], np.int64)
-        begin = np.cumsum(size) - size
-        letters = self.code[np.frombuffer(b"".join(texts[i] for i in order), np.uint8)]
+    def search(self, texts: list[bytes], piece: int = 512) -> list[list[int]]:
+        """The markers in each text, in order of number.
+
+        Texts are cut into pieces that overlap by the longest marker but one letter, so every marker lies in one whole; pieces are read side by side, a
+        letter of each at a time, the longest first.
+        """
+        size = np.array([len(t) for t in texts], np.int64)
+        count = np.maximum(1, -(-size // piece))
+        owner = np.repeat(np.arange(len(texts)), count)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        end = np.cumsum(size)[owner]
+        begin = end - size[owner] + nth * piece
+        size = np.minimum(piece + self.longest - 1, end - begin)
+        order = np.argsort(-size, kind="stable")
+        owner, begin, size = owner[order], begin[order], size[order]
+        letters = self.code[np.frombuffer(b"".join(texts), np.uint8)]
         out: list[set[int]] = [set() for _ in texts]
-        state, live = np.zeros(len(texts), np.int64), len(texts)
-        for k in range(int(size[0]) if len(size) else 0):
-            while live and size[live - 1] <= k:
-                live -= 1
-            state[:live] = self.table[state[:live], letters[begin[:live] + k]]
-            for i in np.flatnonzero(self.ends[state[:live]]):
-                out[order[i]].update(self.found[state[i]])
+        state = np.zeros(len(order), np.int64)
+        live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), side="right")
+        for k, n in enumerate(live):
+            state[:n] = self.table[state[:n], letters[begin[:n] + k]]
+            for i in np.flatnonzero(self.ends[state[:n]]):
+                out[owner[i]].update(self.found[state[i]])
         return [sorted(x) for x in out]
 
 
@@ -199,6 +227,8 @@ def column(test: tuple, text: Column, found: Column) -> Column:
         return F.substring(F.lower(text), 1, more[0]).rlike(what)
     if kind == "glued":
         return F.arrays_overlap(found, F.array(*(F.lit(MARKERS.index(m)) for m in what)))
+    if kind == "gated":
+        return F.arrays_overlap(found, F.array(*(F.lit(MARKERS.index(t)) for t in what))) & column(more[0], text, found)
     if kind == "not":
         return ~column(what, text, found)
     return reduce(lambda a, b: a | b if kind == "or" else a & b, (column(t, text, found) for t in what))
@@ -214,6 +244,8 @@ def sql(test: tuple, text: str, form: str) -> str:
         return f"regexp_matches(substr(lower({text}), 1, {more[0]}), {quoted(what)})"
     if kind == "glued":
         return "(" + " OR ".join(f"contains({form}, '{m}')" for m in what) + ")"
+    if kind == "gated":  # the gate changes nothing but time
+        return sql(more[0], text, form)
     if kind == "not":
         return f"(NOT {sql(what, text, form)})"
     return "(" + (" OR " if kind == "or" else " AND ").join(sql(t, text, form) for t in what) + ")"

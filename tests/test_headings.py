@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,10 @@ def test_the_automaton_finds_what_a_search_for_each_marker_finds(seed):
     texts = ["", *("".join(r.choice([r.choice(markers), r.choice(markers)[:-1], r.choice("abcnt1z")]) for _ in range(r.randint(0, 12))) for _ in range(400)), "".join(markers) * 50]
     assert boundaries.Automaton(markers).search([t.encode() for t in texts]) == [[i for i, m in enumerate(markers) if m in t] for t in texts]
     assert boundaries.Automaton(markers).search([]) == []
+    # Pieces shorter than a marker lose none; a text of a million letters is as quick as many short ones.
+    assert boundaries.Automaton(markers).search([t.encode() for t in texts], piece=3) == boundaries.Automaton(markers).search([t.encode() for t in texts])
+    began = time.time()
+    assert boundaries.Automaton(markers).search([b"x" * 1_000_000 + markers[-1].encode()])[0] and time.time() - began < 5
 
 
 def test_markers_planted_in_lines_are_found(spark):
