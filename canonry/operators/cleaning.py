@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,13 @@ CONTEXTS = {
     "mrp": f"{elections.PRICE_CONTEXT}|{elections.DAMAGED_PRICE_WORD}", "quantity": elections.NET.removeprefix("(?i)"), "fssai_license": elections.LICENCE.removeprefix("(?i)"), "manufacturer": validators.MAKER,
     **{f: elections.WORDED_FIELDS[f][0] + "|" + elections.WORDED_FIELDS[f][1] for f in ("manufacturing_date", "best_before", "consumer_care", "batch_lot")}, "country_of_origin": r"country of origin|product of|made in",
 }
+#: Letters in lower case, one of which is in whatever shows the field (words between commas), and patterns for what has none. The full patterns run on few lines then.
+TRIGGERS = {
+    "mrp": "price,pr1ce,prlce,taxes", "quantity": "net,qty,quan,wei,wt,content,pack,e-mark,℮", "fssai_license": "fss,essai,f5sai,lic", "manufacturer": "manufactured,marketed,packed,mfd,mkd,mkt,mfg,imported,pvt,ltd,limited",
+    "manufacturing_date": "mfd,mfg,manufactur,packed,pkd,pkg,packing,packaging,mfo,nfd,mf6,mf9", "best_before": "bef,use,u5e,expir,xpiry", "consumer_care": "care,call,ca1l,cal1,ca11,custo,toll,pline,conta,complaint,phone,tel,service,feedback,feeback",
+    "batch_lot": "batch,batcn,lot,1ot,/", "country_of_origin": "country of origin,product of,made in",
+}
+LOOSE = {"mrp": r"m[\s.]*[rn][\s.]*[pf]", "batch_lot": r"b\.?\s*no"}
 
 
 def cleaned(docs: DataFrame, by: list[str], text: str) -> DataFrame:
@@ -63,17 +72,26 @@ def additive_class(segment: Column) -> Column:
     return case
 
 
+def in_context(text: Column, field: str) -> Column:
+    """Whether a text shows that the field is on the label: its pattern of ``CONTEXTS``, tried only where a trigger is."""
+    low = F.lower(text)
+    maybe = reduce(Column.__or__, [F.contains(low, F.lit(t)) for t in TRIGGERS[field].split(",")])
+    if field in LOOSE:
+        maybe = maybe | low.rlike(LOOSE[field])
+    return F.coalesce(maybe, F.lit(False)) & validators.has(text, CONTEXTS[field])
+
+
 def field_status(values: DataFrame, lines: DataFrame, by: list[str], least: float = 0.6) -> DataFrame:
     """Every field of ``CONTEXTS`` of every package of ``lines``: ``value``, ``anchored``, ``fused`` (confidence), ``status``.
 
-    ``values`` has ``field``, ``value``, ``confidence``, ``line_no`` (of ``lines``). A value is DETECTED if it is valid, read well, and stays trusted after a missing context (0.7) and a
+    ``values`` has ``field``, ``value``, ``confidence``, ``line_no`` (of ``lines``) or, in its place, ``line``: the text of that line, which saves a join. A value is DETECTED if it is valid, read well, and stays trusted after a missing context (0.7) and a
     foreign section on its line (0.5); else it needs review, as does a context without a value. Neither is NOT_DETECTED.
     """
     text = F.coalesce("text", F.lit(""))
-    shown = lines.groupBy(*by).agg(*(F.bool_or(validators.has(text, p)).alias(f) for f, p in CONTEXTS.items()))
+    shown = lines.groupBy(*by).agg(*(F.bool_or(in_context(text, f)).alias(f) for f in CONTEXTS))
     wanted = shown.select(*by, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("anchored")) for f in CONTEXTS))))
-    form = boundaries.spaceless(text)
-    found = values.join(lines.select(*by, "line_no", form.alias("__form")), [*by, "line_no"], "left")
+    found = values if "line" in values.columns else values.join(lines.select(*by, "line_no", text.alias("line")), [*by, "line_no"], "left")
+    found = found.withColumn("__form", boundaries.spaceless(F.col("line")))
     foreign = F.lit(False)
     for f in CONTEXTS:
         own = OWN.get(f, "").split()
