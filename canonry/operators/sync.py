@@ -18,8 +18,10 @@ _KEYS = {"checks": "check_id", "versions": "version_id", "applicability": "appli
 CONTENT = ["requirement", "text", "start", "end", "status"]
 
 
-def _same(a: str, b: str, columns: list[str]) -> Column:
-    return F.struct(*(F.col(f"{a}.{c}") for c in columns)).eqNullSafe(F.struct(*(F.col(f"{b}.{c}") for c in columns)))
+def _told(content: Column) -> tuple[Column, Column]:
+    """Action and note of a row whose id is there with ``__old`` content."""
+    same = F.col("__old").eqNullSafe(content)
+    return F.when(same, "SAME").otherwise("CONFLICT"), F.when(~same, "other content under this id")
 
 
 def _title(c: str) -> Column:
@@ -50,32 +52,31 @@ def plan(have: dict[str, DataFrame], offered: dict[str, DataFrame]) -> dict[str,
     latest = have["versions"].groupBy("check_id").agg(F.max_by("requirement_type", F.struct("start", "version_id")).alias("requirement_type"))
     places = offered["checks"].select("check_id", "rule_number", "sub_rule", "clause", F.lit(True).alias("__check"))
     old = have["versions"].select("version_id", F.struct(*CONTENT).alias("__old"))
-    v = offered["versions"].join(old, "version_id", "left").join(places, "check_id", "left").join(rules, "rule_number", "left").withColumn("__title", _title("source_title")).join(sources, "__title", "left").join(latest, "check_id", "left")
-    same = F.col("__old").eqNullSafe(F.struct(*CONTENT))
-    action = (
-        F.when(F.col("__old").isNotNull(), F.when(same, "SAME").otherwise("CONFLICT"))
-        .when(F.col("__check").isNull() | F.col("rule_id").isNull() | F.col("source_id").isNull(), "ERROR").when(F.col("requirement_type").isNull(), "CONFLICT").otherwise("INSERT")
-    )
-    note = (
-        F.when(F.col("__old").isNotNull() & ~same, "other content under this id").when(F.col("__old").isNotNull(), None).when(F.col("__check").isNull(), "unknown check").when(F.col("rule_id").isNull(), "no catalogue entry")
-        .when(F.col("source_id").isNull(), "no such source").when(F.col("requirement_type").isNull(), "no sibling to inherit from")
-    )
-    versions = v.withColumn("action", action).withColumn("note", note)
-
-    there = have["versions"].select("version_id").unionByName(versions.where("action = 'INSERT'").select("version_id")).distinct().withColumn("__there", F.lit(True))
-    cited = versions.select("version_id", "source_id").groupBy("version_id").agg(F.max("source_id").alias("source_id"))
+    v = offered["versions"].withColumn("__new", F.lit(True)).join(old, "version_id", "full").withColumn("__title", _title("source_title")).join(sources, "__title", "left")
+    # What is there is decided by its content; only the rest is looked up elsewhere, so little of it moves twice.
+    action, note = _told(F.struct(*CONTENT))
+    kept = F.col("__new").isNull()
+    known = v.where("__old is not null").withColumn("action", F.when(kept, "KEPT").otherwise(action)).withColumn("note", F.when(kept, "no longer offered").otherwise(note))
+    action = F.when(F.col("__check").isNull() | F.col("rule_id").isNull() | F.col("source_id").isNull(), "ERROR").when(F.col("requirement_type").isNull(), "CONFLICT").otherwise("INSERT")
+    note = F.when(F.col("__check").isNull(), "unknown check").when(F.col("rule_id").isNull(), "no catalogue entry").when(F.col("source_id").isNull(), "no such source").when(F.col("requirement_type").isNull(), "no sibling to inherit from")
+    fresh = v.where("__old is null").join(places, "check_id", "left").join(rules, "rule_number", "left").join(latest, "check_id", "left").withColumn("action", action).withColumn("note", note)
+    versions = known.unionByName(fresh, allowMissingColumns=True)
+
+    there = F.col("__old").isNotNull() | (F.col("action") == "INSERT")
+    cited = versions.select("version_id", there.alias("__there"), "source_id").groupBy("version_id").agg(F.max("__there").alias("__there"), F.max("source_id").alias("source_id"))
     old = have["applicability"].select("applicability_id", F.struct("condition", "result").alias("__old"))
-    a = offered["applicability"].join(old, "applicability_id", "left").join(there, "version_id", "left").join(cited, "version_id", "left")
-    same = F.col("__old").eqNullSafe(F.struct("condition", "result"))
-    action = F.when(F.col("__old").isNotNull(), F.when(same, "SAME").otherwise("CONFLICT")).when(F.col("__there").isNull(), "BLOCKED").when(F.col("source_id").isNull(), "ERROR").otherwise("INSERT")
-    note = F.when(F.col("__old").isNotNull(), F.when(~same, "other content under this id")).when(F.col("__there").isNull(), "its version was not applied").when(F.col("source_id").isNull(), "no such source")
-    applicability = a.withColumn("action", action).withColumn("note", note)
+    a = offered["applicability"].join(old, "applicability_id", "left")
+    action, note = _told(F.struct("condition", "result"))
+    known = a.where("__old is not null").withColumn("action", action).withColumn("note", note)
+    action = F.when(~F.coalesce("__there", F.lit(False)), "BLOCKED").when(F.col("source_id").isNull(), "ERROR").otherwise("INSERT")
+    note = F.when(F.col("action") == "BLOCKED", "its version was not applied").when(F.col("action") == "ERROR", "no such source")
+    fresh = a.where("__old is null").join(cited, "version_id", "left").withColumn("action", action).withColumn("note", note)
+    applicability = known.unionByName(fresh, allowMissingColumns=True)
 
     old = have["weights"].select("check_id", F.struct(F.col("weight").cast("double").alias("weight"), F.upper("severity").alias("severity")).alias("__old"))
     same = F.col("__old").eqNullSafe(F.struct(F.col("weight").cast("double").alias("weight"), F.upper("severity").alias("severity")))
     weights = offered["weights"].join(old, "check_id", "left").withColumn("action", F.when(same, "SAME").otherwise("UPSERT")).withColumn("note", F.lit(None).cast("string"))
-    gone = have["versions"].join(offered["versions"].select("version_id"), "version_id", "left_anti").select("version_id", F.lit("KEPT").alias("action"), F.lit("no longer offered").alias("note"))
-    return {"checks": checks, "versions": versions.unionByName(gone, allowMissingColumns=True), "applicability": applicability, "weights": weights}
+    return {"checks": checks, "versions": versions, "applicability": applicability, "weights": weights}
 
 
 def summary(planned: dict[str, DataFrame]) -> DataFrame:

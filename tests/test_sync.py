@@ -50,3 +50,24 @@ def test_every_table_meets_its_actions_and_a_second_run_adds_nothing(spark):
 def test_new_versions_that_overlap(spark):
     have, offered = bases(spark)
     assert [tuple(r) for r in sync.overlapping(have, sync.plan(have, offered)).collect()] == [("v2", "v1")]
+
+
+def test_what_is_there_is_not_looked_up(spark):
+    first = sync.plan(*bases(spark))
+    rows = {r["applicability_id"]: r["source_id"] for r in first["applicability"].collect()} | {r["version_id"]: r["rule_id"] for r in first["versions"].collect()}
+    assert rows["a1"] is None and rows["v1"] is None and rows["a2"] == 7 and rows["v2"] == 1
+
+
+def test_a_second_run_moves_little(spark):
+    have, offered = bases(spark)
+    first = sync.plan(have, offered)
+    second = sync.summary(sync.plan(sync.applied(have, first), offered))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        plan = sync.summary(first).unionByName(second)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert plan.count("SortMergeJoin") < 60
