@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,13 @@ def _shared_keys(column: str, distance: int, name: bool) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(part), runs, typo), lambda x: x.isNotNull()))
 
 
+def band_tasks(hashes: int, widths: list[int], rows: int = 2_000_000, pairs: int = 4_000_000) -> tuple[int, int]:
+    """Over how many tasks ``hashes`` are cut into keys, one for each of ``widths`` bits, and over how many those meet: ``rows`` keys a task, ``pairs`` of equal key if bits are even."""
+    met = hashes * hashes * sum(2.0**-w for w in widths)
+    made = ceil(hashes * len(widths) / rows)
+    return max(1, made), max(1, made, ceil(met / pairs))
+
+
 def near_hashes(hashes: DataFrame, most: int, bands: int, bits: int = 64) -> DataFrame:
     """``hash`` < ``other``, distinct hashes that differ in 1 to ``most`` bits, and their ``distance``.
 
@@ -76,9 +84,13 @@ def near_hashes(hashes: DataFrame, most: int, bands: int, bits: int = 64) -> Dat
         raise ValueError("more bands than bits that may differ are needed")
     edges = [round(i * bits / bands) for i in range(bands + 1)]
     band = lambda i: F.shiftrightunsigned("hash", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
-    keys = F.array(*(F.struct(F.lit(k).alias("choice"), F.xxhash64(*map(band, chosen)).alias("key")) for k, chosen in enumerate(combinations(range(bands), bands - most))))
-    banded = hashes.select("hash").distinct().select("hash", F.inline(keys))
-    met = banded.join(banded.withColumnRenamed("hash", "other"), ["choice", "key"])
+    choices = list(combinations(range(bands), bands - most))
+    keys = F.array(*(F.struct(F.lit(k).alias("choice"), F.xxhash64(*map(band, chosen)).alias("key")) for k, chosen in enumerate(choices)))
+    distinct = hashes.select("hash").distinct()
+    spread, tasks = band_tasks(distinct.count(), [sum(edges[i + 1] - edges[i] for i in chosen) for chosen in choices])
+    # Few bytes meet in many pairs, so sizes in bytes would leave all pairs to one task: the pairs give the number of tasks.
+    banded = distinct.repartition(spread, "hash").select("hash", F.inline(keys)).repartition(tasks, "choice", "key")
+    met = banded.join(banded.withColumnRenamed("hash", "other").hint("shuffle_hash"), ["choice", "key"])
     apart = F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))).cast("int")
     return met.where((F.col("hash") < F.col("other")) & (apart <= most)).select("hash", "other", apart.alias("distance")).distinct()
 

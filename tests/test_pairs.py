@@ -79,3 +79,15 @@ def test_versions_as_of_match_brute_force(spark):
     assert got == sorted((i, j) for i, k, d in events for j, l, a, b in versions if k == l and holds(d, a, b)) and len(got) > 500
     loose = sorted((x.id, x.version) for x in temporal.as_of_join(e.drop("k"), v.drop("k"), "day", "a", "b").collect())
     assert loose == sorted((i, j) for i, _, d in events for j, _, a, b in versions if holds(d, a, b))
+
+
+def test_near_hashes_meet_in_as_many_tasks_as_their_pairs_need(spark):
+    widths = [12] * 56
+    for n in (10_000, 100_000, 600_000):
+        _, tasks = fuzzy.band_tasks(n, widths)
+        assert n * n * 56 / 2**12 / tasks <= 4_000_000 and tasks < 2 + n * n * 56 / 2**12 / 4_000_000
+    assert fuzzy.band_tasks(0, widths) == (1, 1)
+    hashes = spark.range(40_000).selectExpr("id", "xxhash64(id) & 4294967295L AS hash")
+    near = fuzzy.near_hashes(hashes, 5, 8, 32)
+    told = near._jdf.queryExecution().executedPlan().toString()
+    assert told.count("REPARTITION_BY_NUM") >= 4 and f", {fuzzy.band_tasks(40_000, widths)[1]}), REPARTITION_BY_NUM" in told and "BroadcastHashJoin" not in told
