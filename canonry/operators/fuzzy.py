@@ -107,24 +107,26 @@ def near_classes(hashes: DataFrame, most: int, bands: int, bits: int = 64) -> Da
     return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance", F.when(first, F.col("m")).otherwise(F.col("n")).alias("a_images"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("b_images"))
 
 
-def copied_images(hashes: DataFrame, most: int, bands: int, least: float, bits: int = 64) -> DataFrame:
+def copied_images(hashes: DataFrame, most: int, bands: int, least: float, bits: int = 64, opened: bool = False) -> DataFrame:
     """One row an image: its class (``copy_of``, the smallest id of its hash), how many others are within ``most`` bits, and the earlier image that it copies.
 
     ``hashes`` has ``id``, ``hash`` and ``ink`` (null is none). An earlier image counts if its hash is equal, or if both have at
     least ``least`` of ink; the nearest is taken, ties to the smallest id. That is the first of its class for
     all but the first itself, and for the first the least inked id of a near class: no pair of images is made.
+    ``opened`` adds ``open_links``, how many of the others count, earlier or later.
     """
     inked = F.coalesce("ink", F.lit(0.0)) >= least
-    size = hashes.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min(F.when(inked, F.col("id"))).alias("first_inked"))
+    size = hashes.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min(F.when(inked, F.col("id"))).alias("first_inked"), F.count_if(inked).alias("n_inked"))
     near = near_hashes(hashes, most, bands, bits)
     both = near.unionByName(near.select(F.col("other").alias("hash"), F.col("hash").alias("other"), "distance"))
-    other = size.select(F.col("hash").alias("other"), F.col("n").alias("m"), F.col("first_inked").alias("source"))
+    other = size.select(F.col("hash").alias("other"), F.col("n").alias("m"), F.col("n_inked").alias("m_inked"), F.col("first_inked").alias("source"))
     own = size.select("hash", "first")
-    around = both.join(other, "other").join(own, "hash").groupBy("hash").agg(F.sum("m").alias("links"), F.min(F.when(F.col("source") < F.col("first"), F.struct("distance", "source"))).alias("best"))
+    around = both.join(other, "other").join(own, "hash").groupBy("hash").agg(F.sum("m").alias("links"), F.sum("m_inked").alias("inked_links"), F.min(F.when(F.col("source") < F.col("first"), F.struct("distance", "source"))).alias("best"))
     told = hashes.select("id", "hash", inked.alias("inked")).join(size.select("hash", "first", "n"), "hash").join(around, "hash", "left")
     copy = F.col("id") > F.col("first")
     best = F.when(~copy & F.col("inked"), F.col("best"))
-    return told.select("id", F.col("first").alias("copy_of"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.when(copy, F.col("first")).otherwise(best["source"]).alias("nearest"), F.when(copy, 0).otherwise(best["distance"]).alias("distance"))
+    open_links = [(F.col("n") - 1 + F.when(F.col("inked"), F.coalesce("inked_links", F.lit(0))).otherwise(0)).alias("open_links")] if opened else []
+    return told.select("id", F.col("first").alias("copy_of"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.when(copy, F.col("first")).otherwise(best["source"]).alias("nearest"), F.when(copy, 0).otherwise(best["distance"]).alias("distance"), *open_links)
 
 
 def nearest_in_grid(points: DataFrame, by: list[str], reach: float, k: int) -> DataFrame:

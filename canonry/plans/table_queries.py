@@ -257,13 +257,13 @@ SELECT x.i a, y.i b, {_APART} distance, x.n a_images, y.n b_images FROM c x JOIN
 
 
 def q45b_copied_images(spark, sf_dir):
-    """Every image with its class, its near images' number and the nearest earlier one that passes the gate; a component stands for the ink."""
-    return fuzzy.copied_images(_bits(spark, sf_dir), 5, 8, 0.02, 32)
+    """Every image with its class, its near images' number, those that the gate lets through, and the nearest earlier one of these; a component stands for the ink."""
+    return fuzzy.copied_images(_bits(spark, sf_dir), 5, 8, 0.02, 32, opened=True)
 
 
 Q45B = f"""WITH e AS (SELECT vec_id, abs(embedding[1]::DOUBLE) ink, {_HASH} FROM embeddings), p AS (SELECT x.vec_id a, y.vec_id b, {_APART} d, x.ink >= 0.02 AND y.ink >= 0.02 k FROM e x JOIN e y ON x.vec_id <> y.vec_id WHERE {_APART} <= 5),
-n AS (SELECT b, min(CASE WHEN d = 0 THEN a END) c, count(*) links, arg_min(a, (d, a)) FILTER (WHERE a < b AND (d = 0 OR k)) nearest, min(d) FILTER (WHERE a < b AND (d = 0 OR k)) distance FROM p GROUP BY 1)
-SELECT vec_id id, least(vec_id, coalesce(c, vec_id)) copy_of, coalesce(links, 0) links, nearest, distance FROM e LEFT JOIN n ON b = vec_id"""
+n AS (SELECT b, min(CASE WHEN d = 0 THEN a END) c, count(*) links, count(*) FILTER (WHERE d = 0 OR k) opened, arg_min(a, (d, a)) FILTER (WHERE a < b AND (d = 0 OR k)) nearest, min(d) FILTER (WHERE a < b AND (d = 0 OR k)) distance FROM p GROUP BY 1)
+SELECT vec_id id, least(vec_id, coalesce(c, vec_id)) copy_of, coalesce(links, 0) links, nearest, distance, coalesce(opened, 0) open_links FROM e LEFT JOIN n ON b = vec_id"""
 
 
 def q46_neighbours(spark, sf_dir):

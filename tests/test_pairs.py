@@ -91,3 +91,14 @@ def test_near_hashes_meet_in_as_many_tasks_as_their_pairs_need(spark):
     near = fuzzy.near_hashes(hashes, 5, 8, 32)
     told = near._jdf.queryExecution().executedPlan().toString()
     assert told.count("REPARTITION_BY_NUM") >= 4 and f", {fuzzy.band_tasks(40_000, widths)[1]}), REPARTITION_BY_NUM" in told and "BroadcastHashJoin" not in told
+
+
+def test_links_that_the_gate_lets_through(spark):
+    r = random.Random(6)
+    base = r.getrandbits(31)
+    images = [(i, base ^ sum(1 << b for b in r.sample(range(31), r.randint(0, 4))), r.choice([None, 0.0, 0.02, 0.5])) for i in range(80)] + [(100 + i, base, ink) for i, ink in enumerate([None, 0.5, 0.0])]
+    df = spark.createDataFrame(images, "id long, hash long, ink double")
+    apart = lambda g, h: (g ^ h).bit_count()
+    want = {b: (sum(apart(g, h) <= 5 for i, g, _ in images if i != b), sum(g == h or apart(g, h) <= 5 and min(i or 0, ink or 0) >= 0.02 for a, g, i in images if a != b)) for b, h, ink in images}
+    got = {x["id"]: (x["links"], x["open_links"]) for x in fuzzy.copied_images(df, 5, 8, 0.02, 32, opened=True).collect()}
+    assert got == want and any(0 < o < n for n, o in want.values())
